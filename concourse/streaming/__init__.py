@@ -1,0 +1 @@
+"""No stream operators: the data model has no timestamps, windows or late data to process."""
