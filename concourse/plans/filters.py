@@ -260,13 +260,18 @@ def bad_primitive(t):
     )
 
 
+def _bernstein_sql(axis: str) -> str:
+    """The curve at parameter i/24 times 24^3, which is a whole number for whole control points."""
+    return (
+        f"(24-i)*(24-i)*(24-i) * {axis}0 + 3*i*(24-i)*(24-i) * {axis}1 + 3*i*i*(24-i) * {axis}2 + i*i*i * {axis}3"
+    )
+
+
 @query(
     "prj_sample_cubic",
     b.with_sql(
         CONTROL_SQL,
-        body="""SELECT vec_id, i AS ord,
-  round((1-i/24.0::DOUBLE)**3 * x0 + 3*(i/24.0::DOUBLE)*(1-i/24.0::DOUBLE)**2 * x1 + 3*(i/24.0::DOUBLE)**2*(1-i/24.0::DOUBLE) * x2 + (i/24.0::DOUBLE)**3 * x3, 4) AS x,
-  round((1-i/24.0::DOUBLE)**3 * y0 + 3*(i/24.0::DOUBLE)*(1-i/24.0::DOUBLE)**2 * y1 + 3*(i/24.0::DOUBLE)**2*(1-i/24.0::DOUBLE) * y2 + (i/24.0::DOUBLE)**3 * y3, 4) AS y
+        body=f"""SELECT vec_id, i AS ord, {_bernstein_sql("x")} AS x_scaled, {_bernstein_sql("y")} AS y_scaled
 FROM curves, (SELECT unnest(generate_series(0, 24)) AS i)""",
     ),
 )
@@ -274,7 +279,9 @@ def sample_cubic(t):
     pts = F.array(*[g.point(x, y) for x, y in _controls()])
     curve = t.embeddings.select("vec_id", F.posexplode(dw.sample_points(F.lit("cubic"), pts)).alias("ord", "p"))
     return curve.select(
-        "vec_id", F.col("ord").cast("long").alias("ord"), F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y")
+        "vec_id",
+        F.col("ord").cast("long").alias("ord"),
+        *[F.round(F.col(f"p.{a}") * 24**3).cast("long").alias(f"{a}_scaled") for a in "xy"],
     )
 
 
