@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import sys
 import unicodedata
 
@@ -37,20 +38,27 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), longer
 
 
+MERGE_ABOVE, MERGE_GAP = 0x700, 0x100
+
+
 @functools.cache
 def _longer_pattern() -> str:
-    """Character class of everything that decomposes to several letters, written as code ranges."""
+    """Few code ranges that cover everything decomposing to several letters.
+
+    Beyond the common scripts nearby ranges are merged: a superset only sends a row down the
+    per-character path, which is right for any text.
+    """
     codes = sorted(ord(c) for c in _decompositions()[2]) + [HANGUL_FIRST, HANGUL_LAST]
-    ranges, start = [], None
-    for code in codes[:-2]:
-        if start is None:
-            start = last = code
-        elif code == last + 1:
-            last = code
+    ranges: list[list[int]] = []
+    for code in sorted(codes):
+        gap = MERGE_GAP if code > MERGE_ABOVE else 1
+        if ranges and code - ranges[-1][1] <= gap and ranges[-1][0] > MERGE_ABOVE - 1:
+            ranges[-1][1] = code
+        elif ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
         else:
-            ranges.append((start, last))
-            start = last = code
-    ranges += [(start, last), (HANGUL_FIRST, HANGUL_LAST)]
+            ranges.append([code, code])
+    ranges.append([HANGUL_FIRST, HANGUL_LAST])
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
@@ -64,8 +72,7 @@ def _from_code_point(code: Column) -> Column:
 
 def _expand(char: Column) -> Column:
     """Several-letter decomposition of one character; Hangul syllables follow the standard arithmetic."""
-    longer = _decompositions()[2]
-    table = F.create_map(*[F.lit(v) for pair in longer.items() for v in pair])
+    table = F.from_json(F.lit(json.dumps(_decompositions()[2])), "map<string,string>")
     index = _code_point(char) - HANGUL_FIRST
     lead = _from_code_point(F.lit(0x1100) + F.floor(index / 588).cast("int"))
     vowel = _from_code_point(F.lit(0x1161) + F.floor((index % 588) / 28).cast("int"))
@@ -77,16 +84,20 @@ def _expand(char: Column) -> Column:
 def normalize_search(c: Column) -> Column:
     """Search form of a text: compatibility letters, lower case, no marks, folded Arabic, plain digits, single spaces.
 
-    One-letter decompositions go through ``translate``; the per-character path runs only for rows that
-    hold a ligature, presentation form or Hangul syllable.
+    ASCII rows (as many bytes as characters) need only lower case and separators.  One-letter
+    decompositions go through ``translate``; the per-character path runs only for rows that hold a
+    ligature, presentation form or Hangul syllable.
     """
     source, target, _ = _decompositions()
+    ascii_only = F.octet_length(c) == F.char_length(c)
     chars = F.filter(F.split(c, ""), lambda ch: ch != "")
     expanded = F.array_join(F.transform(chars, _expand), "")
     flat = F.translate(F.when(c.rlike(_longer_pattern()), expanded).otherwise(c), source, target)
     bare = F.regexp_replace(F.lower(flat), r"\p{M}", "")
     folded = F.translate(bare, FOLD_FROM + TATWEEL, FOLD_TO)
-    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
+    full = F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")
+    plain = F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
+    return F.trim(F.when(ascii_only, plain).otherwise(full))
 
 
 def tokens(normalized: Column) -> Column:

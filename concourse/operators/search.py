@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from concourse.functions import text as tx
 from concourse.operators.ordered import row_numbers, top_k
+from concourse.session import cut
 
 # Score ladder and typo limits.
 CODE_EQUAL, CODE_PREFIX = 0.0, 15.0
@@ -206,29 +207,39 @@ def everything(prepared: DataFrame, places: DataFrame) -> DataFrame:
     return blank.join(spread, "_slice").select("query_id", "place_id", F.lit(0.0).alias("score"))
 
 
-def search_scores(queries: DataFrame, places: DataFrame) -> DataFrame:
+class Directory:
+    """Searchable form of a place table, materialised once and shared by any number of query batches."""
+
+    def __init__(self, places: DataFrame):
+        self.places = places.select("place_id", "ord")
+        self.fields = cut(place_fields(places))
+        self.tokens = cut(place_tokens(self.fields))
+        self.vocabulary = self.tokens.select("token").distinct()
+
+
+def search_scores(queries: DataFrame, directory: Directory) -> DataFrame:
     """Best score of every matching (query_id, place_id)."""
-    prepared = prepare_queries(queries)
-    fields = place_fields(places)
-    tokens = place_tokens(fields)
+    prepared = cut(prepare_queries(queries))
+    fields, tokens = directory.fields, directory.tokens
     terms = query_terms(prepared)
-    matches = token_scores(terms.select("term").distinct(), tokens.select("token").distinct())
+    matches = cut(token_scores(terms.select("term").distinct(), directory.vocabulary))
     scores = (
         all_terms(terms, tokens, matches)
         .unionByName(field_scores(prepared, fields, tokens, matches))
         .unionByName(compact_code_scores(prepared, fields))
-        .unionByName(everything(prepared, places))
+        .unionByName(everything(prepared, directory.places))
     )
     return scores.groupBy("query_id", "place_id").agg(F.min("score").alias("score"))
 
 
-def search(queries: DataFrame, places: DataFrame, k: int | None = None) -> DataFrame:
+def search(queries: DataFrame, places: DataFrame | Directory, k: int | None = None) -> DataFrame:
     """Ranked matches per query: best score first, ties in directory order (``ord`` of places).
 
     Without ``k`` every match is ranked; with it, only the first ``k`` per query are kept.
     """
-    hits = search_scores(queries, places).join(places.select("place_id", "ord"), "place_id")
-    return rank(hits, k)
+    directory = places if isinstance(places, Directory) else Directory(places)
+    hits = search_scores(queries, directory).join(directory.places, "place_id")
+    return rank(cut(hits), k) if k is None else rank(hits, k)
 
 
 def rank(hits: DataFrame, k: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from concourse.functions import text as tx
 from concourse.operators import search as se
 from concourse.plans import bindings as b
 from concourse.plans.registry import query
+from concourse.session import cut
 
 # Query texts: shouted names, one dropped letter, two swapped letters, word endings, brand codes, mixed and blank.
 QUERIES_SQL = """names AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part),
@@ -118,14 +119,13 @@ def search_sql(body: str) -> str:
 
 
 def _parts(t):
-    prepared = se.prepare_queries(queries(t))
-    fields = se.place_fields(places(t))
-    return prepared, fields, se.place_tokens(fields), se.query_terms(prepared)
+    prepared = cut(se.prepare_queries(queries(t)))
+    fields = cut(se.place_fields(places(t)))
+    return prepared, fields, cut(se.place_tokens(fields)), se.query_terms(prepared)
 
 
-def _matches(t):
-    prepared, fields, tokens, terms = _parts(t)
-    return se.token_scores(terms.select("term").distinct(), tokens.select("token").distinct())
+def _scores(terms, toks):
+    return se.token_scores(terms.select("term").distinct(), toks.select("token").distinct())
 
 
 @query(
@@ -138,7 +138,7 @@ def normalize(t):
 
 @query("txt_tokens", search_sql("SELECT place_id, kind, token FROM toks"))
 def tokens(t):
-    return _parts(t)[2].select("place_id", "kind", "token")
+    return se.place_tokens(se.place_fields(places(t))).select("place_id", "kind", "token")
 
 
 @query("txt_osa_distance", search_sql("SELECT term, token, distance FROM typos"))
@@ -151,25 +151,26 @@ def osa_distance(t):
 
 @query("txt_token_score", search_sql("SELECT term, token, score FROM scored"))
 def token_score(t):
-    return _matches(t).withColumn("score", F.col("score").cast("long"))
+    _, _, toks, terms = _parts(t)
+    return _scores(terms, toks).withColumn("score", F.col("score").cast("long"))
 
 
 @query("txt_field_score", search_sql("SELECT query_id, place_id, score FROM by_field"))
 def field_score(t):
-    prepared, fields, toks, _ = _parts(t)
-    return se.field_scores(prepared, fields, toks, _matches(t))
+    prepared, fields, toks, terms = _parts(t)
+    return se.field_scores(prepared, fields, toks, cut(_scores(terms, toks)))
 
 
 @query("txt_compact_code", search_sql("SELECT query_id, place_id, score FROM by_code"))
 def compact_code(t):
-    prepared, fields, _, _ = _parts(t)
+    prepared, fields = se.prepare_queries(queries(t)), se.place_fields(places(t))
     return se.compact_code_scores(prepared, fields)
 
 
 @query("txt_all_terms", search_sql("SELECT query_id, place_id, round(score, 6) AS score FROM by_terms"))
 def all_terms(t):
     _, _, toks, terms = _parts(t)
-    return se.all_terms(terms, toks, _matches(t)).withColumn("score", F.round("score", 6))
+    return se.all_terms(terms, toks, cut(_scores(terms, toks))).withColumn("score", F.round("score", 6))
 
 
 @query(
