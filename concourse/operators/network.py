@@ -292,10 +292,11 @@ def contract_chains(links: DataFrame, special: DataFrame) -> tuple[DataFrame, Da
             F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("pa").alias("_na"), F.col("pb").alias("_nb"),
             F.col("ord").alias("_step"),
         )
+        # A pointer whose target has just settled stays as it is and arrives next round.
         waiting = cut(
-            rest.join(hop, ["pa", "pb"]).select(
-                "a", "b", "length", F.col("_na").alias("pa"), F.col("_nb").alias("pb"),
-                (F.col("ord") + F.col("_step")).alias("ord"),
+            rest.join(hop, ["pa", "pb"], "left").select(
+                "a", "b", "length", F.coalesce("_na", "pa").alias("pa"), F.coalesce("_nb", "pb").alias("pb"),
+                (F.col("ord") + F.coalesce("_step", F.lit(0))).alias("ord"),
             )
         )
     chains = settled.groupBy("ra", "rb").agg(

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from concourse.functions.geometry import point as pt
+from concourse.operators import grid as gd
 from concourse.operators import network as nw
+from concourse.operators import routing as rt
 from concourse.plans import bindings as b
 from concourse.plans.registry import query
+from concourse.session import cut
 
 
 def _steps(t, accessible: bool = False):
@@ -52,3 +56,379 @@ MATRIX = "SELECT source AS start_node, node AS end_node, cost FROM best WHERE no
 @query("gr_all_pairs", costs_sql(NATIONS, MATRIX))
 def all_pairs(t):
     return nw.cost_matrix(_steps(t), _nations(t))
+
+
+WEIGHED_SQL = COSTS_SQL.replace("d.cost", "(d.cost * 100000 + 1)")
+
+
+@query(
+    "gr_shortest_paths",
+    f"""WITH RECURSIVE {b.NETWORK_SQL},
+origins AS ({NATIONS}),
+{WEIGHED_SQL}
+SELECT source || '>' || node AS route_id, cost % 100000 AS steps, cost // 100000 AS cost FROM best WHERE node IN (SELECT node_id FROM origins) AND source <> node""",
+)
+def shortest_paths(t):
+    """Every nation-to-nation path, folded to its step count and summed step costs."""
+    steps = _steps(t)
+    tree = cut(nw.shortest_tree(steps, _nations(t).select(F.col("node_id").alias("source"))))
+    ends = _nations(t).select(F.col("node_id").alias("target"))
+    wanted = tree.filter("hops > 0").join(ends, F.col("node") == F.col("target"), "left_semi")
+    wanted = wanted.select(F.concat_ws(">", "source", "node").alias("route_id"), "source", F.col("node").alias("target"))
+    walked = nw.path_steps(tree, wanted)
+    costs = steps.select("edge_id", F.col("src").alias("from_node"), F.col("dst").alias("to_node"), "cost")
+    full = walked.join(costs, ["edge_id", "from_node", "to_node"])
+    return full.groupBy("route_id").agg(F.count(F.lit(1)).alias("steps"), F.sum("cost").alias("cost"))
+
+
+@query(
+    "gr_reachability",
+    f"""WITH RECURSIVE {b.NETWORK_SQL},
+links AS (SELECT from_node AS a, to_node AS z FROM nav_edges WHERE path_type <> 'corridor' UNION ALL SELECT to_node, from_node FROM nav_edges WHERE path_type <> 'corridor'),
+seen AS (SELECT 'R0' AS node UNION SELECT z FROM seen JOIN links ON node = a)
+SELECT node FROM seen""",
+)
+def reachability(t):
+    doors = b.nav_edges(t).filter("path_type <> 'corridor'")
+    root = t.region.filter("r_regionkey = 0").select(F.lit("R0").alias("node_id"))
+    return nw.reachable(doors, root)
+
+
+@query("gr_tree_control")
+def tree_control(t):
+    root = t.nation.filter("n_nationkey = 0").select(F.lit("N0").alias("node_id"))
+    return nw.tree_detours(_steps(t), root, _nations(t)).select("start_node", "end_node", "cost", "tree_cost", "worse")
+
+
+@query(
+    "gr_detour_via",
+    costs_sql(
+        NATIONS,
+        f""", matrix AS ({MATRIX}),
+trips AS (SELECT 'N' || a.n_nationkey AS s, 'N' || z.n_nationkey AS e FROM nation a JOIN nation z ON a.n_regionkey = z.n_regionkey AND a.n_nationkey <> z.n_nationkey WHERE a.n_nationkey > 0 AND z.n_nationkey > 0)
+SELECT s AS start_node, e AS end_node, d.cost AS direct, f.cost + l.cost AS via_cost, round(d.cost::DOUBLE / (f.cost + l.cost), 6) AS ratio
+FROM trips JOIN matrix d ON d.start_node = s AND d.end_node = e JOIN matrix f ON f.start_node = s AND f.end_node = 'N0' JOIN matrix l ON l.start_node = 'N0' AND l.end_node = e""",
+    ).replace("GROUP BY b.source, d.dst))\n, matrix", "GROUP BY b.source, d.dst)),\nmatrix"),
+)
+def detour_via(t):
+    a = t.nation.filter("n_nationkey > 0").select("n_regionkey", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("start_node"))
+    z = t.nation.filter("n_nationkey > 0").select("n_regionkey", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("end_node"))
+    trips = a.join(z, "n_regionkey").filter("start_node <> end_node").select("start_node", F.lit("N0").alias("stop_node"), "end_node")
+    out = nw.via(cut(all_pairs(t)), trips)
+    return out.select("start_node", "end_node", "direct", "via_cost", F.round("ratio", 6).alias("ratio"))
+
+
+LINKS_SQL = """steps_in AS (SELECT user_id, event_id, event_type, ts, x, y, lag(event_id) OVER w AS prev_id, lead(event_id) OVER w AS next_id,
+  abs(lead(x) OVER w - x) + abs(lead(y) OVER w - y) AS length FROM marks WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+
+def _track_links(t):
+    """Undirected links between successive events of a user; sign-ups are stops."""
+    from concourse.operators.ordered import neighbours
+
+    m = neighbours(b.marks(t), ["user_id"], ["ts", "event_id"], b.day_chunk(), next={"nx": "x", "ny": "y", "next_id": "event_id"})
+    length = F.abs(F.col("nx") - F.col("x")) + F.abs(F.col("ny") - F.col("y"))
+    links = m.filter("next_id is not null").select(F.col("event_id").alias("from_node"), F.col("next_id").alias("to_node"), length.alias("length"))
+    stops = t.events.filter("event_type = 'signup'").select(F.col("event_id").alias("node_id"))
+    return links, stops
+
+
+@query(
+    "gr_special_vertices",
+    b.with_sql(
+        b.EVENTS_SQL,
+        LINKS_SQL,
+        body="SELECT event_id AS node_id FROM steps_in WHERE event_type = 'signup' OR ((prev_id IS NULL) <> (next_id IS NULL))",
+    ),
+)
+def special_vertices(t):
+    links, stops = _track_links(t)
+    return nw.special_vertices(links, stops)
+
+
+@query(
+    "gr_contract_chains",
+    b.with_sql(
+        b.EVENTS_SQL,
+        LINKS_SQL,
+        """stopped AS (SELECT *, sum(CASE WHEN event_type = 'signup' OR prev_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part
+  FROM steps_in WHERE next_id IS NOT NULL),
+chains AS (SELECT arg_min(event_id, (ts, event_id)) AS a, arg_max(next_id, (ts, event_id)) AS z, sum(length) AS length, count(*) AS parts FROM stopped GROUP BY user_id, part)""",
+        body="SELECT least(a, z) AS start_node, greatest(a, z) AS end_node, CAST(length AS BIGINT) AS length, parts FROM chains",
+    ),
+)
+def contract(t):
+    links, stops = _track_links(t)
+    links = cut(links)
+    edges, _ = nw.contract_chains(links, cut(nw.special_vertices(links, stops)))
+    return edges.select("start_node", "end_node", "length", "parts")
+
+
+# ---------------------------------------------------------------- grids
+
+BOXES_SQL = (
+    b.EVENTS_SQL
+    + """, boxes AS (SELECT user_id AS domain_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM marks GROUP BY user_id),
+xs AS (SELECT domain_id, x0, y0, x1, y1, unnest(generate_series(CAST(floor(x0 / 100) AS BIGINT), CAST(floor(x1 / 100) AS BIGINT) + 1)) AS ix FROM boxes),
+lattice AS (SELECT *, unnest(generate_series(CAST(floor(y0 / 100) AS BIGINT), CAST(floor(y1 / 100) AS BIGINT) + 1)) AS iy FROM xs),
+cells AS (SELECT domain_id, ix, iy, least(ix * 100 - x0, x1 - ix * 100, iy * 100 - y0, y1 - iy * 100) AS clearance FROM lattice
+  WHERE ix * 100 > x0 AND ix * 100 < x1 AND iy * 100 > y0 AND iy * 100 < y1)"""
+)
+GRID = 100.0
+
+
+def _domains(t):
+    from concourse.plans.spatial_joins import box_ring
+
+    box = b.marks(t).groupBy(F.col("user_id").alias("domain_id")).agg(
+        *[fn(c).cast("double").alias(n) for fn, c, n in ((F.min, "x", "min_x"), (F.min, "y", "min_y"), (F.max, "x", "max_x"), (F.max, "y", "max_y"))]
+    )
+    return box.withColumn("ring", box_ring())
+
+
+@query("gr_grid_cells", b.with_sql(BOXES_SQL, body="SELECT domain_id, ix, iy FROM cells"))
+def grid_cells(t):
+    return gd.grid_cells(_domains(t), GRID).select("domain_id", "ix", "iy")
+
+
+@query("gr_clearance", b.with_sql(BOXES_SQL, body="SELECT domain_id, ix, iy, CAST(clearance AS DOUBLE) AS clearance FROM cells"))
+def clearance(t):
+    domains = _domains(t)
+    return gd.clearance(gd.grid_cells(domains, GRID), domains).select("domain_id", "ix", "iy", "clearance")
+
+
+@query(
+    "gr_grid_links",
+    b.with_sql(
+        BOXES_SQL,
+        "offsets AS (SELECT unnest([1, 0, 1, -1]) AS dx, unnest([0, 1, 1, 1]) AS dy)",
+        body="""SELECT a.domain_id, a.ix AS ix0, a.iy AS iy0, z.ix AS ix1, z.iy AS iy1, round(100 * sqrt(dx * dx + dy * dy), 4) AS length,
+  round(100 * sqrt(dx * dx + dy * dy) * (1 + 8.0::DOUBLE / greatest(least(a.clearance, z.clearance), 0.25)), 4) AS cost
+FROM cells a, offsets JOIN cells z ON z.domain_id = a.domain_id AND z.ix = a.ix + dx AND z.iy = a.iy + dy""",
+    ),
+)
+def grid_links(t):
+    domains = _domains(t)
+    cells = gd.clearance(gd.grid_cells(domains, GRID), domains)
+    links = gd.grid_links(cut(cells), domains, GRID)
+    return links.withColumns({"length": F.round("length", 4), "cost": F.round("cost", 4)})
+
+
+OFFSETS_SQL = """doors AS (SELECT route_id AS door_id, (ax + bx) / 2.0::DOUBLE AS mx, (ay + by_) / 2.0::DOUBLE AS my, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS len,
+  -(by_ - ay) AS nx, bx - ax AS ny FROM routes WHERE ax <> bx OR ay <> by_),
+offsets AS (SELECT unnest([2, 4, 6, 10, 15, 22, 30, -2, -4, -6, -10, -15, -22, -30]) AS v),
+spots AS (SELECT door_id, v, mx + nx / len * v AS x, my + ny / len * v AS y FROM doors, offsets),
+inside AS (SELECT DISTINCT door_id, v, s.x, s.y FROM spots s JOIN points p ON s.x BETWEEN p.x - 40 AND p.x + 40 AND s.y BETWEEN p.y - 30 AND p.y + 30),
+verts AS (SELECT DISTINCT CAST(floor(x / 30) AS BIGINT) AS ix, CAST(floor(y / 30) AS BIGINT) AS iy FROM points),
+near AS (SELECT door_id, v, x, y, ix, iy, sqrt((ix * 30 - x) ** 2 + (iy * 30 - y) ** 2) AS gap FROM inside JOIN verts
+  ON abs(ix - round_even(x / 30, 0)) <= 10 AND abs(iy - round_even(y / 30, 0)) <= 10),
+snapped AS (SELECT door_id, v, x, y, min((gap, iy, ix)) AS m FROM near WHERE gap > 0.001 GROUP BY ALL),
+best AS (SELECT door_id, min((abs(v), abs(m[3]) + abs(m[2]), x, y, m[2], m[3])) AS o FROM snapped GROUP BY door_id)"""
+
+
+@query(
+    "gr_endpoint_candidates",
+    b.with_sql(
+        b.SPANS_SQL,
+        b.POINTS_SQL,
+        OFFSETS_SQL,
+        body="SELECT door_id, CAST(o[1] AS DOUBLE) AS door_distance, o[2] AS path_distance, round(o[3], 4) AS x, round(o[4], 4) AS y, o[5] AS iy, o[6] AS ix FROM best",
+    ),
+)
+def endpoint_candidates(t):
+    from concourse.plans.spatial_joins import _square
+
+    doors = b.route_segments(t).select(
+        F.col("route_id").alias("door_id"), *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by_")]
+    )
+    cell = lambda c: F.floor(F.col(c) / 30)
+    verts = b.points(t).select(cell("x").alias("ix"), cell("y").alias("iy")).distinct()
+    verts = verts.withColumn("path_distance", F.abs("ix") + F.abs("iy"))
+    best = gd.choose_endpoints(doors, _square(t), verts, 30.0, base=8.0)
+    return best.select("door_id", "door_distance", "path_distance", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "iy", "ix")
+
+
+# ---------------------------------------------------------------- floor graphs: one per nation and market segment
+
+FLOORS_SQL = """floor_nodes AS (
+  SELECT c_nationkey || '/' || c_mktsegment AS bundle_id, 'C' || c_custkey AS id, CASE WHEN c_acctbal > 9000 THEN 'candidate' ELSE 'confirmed' END AS status FROM customer
+  UNION ALL SELECT DISTINCT c_nationkey || '/' || c_mktsegment, 'H', 'confirmed' FROM customer),
+floor_edges AS (SELECT c_nationkey || '/' || c_mktsegment AS bundle_id, 'E' || c_custkey AS id, 'C' || c_custkey AS a,
+  CASE WHEN c_acctbal < -950 THEN c_acctbal ELSE 10 + c_custkey END AS distance, CASE WHEN c_acctbal BETWEEN 0 AND 500 THEN 'closed' ELSE 'open' END AS restriction,
+  CASE WHEN c_acctbal BETWEEN 500 AND 2000 THEN 'unknown' ELSE 'confirmed' END AS accessibility, c_acctbal > 8000 AND c_acctbal < 8400 AS unplugged FROM customer),
+live AS (SELECT e.*, n.status FROM floor_edges e JOIN floor_nodes n ON n.bundle_id = e.bundle_id AND n.id = e.a WHERE restriction = 'open' AND n.status = 'confirmed'),
+faults AS (SELECT bundle_id, id AS element, 'bad distance' AS fault FROM live WHERE distance < 0
+  UNION ALL SELECT bundle_id, id, 'loose geometry' FROM live WHERE unplugged)"""
+
+
+def _floor_tables(t):
+    """Star graphs: a hub per nation and segment, one door edge per customer.
+
+    Customers far in debt give broken distances, a band of balances gives geometry that misses its node.
+    """
+    c = t.customer.withColumn("bundle_id", F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment"))
+    key = F.col("c_custkey").cast("string")
+    here, hub = pt(F.col("c_custkey") + 10, F.lit(0)), pt(F.lit(0), F.lit(0))
+    node = lambda i, p, s: [
+        "bundle_id", i.alias("id"), F.lit("B").alias("buildingId"), F.lit("F").alias("floorId"), p.alias("xy"),
+        F.lit("junction").alias("type"), F.lit(None).cast("string").alias("roomId"), s.alias("status"),
+    ]
+    customers = c.select(*node(F.concat(F.lit("C"), key), here, F.when(F.col("c_acctbal") > 9000, "candidate").otherwise("confirmed")))
+    hubs = c.select("bundle_id").distinct().select(*node(F.lit("H"), hub, F.lit("confirmed")))
+    balance = F.col("c_acctbal")
+    astray = pt(F.col("c_custkey") + 10, F.lit(1))
+    unplugged = (balance > 8000) & (balance < 8400)
+    edges = c.select(
+        "bundle_id",
+        F.concat(F.lit("E"), key).alias("id"),
+        F.concat(F.lit("C"), key).alias("from"),
+        F.lit("H").alias("to"),
+        F.lit("F").alias("floorId"),
+        F.lit("corridor").alias("pathType"),
+        F.when(balance < -950, balance).otherwise((F.col("c_custkey") + 10).cast("double")).alias("distance"),
+        F.lit("map-unit").alias("distanceUnit"),
+        F.when(balance.between(500, 2000), "unknown").otherwise("confirmed").alias("accessibility"),
+        F.when(balance.between(0, 500), "closed").otherwise("open").alias("restriction"),
+        F.lit("confirmed").alias("status"),
+        F.lit(True).alias("bidirectional"),
+        F.array(F.when(unplugged, astray).otherwise(here), hub).alias("path"),
+    )
+    graphs = c.select("bundle_id").distinct().select(
+        "bundle_id",
+        F.lit(None).cast("string").alias("policy"),
+        F.lit(None).cast("double").alias("meters_per_unit"),
+        F.lit("unknown").alias("calibration_status"),
+        F.when(F.col("bundle_id").like("%/BUILDING"), "confirmed").otherwise("candidate").alias("status"),
+        F.lit(0).alias("n_areas"),
+        F.lit(0).alias("n_walls"),
+    )
+    spark = t.spark
+    areas = spark.createDataFrame([], "bundle_id string, ord int, ring array<struct<x:double,y:double>>")
+    walls = spark.createDataFrame([], "bundle_id string, ord int, path array<struct<x:double,y:double>>")
+    return {"nodes": customers.unionByName(hubs), "edges": edges, "graphs": graphs, "areas": areas, "walls": walls}
+
+
+@query("gr_graph_health", b.with_sql(FLOORS_SQL, body="SELECT bundle_id, element, fault FROM faults"))
+def graph_health(t):
+    return rt.graph_violations(_floor_tables(t), geometry=False)
+
+
+@query(
+    "gr_route_status",
+    b.with_sql(
+        FLOORS_SQL,
+        """asked AS (SELECT o_orderkey AS route_id, c_nationkey || '/' || c_mktsegment AS bundle_id, CASE WHEN o_orderpriority <> '5-LOW' THEN 'C' || c_custkey END AS s,
+  CASE o_orderstatus WHEN 'O' THEN 'H' WHEN 'F' THEN 'C' || o_orderkey END AS e, o_orderpriority = '1-URGENT' AS accessible FROM orders JOIN customer ON o_custkey = c_custkey),
+joined AS (SELECT a.*, a.bundle_id LIKE '%/BUILDING' AS sealed, a.bundle_id IN (SELECT bundle_id FROM faults) AS broken, sn.status AS s_status, en.status AS e_status,
+    CASE WHEN s = e OR s = 'H' THEN 0 WHEN se.accessibility = 'confirmed' OR NOT accessible THEN se.distance END AS s_leg,
+    CASE WHEN e = 'H' OR s = e THEN 0 WHEN ee.accessibility = 'confirmed' OR NOT accessible THEN ee.distance END AS e_leg
+  FROM asked a LEFT JOIN floor_nodes sn ON sn.bundle_id = a.bundle_id AND sn.id = s LEFT JOIN floor_nodes en ON en.bundle_id = a.bundle_id AND en.id = e
+  LEFT JOIN live se ON se.bundle_id = a.bundle_id AND se.a = s LEFT JOIN live ee ON ee.bundle_id = a.bundle_id AND ee.a = e),
+judged AS (SELECT *, CASE WHEN s IS NULL THEN 'unavailable:start' WHEN e IS NULL THEN 'unavailable:destination' WHEN broken THEN 'invalid:invalid'
+  WHEN s_status IS NULL OR e_status IS NULL THEN CASE WHEN sealed THEN 'invalid:missing' ELSE 'unconfirmed:unconfirmed' END
+  WHEN s_status <> 'confirmed' OR e_status <> 'confirmed' THEN 'unconfirmed:unconfirmed'
+  WHEN s_leg + e_leg IS NOT NULL THEN 'ok:' WHEN accessible THEN 'unavailable:accessible' WHEN sealed THEN 'unavailable:disconnected' ELSE 'unconfirmed:unconfirmed' END AS outcome FROM joined)""",
+        body="""SELECT route_id, split_part(outcome, ':', 1) AS status, nullif(split_part(outcome, ':', 2), '') AS reason,
+  CASE WHEN outcome = 'ok:' THEN CAST(s_leg + e_leg AS DOUBLE) ELSE 0.0::DOUBLE END AS distance FROM judged""",
+    ),
+)
+def route_status(t):
+    c = t.customer.select("c_custkey", F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("bundle_id"))
+    asked = t.orders.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("route_id"),
+        "bundle_id",
+        F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("C"), F.col("c_custkey").cast("string"))).alias("start_node"),
+        F.when(F.col("o_orderstatus") == "O", "H")
+        .when(F.col("o_orderstatus") == "F", F.concat(F.lit("C"), F.col("o_orderkey").cast("string")))
+        .alias("end_node"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("accessible"),
+    )
+    outcome, _ = rt.route_requests(asked, _floor_tables(t), geometry=False)
+    return outcome.select("route_id", "status", "reason", "distance")
+
+
+@query(
+    "gr_path_validation",
+    b.with_sql(
+        b.NETWORK_SQL,
+        """seqs AS (SELECT o_orderkey AS path_id, 'S' || s_suppkey AS n1, 'N' || c_nationkey AS n2, 'R' || n_regionkey AS n3, 'D' || s_suppkey AS e1, 'E' || n_nationkey AS e2
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = c_custkey JOIN nation ON n_nationkey = s_nationkey)""",
+        body="""SELECT path_id FROM seqs JOIN nav_nodes ON node_id = n1 AND status = 'confirmed' JOIN directed a ON a.edge_id = e1 AND a.src = n1 AND a.dst = n2
+JOIN directed z ON z.edge_id = e2 AND z.src = n2 AND z.dst = n3""",
+    ),
+)
+def path_validation(t):
+    """Claimed supplier-nation-region paths, right only where customer and supplier share the nation."""
+    tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    claims = (
+        t.orders.select("o_orderkey", "o_custkey")
+        .join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("c_custkey"))
+        .join(t.nation.select("n_nationkey", "n_regionkey"), F.col("n_nationkey") == F.col("s_nationkey"))
+    )
+    sequences = claims.select(
+        F.col("o_orderkey").alias("path_id"),
+        F.array(tag("S", "s_suppkey"), tag("N", "c_nationkey"), tag("R", "n_regionkey")).alias("nodes"),
+        F.array(tag("D", "s_suppkey"), tag("E", "n_nationkey")).alias("edges"),
+    )
+    starts = nw.supported(b.nav_nodes(t), nw.VERIFIED)
+    return rt.valid_paths(sequences, _steps(t), starts)
+
+
+PATH_TYPES = {"click": "corridor", "view": "door", "error": "stairs", "signup": "corridor", "purchase": "entrance"}
+
+
+def track_steps(t):
+    """Event tracks as route steps: the event type gives the kind of connection, a corner point the bend."""
+    from concourse.operators.ordered import neighbours, ordinal_chunk, row_numbers
+
+    numbered = row_numbers(b.marks(t), ["user_id"], ["ts", "event_id"], b.day_chunk(), "ord")
+    m = neighbours(
+        numbered, ["user_id"], ["ord"], ordinal_chunk("ord"),
+        next={"nx": "x", "ny": "y", "next_id": "event_id", "next_ts": "ts", "next_type": "event_type"},
+    ).filter("next_id is not null")
+    kind = F.lit(None).cast("string")
+    for event, path_type in PATH_TYPES.items():
+        kind = F.when(F.col("event_type") == event, path_type).otherwise(kind)
+    corner = pt(F.col("nx"), F.col("y"))
+    return m.select(
+        F.col("user_id").alias("route_id"),
+        "ord",
+        F.col("event_id").cast("string").alias("from_node"),
+        F.col("next_id").cast("string").alias("to_node"),
+        F.to_date("ts").cast("string").alias("from_floor"),
+        F.to_date("next_ts").cast("string").alias("to_floor"),
+        F.when(F.col("event_type") == "purchase", "entrance").otherwise("junction").alias("from_type"),
+        F.when(F.col("next_type") == "purchase", "door").otherwise("junction").alias("to_type"),
+        F.lit(None).cast("string").alias("to_room"),
+        kind.alias("path_type"),
+        (F.abs(F.col("nx") - F.col("x")) + F.abs(F.col("ny") - F.col("y"))).cast("double").alias("cost"),
+        F.array(pt(F.col("x"), F.col("y")), corner, pt(F.col("nx"), F.col("ny"))).alias("path"),
+    )
+
+
+@query("win_instructions")
+def instructions(t):
+    from concourse.operators.instructions import instructions as render
+
+    steps = cut(track_steps(t))
+    routes = steps.groupBy("route_id").agg(F.min_by("from_node", "ord").alias("start_node"))
+    return render(steps, routes)
+
+
+@query(
+    "prj_instruction_text",
+    """SELECT event_id, CASE event_type WHEN 'click' THEN 'Turn left.' WHEN 'view' THEN 'Turn right.' WHEN 'signup' THEN 'You have arrived at your destination.'
+  WHEN 'error' THEN 'Take the stairs' || CASE WHEN value > 50 THEN ' to floor ' || user_id || '.' ELSE '.' END
+  ELSE 'Take the elevator' || CASE WHEN value > 50 THEN ' to floor ' || user_id || '.' ELSE '.' END END AS text_en FROM events""",
+)
+def instruction_text(t):
+    from concourse.operators.instructions import render_text
+
+    kinds = {"click": "left", "view": "right", "signup": "arrival", "error": "stairs", "purchase": "elevator"}
+    kind = F.lit(None).cast("string")
+    for event, name in kinds.items():
+        kind = F.when(F.col("event_type") == event, name).otherwise(kind)
+    lifted = F.col("event_type").isin("error", "purchase") & (F.col("value") > 50)
+    rows = t.events.select("event_id", kind.alias("type"), F.when(lifted, F.col("user_id").cast("string")).alias("floor"))
+    return render_text(rows).select("event_id", "text_en")
