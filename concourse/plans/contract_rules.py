@@ -107,7 +107,7 @@ def bundle_tables(t):
         F.struct(F.col("c_name").alias("en"), F.when(bal.between(9000, 9100), "").otherwise(F.col("c_name")).alias("ar")).alias("name"),
         category.alias("category"),
         F.when(ring.isNotNull(), "ref").alias("geometryRef"),
-        F.when(segment == "HOUSEHOLD", _tag("S", "c_custkey")).alias("doorNodeId"),
+        F.when(segment == "HOUSEHOLD", _tag("S", "c_custkey")).when((segment == "AUTOMOBILE") & (bal > 8000), "H").alias("doorNodeId"),
         F.when((segment == "AUTOMOBILE") & (bal < 0), F.array("c_name", F.lit(""))).otherwise(F.array("c_name")).alias("aliases"),
         _tag("C", "c_custkey").alias("contentRef"),
         null("struct<en:string,ar:string>").alias("navigationNote"),
@@ -245,8 +245,10 @@ RULES = {
     "R24": """SELECT bundle_id, 'node' AS entity, 'S' || k AS path FROM supp s WHERE x < -0.001 OR (n = 8 AND x > 0.001) OR n = 6
   OR (bal < 9000 AND NOT EXISTS (SELECT 1 FROM cust c WHERE c.n = s.n AND c.k = s.k)) OR (bal >= 9000) UNION ALL SELECT bundle_id, 'node', 'H' FROM nat WHERE n = 6""",
     "R25": """SELECT bundle_id, 'place' AS entity, 'P' || k AS path FROM cust c WHERE seg = 'HOUSEHOLD' AND NOT EXISTS
-  (SELECT 1 FROM supp s WHERE s.n = c.n AND s.k = c.k AND s.bal < 9000 AND (s.bal > 0 OR s.drawing))""",
-    "R26": """SELECT bundle_id, 'place' AS entity, 'P' || k AS path FROM cust c WHERE seg = 'HOUSEHOLD' AND EXISTS (SELECT 1 FROM supp s WHERE s.n = c.n AND s.k = c.k AND s.node_ok)""",
+  (SELECT 1 FROM supp s WHERE s.n = c.n AND s.k = c.k AND s.bal < 9000 AND (s.bal > 0 OR s.drawing))
+  UNION ALL SELECT bundle_id, 'place', 'P' || k FROM cust WHERE seg = 'AUTOMOBILE' AND bal > 8000""",
+    "R26": """SELECT bundle_id, 'place' AS entity, 'P' || k AS path FROM cust c WHERE seg = 'HOUSEHOLD' AND EXISTS (SELECT 1 FROM supp s WHERE s.n = c.n AND s.k = c.k AND s.node_ok)
+  UNION ALL SELECT bundle_id, 'place', 'P' || k FROM cust WHERE seg = 'AUTOMOBILE' AND bal > 8000""",
     "R27": "SELECT bundle_id, 'kiosk' AS entity, CASE WHEN n < 2 THEN 'K0' ELSE 'K' || n END AS path FROM nat WHERE n % 2 = 0 AND n <= 10",
     "R28": "SELECT bundle_id, 'edge' AS entity, 'E' || k AS path FROM supp WHERE lost",
     "R29": "SELECT bundle_id, 'edge' AS entity, 'E' || k AS path FROM supp WHERE NOT lost AND (bal BETWEEN 2000 AND 2300 OR n = 6)",
@@ -264,8 +266,7 @@ RULES = {
     "R36": """SELECT bundle_id, 'node' AS entity, 'S' || k AS path FROM supp WHERE n < 5 AND NOT node_ok UNION ALL SELECT bundle_id, 'edge', 'E' || k FROM supp WHERE n < 5 AND NOT edge_ok""",
     "R37": """SELECT CAST(NULL AS VARCHAR) AS bundle_id, 'registry' AS entity, b AS path FROM nat GROUP BY b HAVING count(*) > 1
   UNION ALL SELECT NULL, 'registry', b || '/X9' FROM nat WHERE n = 6 UNION ALL SELECT NULL, 'registry', 'K0' FROM nat WHERE n = 0""",
-    "R40": """SELECT bundle_id, 'node' AS entity, 'S' || k AS path FROM supp s WHERE n <> 12 AND EXISTS (SELECT 1 FROM cust c WHERE c.n = s.n AND c.k = s.k AND c.seg = 'HOUSEHOLD')
-  AND (x < 0 OR x > 600 OR n = 13)""",
+    "R40": """SELECT bundle_id, 'node' AS entity, 'S' || k AS path FROM supp WHERE n <> 12 AND (x < 0 OR x > CASE WHEN n = 13 THEN 9 ELSE 600 END OR (n >= 20 AND x = 300 + n))""",
     "R43": """SELECT bundle_id, 'edge' AS entity, 'E' || k AS path FROM supp WHERE drawing AND (edge_ok OR bal >= 4000)
   UNION ALL SELECT bundle_id, 'kiosk', CASE WHEN n < 2 THEN 'K0' ELSE 'K' || n END FROM nat WHERE drawing AND n <= 10""",
 }
@@ -282,7 +283,11 @@ FRAMES = {
 
 
 def _frame(t, rule):
-    c = ct.Contract(bundle_tables(t))
+    tables = bundle_tables(t)
+    if rule == "R40":
+        # Every supplier node serves as some place's door here.
+        tables["places"] = tables["nodes"].filter("id <> 'H'").select("bundle_id", F.col("id").alias("doorNodeId"))
+    c = ct.Contract(tables)
     name = FRAMES[rule]
     if name == "features_all":
         return c.features().unionByName(c.rings())
