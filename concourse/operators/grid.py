@@ -14,9 +14,9 @@ PENALTY, CLEARANCE_FLOOR = 8.0, 0.25
 DOOR_OFFSETS = (2, 4, 6, 10, 15, 22, 30)
 
 
-def _on_ring(ring: Column, x: Column, y: Column) -> Column:
+def _on_ring(sides: Column, x: Column, y: Column) -> Column:
     return F.exists(
-        g.ring_sides(ring), lambda s: g.on_segment(x, y, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], g.OUTLINE)
+        sides, lambda s: g.on_segment(x, y, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], g.OUTLINE)
     )
 
 
@@ -27,36 +27,47 @@ def grid_cells(domains: DataFrame, step: float = STEP) -> DataFrame:
     lattice is generated by many tasks.
     """
     first = lambda c: F.floor(F.col(c) / step).cast("long")
-    columns = domains.select("domain_id", "ring", "min_y", "max_y", F.explode(F.sequence(first("min_x"), first("max_x") + 1)).alias("ix"))
+    columns = domains.select("domain_id", g.ring_sides(F.col("ring")).alias("_sides"), "min_y", "max_y", F.explode(F.sequence(first("min_x"), first("max_x") + 1)).alias("ix"))
     columns = columns.repartition("domain_id", "ix")
     cells = columns.withColumn("iy", F.explode(F.sequence(first("min_y"), first("max_y") + 1)))
     cells = cells.withColumns({"x": F.col("ix") * F.lit(float(step)), "y": F.col("iy") * F.lit(float(step))})
-    inside = g.ring_contains(F.col("ring"), F.col("x"), F.col("y")) & ~_on_ring(F.col("ring"), F.col("x"), F.col("y"))
+    inside = g.sides_contain(F.col("_sides"), F.col("x"), F.col("y")) & ~_on_ring(F.col("_sides"), F.col("x"), F.col("y"))
     return cells.filter(inside).select("domain_id", "ix", "iy", "x", "y")
 
 
 def clearance(cells: DataFrame, domains: DataFrame) -> DataFrame:
     """Distance of every cell to its domain's outline; the minimum is folded inside each row."""
     gaps = F.transform(
-        g.ring_sides(F.col("ring")),
+        F.col("_sides"),
         lambda s: g.point_segment_distance(
             F.col("x"), F.col("y"), s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
         ),
     )
-    joined = cells.join(domains.select("domain_id", "ring"), "domain_id")
-    return joined.withColumn("clearance", F.array_min(gaps)).drop("ring")
+    joined = cells.join(_sided(domains), "domain_id")
+    return joined.withColumn("clearance", F.array_min(gaps)).drop("_sides")
 
 
-def stays_inside(ring: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """The segment lies in the ring: no stretch between contacts with the outline is outside."""
-    sides = g.ring_sides(ring)
+def _sided(domains: DataFrame) -> DataFrame:
+    return domains.select("domain_id", g.ring_sides(F.col("ring")).alias("_sides"))
+
+
+def stays_inside(sides: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """The segment lies in the outline: no stretch between contacts with its sides is outside.
+
+    Without any contact one end decides, so the stretches are cut only where the outline is met.
+    """
+    touched = F.exists(
+        sides,
+        lambda s: g.segments_touch(ax, ay, bx, by, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], g.ROUTER),
+    )
     cuts = F.flatten(
         F.transform(sides, lambda s: g.cut_parameters(ax, ay, bx, by, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]))
     )
     ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
     n = F.size(ts) - 1
     mids = F.zip_with(F.slice(ts, F.lit(1), n), F.slice(ts, F.lit(2), n), lambda u, v: (u + v) / 2)
-    return F.forall(mids, lambda t: g.ring_contains(ring, ax + (bx - ax) * t, ay + (by - ay) * t))
+    stretches = F.forall(mids, lambda t: g.sides_contain(sides, ax + (bx - ax) * t, ay + (by - ay) * t))
+    return F.when(~touched, g.sides_contain(sides, ax, ay)).otherwise(stretches)
 
 
 def grid_links(cells: DataFrame, domains: DataFrame, step: float = STEP) -> DataFrame:
@@ -75,10 +86,12 @@ def grid_links(cells: DataFrame, domains: DataFrame, step: float = STEP) -> Data
         (F.col("ix") + F.col("o.dx")).alias("ix"),
         (F.col("iy") + F.col("o.dy")).alias("iy"),
     )
-    met = asked.join(cells, ["domain_id", "ix", "iy"]).join(domains.select("domain_id", "ring"), "domain_id")
-    whole = stays_inside(F.col("ring"), F.col("x0"), F.col("y0"), F.col("x"), F.col("y"))
-    length = F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
+    met = asked.join(cells, ["domain_id", "ix", "iy"]).join(_sided(domains), "domain_id")
+    length = g.norm(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
     tight = F.greatest(F.least("c0", "clearance"), F.lit(CLEARANCE_FLOOR))
+    # A link no longer than an end's clearance cannot leave the domain.
+    roomy = F.greatest("c0", "clearance") >= length
+    whole = F.when(roomy, True).otherwise(stays_inside(F.col("_sides"), F.col("x0"), F.col("y0"), F.col("x"), F.col("y")))
     return met.filter(whole).select(
         "domain_id",
         "ix0",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concourse.functions.geometry import path_sides
+from concourse.functions.geometry import norm, path_sides
 from concourse.functions.text import without_full_stop
 from concourse.operators.ordered import last_known, neighbours, ordinal_chunk
 from concourse.operators.sequences import fold_continue, heading_change, turn_of
@@ -49,7 +49,7 @@ def _vectors(path: Column) -> Column:
         path_sides(path),
         lambda s: F.struct((s["b"]["x"] - s["a"]["x"]).alias("dx"), (s["b"]["y"] - s["a"]["y"]).alias("dy")),
     )
-    return F.filter(moves, lambda v: F.hypot(v["dx"], v["dy"]) > SHORT)
+    return F.filter(moves, lambda v: norm(v["dx"], v["dy"]) > SHORT)
 
 
 def _turn(u: Column, v: Column) -> Column:

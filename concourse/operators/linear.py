@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concourse.functions.geometry import is_finite
+from concourse.functions.geometry import is_finite, norm
 from concourse.operators.measures import path_segments
 from concourse.operators.ordered import ordinal_chunk, running_sum
 
@@ -35,7 +35,7 @@ def measured(
     """
     chunk = chunk if chunk is not None else ordinal_chunk("ord")
     seg = path_segments(vertices, key, order, chunk)
-    step = F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
+    step = norm(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
     seg = seg.withColumn("seg", F.when(is_finite(step), step).otherwise(F.lit(0.0)))
     run = running_sum(seg, [key], order, chunk, F.col("seg"), "m1", total="total")
     return run.withColumn("m0", F.col("m1") - F.col("seg"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concourse.functions.geometry import cross, is_finite
+from concourse.functions.geometry import cross, is_finite, norm
 from concourse.operators.ordered import neighbours, ordinal_chunk
 
 PREVIEW_PAD, PREVIEW_MIN_WIDTH, PREVIEW_MIN_HEIGHT = 70.0, 220.0, 150.0
@@ -40,7 +40,7 @@ def polyline_length(vertices: DataFrame, key: str, order=("ord",), chunk: Column
     """Length per track; NaN as soon as any vertex is not a real number."""
     seg = path_segments(vertices, key, order, chunk)
     bad = ~(is_finite(F.col("x").cast("double")) & is_finite(F.col("y").cast("double")))
-    step = F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
+    step = norm(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
     sums = seg.groupBy(key).agg(F.coalesce(F.sum(F.when(~bad, step)), F.lit(0.0)).alias("_sum"), F.max(bad).alias("_bad"))
     return sums.select(key, F.when(F.col("_bad"), F.lit(float("nan"))).otherwise(F.col("_sum")).alias("length"))
 
@@ -48,7 +48,7 @@ def polyline_length(vertices: DataFrame, key: str, order=("ord",), chunk: Column
 def arc_length(vertices: DataFrame, key: str, order=("ord",), chunk: Column | None = None) -> DataFrame:
     """Length per track over the measurable segments only."""
     seg = path_segments(vertices, key, order, chunk)
-    step = F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
+    step = norm(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
     return seg.groupBy(key).agg(F.coalesce(F.sum(F.when(is_finite(step), step)), F.lit(0.0)).alias("length"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concourse.functions.geometry import norm
+
 
 def fk_violations(child: DataFrame, parent: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
     """Child rows whose non-NULL reference has no parent."""
@@ -66,7 +68,7 @@ def recompute_diff(
         *keys, F.col(x).alias("_x"), F.col(y).alias("_y"), *([F.col(name).alias("_name")] if name else []), F.lit(1).alias("_right")
     )
     joined = stored.withColumn("_left", F.lit(1)).join(other, list(keys), "full")
-    drift = F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"))
+    drift = norm(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"))
     renamed = ~F.col(name).eqNullSafe(F.col("_name")) if name else F.lit(False)
     missing = F.col("_left").isNull() | F.col("_right").isNull()
     out = joined.withColumn("drift", drift).filter(missing | (F.col("drift") >= tol) | renamed)

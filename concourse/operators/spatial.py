@@ -92,8 +92,10 @@ def points_in_polygons(
 ) -> DataFrame:
     """Boundary-inclusive containment pairs; polygons carry ``ring`` and its box columns."""
     x, y = F.col(xy[0]).cast("double"), F.col(xy[1]).cast("double")
-    near = bbox_join(points, polygons, [x, y, x, y], [F.col(c) for c in BOX], base, on, pad=tol.eps)
-    return near.filter(g.ring_contains(F.col("ring"), x, y, tol)).drop("ring", *BOX)
+    rest = [c for c in polygons.columns if c != "ring"]
+    prepared = polygons.select(*rest, g.ring_sides(F.col("ring")).alias("_sides"))
+    near = bbox_join(points, prepared, [x, y, x, y], [F.col(c) for c in BOX], base, on, pad=tol.eps)
+    return near.filter(g.sides_contain(F.col("_sides"), x, y, tol)).drop("_sides", *BOX)
 
 
 def _span(ax: str, ay: str, bx: str, by: str) -> list[Column]:
@@ -156,7 +158,7 @@ def cut_intervals(
         *on,
         "t0",
         "t1",
-        ((F.col("t1") - F.col("t0")) * F.hypot(dx, dy)).alias("len"),
+        ((F.col("t1") - F.col("t0")) * g.norm(dx, dy)).alias("len"),
         (F.col("ax") + dx * middle).alias("mid_x"),
         (F.col("ay") + dy * middle).alias("mid_y"),
     )
@@ -189,9 +191,10 @@ def interior_overlap(
     segments: DataFrame, polygons: DataFrame, key: str, poly_key: str, tol: float, base: float = 1.0
 ) -> DataFrame:
     """Length of every segment inside every polygon's interior, where it exceeds ``tol``."""
-    near = bbox_join(segments, polygons, _span(*SEG), [F.col(c) for c in BOX], base)
-    pairs = near.select(F.concat_ws("|", key, poly_key).alias("_pair"), key, poly_key, *SEG, "ring")
-    sides = g.ring_sides(F.col("ring"))
+    prepared = polygons.select(poly_key, *BOX, g.ring_sides(F.col("ring")).alias("_sides"))
+    near = bbox_join(segments, prepared, _span(*SEG), [F.col(c) for c in BOX], base)
+    pairs = near.select(key, poly_key, *SEG, "_sides")
+    sides = F.col("_sides")
     a, bb, c, d = (F.col(n).cast("double") for n in SEG)
     cuts = F.flatten(
         F.transform(
@@ -208,9 +211,9 @@ def interior_overlap(
     on_side = F.exists(
         sides, lambda s: g.on_segment(mx, my, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], g.OUTLINE)
     )
-    strictly = g.ring_contains(F.col("ring"), mx, my) & ~on_side
+    strictly = g.sides_contain(sides, mx, my) & ~on_side
     lengths = pieces.filter(strictly).groupBy(key, poly_key).agg(
-        F.sum((F.col("_s.t1") - F.col("_s.t0")) * F.hypot(c - a, d - bb)).alias("inside")
+        F.sum((F.col("_s.t1") - F.col("_s.t0")) * g.norm(c - a, d - bb)).alias("inside")
     )
     return lengths.filter(F.col("inside") > tol)
 
@@ -335,7 +338,7 @@ def nearest_pairs(a: DataFrame, z: DataFrame, dx: float, dy: float, reach: float
         near3 = lambda c: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
         lc = left.withColumns({"_cx": cell("ax"), "_cy": cell("ay")})
         rc = right.withColumn("_cx", near3("zx")).withColumn("_cy", near3("zy"))
-        gap = F.hypot(F.col("ax") - F.col("zx"), F.col("ay") - F.col("zy"))
+        gap = g.norm(F.col("ax") - F.col("zx"), F.col("ay") - F.col("zy"))
         best = (
             lc.join(rc, ["anchor", "_cx", "_cy"])
             .withColumn("residual", gap)
@@ -361,7 +364,7 @@ def snap_to_grid(points: DataFrame, cells: DataFrame, step: float, window: int =
     asked = points.withColumn("iy", F.explode(F.transform(reach, lambda d: near_y + d)))
     asked = asked.withColumn("ix", F.explode(F.transform(reach, lambda d: near_x + d)))
     hits = asked.join(cells.select("ix", "iy"), ["ix", "iy"])
-    gap = F.hypot(F.col("ix") * step - F.col("x"), F.col("iy") * step - F.col("y"))
+    gap = g.norm(F.col("ix") * step - F.col("x"), F.col("iy") * step - F.col("y"))
     near = hits.withColumn("gap", gap).filter(F.col("gap") > 0.001)
     best = near.groupBy("point_id").agg(F.min(F.struct("gap", "iy", "ix")).alias("_b"))
     return best.select("point_id", F.col("_b.ix").alias("ix"), F.col("_b.iy").alias("iy"), F.col("_b.gap").alias("gap"))

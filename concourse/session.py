@@ -13,12 +13,17 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
+# Test-size inputs are few bytes with much arithmetic: keep them spread over the local cores.
+LOCAL = {
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", app: str = "concourse") -> SparkSession:
     """A local session for tests and the bench; a cluster passes its own session in."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for key, value in DEFAULTS.items():
+    for key, value in {**DEFAULTS, **LOCAL}.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.shuffle.partitions", str(cores)).config("spark.driver.memory", memory)
     spark = builder.getOrCreate()
