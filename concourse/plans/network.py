@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from concourse.functions.geometry import point as pt
 from concourse.operators import grid as gd
+from concourse.operators import instructions as ins
 from concourse.operators import network as nw
 from concourse.operators import routing as rt
 from concourse.plans import bindings as b
@@ -94,7 +95,26 @@ def reachability(t):
     return nw.reachable(doors, root)
 
 
-@query("gr_tree_control")
+def relax_sql(name: str, origins: str, steps: str, weight: str) -> str:
+    """A keyed recursion for cheapest costs over another step table."""
+    return COSTS_SQL.replace("best", name).replace("FROM origins", f"FROM {origins}").replace("JOIN directed d", f"JOIN {steps} d").replace("d.cost", weight)
+
+
+@query(
+    "gr_tree_control",
+    f"""WITH RECURSIVE {b.NETWORK_SQL},
+origins AS ({NATIONS}),
+root AS ({ONE_ORIGIN}),
+{relax_sql("rooted", "root", "directed", "(d.cost * 100000 + 1)")},
+parents AS (SELECT r.node, min((d.src, d.edge_id)) AS p FROM rooted r JOIN directed d ON d.dst = r.node JOIN rooted q ON q.node = d.src
+  WHERE q.cost + d.cost * 100000 + 1 = r.cost GROUP BY r.node),
+tree AS (SELECT d.src, d.dst, d.cost FROM parents JOIN directed d ON d.dst = node AND d.src = p[1] AND d.edge_id = p[2]),
+pruned AS (SELECT src, dst, cost FROM tree UNION ALL SELECT dst, src, cost FROM tree),
+{COSTS_SQL},
+{relax_sql("limited", "origins", "pruned", "d.cost")}
+SELECT f.source AS start_node, f.node AS end_node, f.cost, l.cost AS tree_cost, l.cost IS NULL OR l.cost > f.cost + 0.05 AS worse
+FROM best f LEFT JOIN limited l USING (source, node) WHERE f.node IN (SELECT node_id FROM origins) AND f.source <> f.node""",
+)
 def tree_control(t):
     root = t.nation.filter("n_nationkey = 0").select(F.lit("N0").alias("node_id"))
     return nw.tree_detours(_steps(t), root, _nations(t)).select("start_node", "end_node", "cost", "tree_cost", "worse")
@@ -407,13 +427,50 @@ def track_steps(t):
     )
 
 
-@query("win_instructions")
-def instructions(t):
-    from concourse.operators.instructions import instructions as render
+def _turn_sql(ux: str, uy: str, vx: str, vy: str) -> str:
+    angle = f"degrees(atan2(({ux} * {vy} - {uy} * {vx})::DOUBLE, ({ux} * {vx} + {uy} * {vy})::DOUBLE))"
+    return f"""CASE WHEN abs({angle}) < 15 - 1e-7 THEN 'continue' WHEN abs({angle}) < 45 - 1e-7 THEN CASE WHEN {angle} < 0 THEN 'slight-left' ELSE 'slight-right' END
+    WHEN {angle} < 0 THEN 'left' ELSE 'right' END"""
+
+
+TEXT_SQL = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in ins.TEXTS.items()) + " END"
+PATH_TYPE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PATH_TYPES.items()) + " END"
+INSTRUCTIONS_SQL = f"""laid AS (SELECT user_id AS route_id, event_id, {PATH_TYPE_SQL} AS path_type, x, y, CAST(ts AS DATE) AS day, row_number() OVER w AS ord,
+  lead(event_id) OVER w AS next_id, lead(x) OVER w - x AS ax, lead(y) OVER w - y AS ay, CAST(lead(ts) OVER w AS DATE) AS next_day, lead(event_type) OVER w AS next_type
+  FROM marks WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+steps AS (SELECT *, lead(ord) OVER w IS NULL AS is_last, lag(path_type) OVER w AS prev_path, CAST(abs(ax) + abs(ay) AS DOUBLE) AS cost,
+  CASE WHEN path_type = 'stairs' THEN [] WHEN ay <> 0 THEN [0, ay] WHEN ax <> 0 THEN [ax, 0] END AS mark,
+  CASE WHEN ax <> 0 THEN [ax, 0] WHEN ay <> 0 THEN [0, ay] END AS head FROM laid WHERE next_id IS NOT NULL WINDOW w AS (PARTITION BY route_id ORDER BY ord)),
+faced AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY route_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inc FROM steps),
+aimed AS (SELECT *, CASE WHEN len(inc) = 2 AND head IS NOT NULL THEN {_turn_sql('inc[1]', 'inc[2]', 'head[1]', 'head[2]')} ELSE 'continue' END AS dir FROM faced),
+told AS (SELECT *, is_last AND path_type = 'door' AND next_type = 'purchase' AND dir <> 'continue' AS beside FROM aimed),
+spoken AS (
+  SELECT route_id, ord, 0 AS sub, path_type AS type, event_id AS node, cost AS distance, CASE WHEN day <> next_day THEN CAST(next_day AS VARCHAR) END AS floor FROM told WHERE path_type = 'stairs'
+  UNION ALL SELECT route_id, ord, 0, CASE WHEN contains(dir, 'left') THEN 'destination-left' ELSE 'destination-right' END, next_id, cost, NULL FROM told WHERE path_type <> 'stairs' AND beside
+  UNION ALL SELECT route_id, ord, 0, dir, event_id, cost, NULL FROM told WHERE path_type <> 'stairs' AND NOT beside AND ord > 1
+  UNION ALL SELECT route_id, ord, 1, 'enter-corridor', event_id, NULL, NULL FROM told WHERE path_type = 'corridor' AND NOT beside AND prev_path IN ('door', 'entrance')
+  UNION ALL SELECT route_id, ord, 2, CASE WHEN ax * ay > 0 THEN 'right' ELSE 'left' END, event_id, NULL, NULL FROM told WHERE path_type <> 'stairs' AND ax <> 0 AND ay <> 0
+  UNION ALL SELECT route_id, 0, 0, 'start', arg_min(event_id, ord), arg_min(cost, ord), NULL FROM told GROUP BY route_id
+  UNION ALL SELECT route_id, max(ord) + 1, 0, 'arrival', arg_max(next_id, ord), 0, NULL FROM told GROUP BY route_id),
+flagged AS (SELECT *, CASE WHEN type = 'continue' AND lag(type) OVER (PARTITION BY route_id ORDER BY ord, sub) = 'continue' THEN 0 ELSE 1 END AS s FROM spoken),
+isles AS (SELECT *, sum(s) OVER (PARTITION BY route_id ORDER BY ord, sub ROWS UNBOUNDED PRECEDING) AS isle FROM flagged),
+folded AS (SELECT route_id, min(ord) AS ord, arg_min(sub, (ord, sub)) AS sub, any_value(type) AS type, arg_min(node, (ord, sub)) AS node, any_value(floor) AS floor,
+  CASE WHEN count(*) = 1 THEN max(distance) ELSE sum(coalesce(distance, 0)) END AS distance FROM isles GROUP BY route_id, isle)"""
+
 
+@query(
+    "win_instructions",
+    b.with_sql(
+        b.EVENTS_SQL,
+        INSTRUCTIONS_SQL,
+        body=f"""SELECT route_id, ord, sub, type, CAST(node AS VARCHAR) AS node, distance, CASE WHEN floor IS NULL THEN {TEXT_SQL}
+  ELSE replace({TEXT_SQL}, '.', '') || ' to floor ' || floor || '.' END AS text_en FROM folded""",
+    ),
+)
+def instructions(t):
     steps = cut(track_steps(t))
     routes = steps.groupBy("route_id").agg(F.min_by("from_node", "ord").alias("start_node"))
-    return render(steps, routes)
+    return ins.instructions(steps, routes).select("route_id", "ord", "sub", "type", "node", "distance", "text_en")
 
 
 @query(
@@ -423,12 +480,10 @@ def instructions(t):
   ELSE 'Take the elevator' || CASE WHEN value > 50 THEN ' to floor ' || user_id || '.' ELSE '.' END END AS text_en FROM events""",
 )
 def instruction_text(t):
-    from concourse.operators.instructions import render_text
-
     kinds = {"click": "left", "view": "right", "signup": "arrival", "error": "stairs", "purchase": "elevator"}
     kind = F.lit(None).cast("string")
     for event, name in kinds.items():
         kind = F.when(F.col("event_type") == event, name).otherwise(kind)
     lifted = F.col("event_type").isin("error", "purchase") & (F.col("value") > 50)
     rows = t.events.select("event_id", kind.alias("type"), F.when(lifted, F.col("user_id").cast("string")).alias("floor"))
-    return render_text(rows).select("event_id", "text_en")
+    return ins.render_text(rows).select("event_id", "text_en")
