@@ -99,25 +99,19 @@ def shortest_tree(steps: DataFrame, sources: DataFrame, scope: Sequence[str] = (
         frontier = best.filter("fresh").select(
             *group, F.col("node").alias("src"), F.col("best.cost").alias("_cost"), F.col("best.hops").alias("_hops")
         )
-        offers = (
-            frontier.join(steps, scope + ["src"])
-            .groupBy(*group, F.col("dst").alias("node"))
-            .agg(
-                F.min(
-                    label(F.col("_cost") + F.col("cost"), F.col("_hops") + 1, F.col("src"), F.col("edge_id"))
-                ).alias("offer")
-            )
+        offers = frontier.join(steps, scope + ["src"]).select(
+            *group,
+            F.col("dst").alias("node"),
+            label(F.col("_cost") + F.col("cost"), F.col("_hops") + 1, F.col("src"), F.col("edge_id")).alias("best"),
+            F.lit(True).alias("fresh"),
         )
-        better = F.col("best").isNull() | F.coalesce(F.col("offer") < F.col("best"), F.lit(False))
+        # Known labels and offers combine map-side and meet in one shuffle; on equal labels the known
+        # row (fresh = false) sorts first, so only true improvements travel on.
+        known = best.withColumn("fresh", F.lit(False)).unionByName(offers)
         best = cut(
-            best.drop("fresh")
-            .join(offers, group + ["node"], "full")
-            .select(
-                *group,
-                "node",
-                F.when(better, F.col("offer")).otherwise(F.col("best")).alias("best"),
-                (F.col("offer").isNotNull() & better).alias("fresh"),
-            )
+            known.groupBy(*group, "node")
+            .agg(F.min(F.struct("best", "fresh")).alias("_m"))
+            .select(*group, "node", F.col("_m.best").alias("best"), F.col("_m.fresh").alias("fresh"))
         )
         if best.filter("fresh").isEmpty():
             return best.select(*group, "node", "best.*")
