@@ -179,7 +179,7 @@ def cover_union(t):
 ZONE_CLIP_SQL = f"""parts AS (SELECT r.route_id, z.zone_id, r.ax, r.ay, r.bx, r.by_,
     -- signed side of both ends against each convex side, outline turning clockwise on screen
     {side_sql('z.cx', 'z.cy', 'z.dx', 'z.dy', 'r.ax', 'r.ay')} AS sa, {side_sql('z.cx', 'z.cy', 'z.dx', 'z.dy', 'r.bx', 'r.by_')} AS sb
-  FROM routes r, zone_sides z),
+  FROM routes r, zone_sides z WHERE z.cx <> z.dx OR z.cy <> z.dy),  -- a repeated vertex bounds no half-plane
 limits AS (SELECT route_id, zone_id, any_value(ax) AS ax, any_value(ay) AS ay, any_value(bx) AS bx, any_value(by_) AS by_,
     bool_or(sa <= 0 AND sb <= 0) AS outside,
     max(CASE WHEN sa < 0 AND sb > 0 THEN sa::DOUBLE / (sa - sb) ELSE 0 END) AS lo,
