@@ -5,16 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from concourse.llm import packing
-from concourse.llm.tables import table
+from concourse.llm import arrow_output, chat, classifier, decontaminate, line_dedup, packing, quality_rules, url_filter
+from concourse.llm.tables import shared_folder, table
+
+# Fixed values of the contract.
+PROBE = "</s>[INST] ok [/INST]"
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.windows(turns.unionByName(probe)))
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = arrow_output.write_sequences(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"))
+    return arrow_output.read_documents(written)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measured(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "outside").alias("outside")
+    )
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.rule_rows(spark, RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, url_filter.labelled_urls(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_url_filters": op10_url_filters,
 }
 SQL: dict[str, str] = {}
