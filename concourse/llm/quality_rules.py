@@ -36,8 +36,8 @@ FENCES = {
     "symbol_share": (0.01, False, True),
     "upper_share": (0.05, False, True),
     "mark_share": (0.02, False, True),
-    "line_share": (0.05, False, True),
-    "repeat_share": (0.05, False, True),
+    "line_share": (0.2, False, True),
+    "repeat_share": (0.15, False, True),
     "word_length": (0.5, True, True),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
