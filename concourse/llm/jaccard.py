@@ -26,7 +26,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concourse.llm.components import components
@@ -40,11 +40,12 @@ FREQUENT = 24
 MOST_FREQUENT = 1 << 17
 COUNTERS = 1 << 16
 STAR = 256
+SPLIT_GRADE = 12
 _U64 = np.uint64
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 SETS = "doc_id long, n_shingles long, low long, high long"
-ENTRIES = "shingle long, doc_id long, size int, at int"
-PAIRS = "a long, b long"
+ENTRIES = "shingle long, part int, doc_id long, size int, at int"
+FOUND = "a long, b long, shingle long, size int, at int"
 VERIFIED = "a long, b long, shared long, size_a long, size_b long"
 
 
@@ -67,8 +68,11 @@ def shingles(chunk: Chunk, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
         whole = [np.add.reduce(word[first[r] : first[r] + count[r]] * _STEPS[: count[r]]) + _U64(count[r]) for r in short]
         value = np.concatenate([value, mix(np.array(whole, dtype=np.uint64))])
         owner = np.concatenate([owner, short])
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
+        order = np.argsort(owner, kind="stable")
+        value, owner = value[order], owner[order]
+    cuts = np.searchsorted(owner, np.arange(chunk.rows + 1)).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        value[a:b].sort()
     keep = np.ones(len(value), dtype=bool)
     keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     value, owner = value[keep], owner[keep]
@@ -168,33 +172,57 @@ def least_shared(size_a, size_b, threshold: Fraction = THRESHOLD):
     return (p * (size_a + size_b) + q - 1) // q
 
 
+def _ordered(value: np.ndarray, offsets: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """Order of all shingles by text, then rarer first, then hash; they come sorted by hash."""
+    order = np.arange(len(value))
+    graded = np.flatnonzero(np.add.reduceat(grade, offsets[:-1][np.diff(offsets) > 0])) if len(value) else []
+    texts = np.flatnonzero(np.diff(offsets) > 0)
+    for i in texts[graded].tolist() if len(graded) else []:
+        a, b = offsets[i], offsets[i + 1]
+        order[a:b] = a + np.argsort(grade[a:b], kind="stable")
+    return order
+
+
 def index_entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The prefix of every set: shingle, doc_id, set size and position."""
+    """The prefix of every set: shingle, doc_id, set size and position.
+
+    The list of a very frequent shingle is dealt into parts by document, 1 and up; other lists are part 0.  Equal sets
+    of one task are listed once: copies are joined by their digests.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT pairs
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, grades = shared.value
+        (known, grades), seen = shared.value, set()
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 value, offsets = shingles(chunk)
                 sizes = np.diff(offsets)
-                owner = row_of(np.arange(len(value)), offsets) if len(value) else np.empty(0, np.int64)
+                low, high = signatures(value, offsets)
+                fresh = np.ones(chunk.rows, dtype=bool)
+                for i, digest in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+                    fresh[i] = digest not in seen
+                    if fresh[i] and len(seen) < COUNTERS:
+                        seen.add(digest)
+                owner = np.repeat(np.arange(chunk.rows), sizes)
                 grade = np.zeros(len(value), dtype=np.int64)
                 if len(known) and len(value):
                     at = np.minimum(np.searchsorted(known, value), len(known) - 1)
                     grade = np.where(known[at] == value, grades[at] + 1, 0)
-                order = np.lexsort((value, grade, owner))
-                value = value[order]
+                order = _ordered(value, offsets, grade)
                 place = np.arange(len(value)) - offsets[owner]
-                keep = np.flatnonzero(place < prefix_length(sizes)[owner])
+                keep = np.flatnonzero((place < prefix_length(sizes)[owner]) & fresh[owner])
+                value, grade = value[order[keep]], grade[order[keep]]
+                parts = np.left_shift(1, np.maximum(grade - SPLIT_GRADE, 0)).astype(np.uint64)
+                part = np.where(parts > 1, mix(value ^ low[owner[keep]]) % parts + _U64(1), _U64(0))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(value[keep])),
+                        pa.array(signed(value)),
+                        pa.array(part.astype(np.int32)),
                         batch.column(0).take(pa.array(owner[keep] + chunk.first)),
                         pa.array(sizes[owner[keep]].astype(np.int32)),
                         pa.array(place[keep].astype(np.int32)),
                     ],
-                    names=["shingle", "doc_id", "size", "at"],
+                    names=["shingle", "part", "doc_id", "size", "at"],
                 )
 
     return _rows(docs.filter(F.col("doc_id").isNotNull())).mapInArrow(index, ENTRIES)
@@ -242,41 +270,168 @@ def star_pairs(doc: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[t
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of each run of equal shingles, in a stream sorted by shingle; a run may span batches."""
+    """Columns of each list, in a stream sorted by (shingle, part); a list may span batches."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not batch.num_rows:
             continue
-        cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
-        parts = [list(p) for p in zip(*(np.split(c, cuts) for c in columns), strict=True)]
-        if held and held[-1][0][0] != parts[0][0][0]:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            held = []
-        held.append(parts[0])
-        if len(parts) > 1:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            yield from parts[1:-1]
-            held = [parts[-1]]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        fresh = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+        cuts = [0, *(np.flatnonzero(fresh) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = [c[a:b] for c in columns]
+            if held and (held[0][0][0], held[0][1][0]) != (part[0][0], part[1][0]):
+                yield held[0] if len(held) == 1 else [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            held.append(part)
     if held:
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _pairs_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    ordered = np.array([(min(p), max(p)) for p in pairs if p[0] != p[1]], dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(ordered[:, 0]), pa.array(ordered[:, 1])], names=["a", "b"])
-
-
-def _emit(runs: Iterator[list[np.ndarray]], make) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of many lists, in bounded batches."""
-    found: set[tuple[int, int]] = set()
-    for run in runs:
-        found.update((min(p), max(p)) for p in make(run))
-        if len(found) > 100_000:
-            yield _pairs_batch(found)
-            found = set()
-    yield _pairs_batch(found)
-
-
-def _by_shingle(entries: DataFrame) -> DataFrame:
-    return entries.repartition("shingle").sortWithinPartitions("shingle")
+def _found(pairs: set[tuple[int, int]], lists: list[list[np.ndarray]]) -> pa.RecordBatch:
+    ends = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+    none = [None] * len(ends)
+    shingle, doc, size, at = (np.concatenate([x[i] for x in lists]) if lists else np.empty(0, np.int64) for i in (0, 2, 3, 4))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([ends[:, 0], doc]), pa.int64()),
+            pa.concat_arrays([pa.array(ends[:, 1], pa.int64()), pa.nulls(len(doc), pa.int64())]),
+            *(
+                pa.concat_arrays([pa.array(none, kind), pa.array(c).cast(kind)])
+                for c, kind in ((shingle, pa.int64()), (size, pa.int32()), (at, pa.int32()))
+            ),
+        ],
+        names=["a", "b", "shingle", "size", "at"],
+    )
+
+
+def _read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of all lists, each once a batch, and the entries of the long ones (b is null there)."""
+    pairs: set[tuple[int, int]] = set()
+    kept, size = [], 0
+    for run in _lists(batches):
+        if len(run[0]) > 1 or run[1][0]:
+            long = len(run[0]) > SHORT_LIST or run[1][0]
+            found = (star_pairs if long else list_pairs)(run[2], run[3], run[4])
+            pairs.update((min(p), max(p)) for p in found if p[0] != p[1])
+            if long:
+                kept.append(run)
+                size += len(run[0])
+        if len(pairs) > 100_000 or size > 100_000:
+            yield _found(pairs, kept)
+            pairs, kept, size = set(), [], 0
+    yield _found(pairs, kept)
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact overlaps of pairs (a, b): texts meet at the end that has more pairs, at most about ``STAR`` in a group."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    degree = ends.groupBy("node").agg(F.count("*").alias("n"))
+    by_a, by_b = degree.withColumnsRenamed({"node": "a", "n": "na"}), degree.withColumnsRenamed({"node": "b", "n": "nb"})
+    placed = pairs.join(by_a, "a").join(by_b, "b")
+    lead = F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b"))
+    placed = placed.select(lead.alias("lead"), F.when(lead == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"), F.ceil(F.greatest("na", "nb") / STAR).cast("int").alias("parts"))
+    placed = stored(placed, "pairs")
+    part = F.pmod(F.xxhash64("other"), F.col("parts")).cast("int")
+    members = placed.select(F.col("other").alias("_node"), "lead", part.alias("part"), F.lit(1).alias("turn"))
+    leads = placed.select("lead", part.alias("part")).distinct().select(F.col("lead").alias("_node"), "lead", "part", F.lit(0).alias("turn"))
+    held = _rows(docs).join(members.union(leads), F.col("doc_id") == F.col("_node"))
+    held = held.select("lead", "part", "turn", "doc_id", "text").repartition("lead", "part").sortWithinPartitions("lead", "part", "turn")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, heads = None, []
+        for batch in batches:
+            for chunk in chunks(batch.column(4)):
+                value, offsets = shingles(chunk)
+                rows = batch.slice(chunk.first, chunk.rows)
+                lead, part, turn, doc = (rows.column(i).to_pylist() for i in range(4))
+                out = []
+                for i in range(chunk.rows):
+                    own = value[offsets[i] : offsets[i + 1]]
+                    if (lead[i], part[i]) != group:
+                        group, heads = (lead[i], part[i]), []
+                    if turn[i] == 0:
+                        heads.append(own.copy())
+                        continue
+                    for head in heads:
+                        at = np.minimum(np.searchsorted(head, own), max(len(head) - 1, 0))
+                        shared = int(np.count_nonzero(head[at] == own)) if len(head) else 0
+                        pair = (lead[i], doc[i], shared, len(head), len(own))
+                        out.append(pair if lead[i] < doc[i] else (doc[i], lead[i], shared, len(own), len(head)))
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["a", "b", "shared", "size_a", "size_b"])
+
+    return held.mapInArrow(compare, VERIFIED)
+
+
+def linked() -> Column:
+    p, q = THRESHOLD.numerator, THRESHOLD.denominator
+    return q * F.col("shared") >= p * (F.col("size_a") + F.col("size_b") - F.col("shared"))
+
+
+def open_pairs(entries: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of long lists that could still join two components.
+
+    ``labels`` gives each document's component; ``known`` holds verified overlaps.  A list of one component has no open
+    pair; in others the entries outside the largest component meet all entries of other components, unless sizes,
+    positions or the distances to a common leader rule a pair out.
+    """
+    far = (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far")
+    ends = known.select(F.col("a").alias("doc"), F.col("b").alias("leader"), far).union(known.select(F.col("b"), F.col("a"), far))
+    degree = ends.groupBy("leader").agg(F.count("*").alias("n"))
+    own = degree.select(F.col("leader").alias("doc"), "leader", F.lit(0.0).alias("far"), "n")
+    choice = ends.join(degree, "leader").select("doc", "leader", "far", "n").unionByName(own)
+    choice = choice.groupBy("doc").agg(F.max_by(F.struct("leader", "far"), F.struct("n", -F.col("leader"))).alias("to"))
+    rows = entries.join(labels.withColumnRenamed("node", "doc"), "doc", "left").join(choice, "doc", "left")
+    rows = stored(rows.select("shingle", "doc", "size", "at", F.coalesce("label", "doc").alias("label"), "to"), "lists")
+    sizes = rows.groupBy("shingle", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("k")).filter(F.col("k") > 1)
+    rows = rows.join(main, "shingle")
+    other = rows.select("shingle", *[F.col(c).alias("_" + c) for c in ("doc", "size", "at", "label", "to")])
+    p, q = THRESHOLD.numerator, THRESHOLD.denominator
+    least = F.ceil(p * (F.col("size") + F.col("_size")) / (p + q))
+    room = 1 + F.least(F.col("size") - 1 - F.col("at"), F.col("_size") - 1 - F.col("_at"))
+    apart = (F.col("to.leader") == F.col("_to.leader")) & (F.abs(F.col("to.far") - F.col("_to.far")) > float(1 - THRESHOLD) + 1e-9)
+    pairs = rows.filter(F.col("label") != F.col("main")).join(other, "shingle").filter(
+        (F.col("label") != F.col("_label"))
+        & (q * F.least("size", "_size") >= p * F.greatest("size", "_size"))
+        & (room >= least)
+        & ~F.coalesce(apart, F.lit(False))
+    )
+    pairs = pairs.select(F.least("doc", "_doc").alias("a"), F.greatest("doc", "_doc").alias("b")).distinct()
+    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    sets = stored(document_sets(docs), "sets")
+    classes = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    keepers = classes.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n"))
+    copies = classes.join(keepers.filter(F.col("n") > 1).drop("n"), ["low", "high", "n_shingles"])
+    copies = stored(copies.filter(F.col("doc_id") != F.col("keeper")).select(F.col("doc_id").alias("copy"), "keeper").distinct(), "copies")
+    # Of copies, one stands for all; a doc_id that stands for two different sets is not replaced.
+    single = copies.groupBy("copy").agg(F.min("keeper").alias("keeper"), F.count("*").alias("n")).filter(F.col("n") == 1).drop("n")
+    single = single.join(sets.groupBy(F.col("doc_id").alias("copy")).agg(F.count("*").alias("n")).filter(F.col("n") == 1).drop("n"), "copy")
+
+    def kept(df: DataFrame, column: str) -> DataFrame:
+        to = single.withColumnsRenamed({"copy": "_copy", "keeper": "_keeper"})
+        return df.join(to, F.col(column) == F.col("_copy"), "left").withColumn(column, F.coalesce("_keeper", column)).drop("_copy", "_keeper")
+
+    entries = index_entries(docs, frequent_shingles(docs))
+    entries = entries.repartition("shingle", "part").sortWithinPartitions("shingle", "part")
+    found = stored(entries.mapInArrow(_read_lists, FOUND), "lists")
+    pairs = kept(kept(found.filter(F.col("b").isNotNull()).select("a", "b").distinct(), "a"), "b").filter(F.col("a") != F.col("b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = stored(verified(docs, stored(pairs, "pairs")), "verified")
+    same = copies.select(F.col("copy").alias("a"), F.col("keeper").alias("b"))
+    links = known.filter(linked()).select("a", "b").union(same)
+    labels = components(links)
+    long = kept(found.filter(F.col("b").isNull()).select("shingle", F.col("a").alias("doc"), "size", "at"), "doc").distinct()
+    rest = stored(open_pairs(long, labels, known), "open-pairs")
+    if rest.limit(1).count():
+        more = stored(verified(docs, rest), "verified").filter(linked()).select("a", "b")
+        if more.limit(1).count():
+            labels = components(links.union(more))
+    labels = labels.withColumnsRenamed({"node": "_node", "label": "_label"})
+    out = sets.join(labels, F.col("doc_id") == F.col("_node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("_label", "doc_id").alias("component_id"))
