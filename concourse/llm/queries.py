@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concourse.llm import arrow_output, chat, classifier, decontaminate, jaccard, line_dedup, packing, quality_rules, url_filter
+from concourse.llm import arrow_output, chat, classifier, decontaminate, jaccard, line_dedup, packing, quality_rules, suffixes, url_filter
 from concourse.llm.tables import shared_folder, table
 
 # Fixed values of the contract.
@@ -25,6 +25,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = arrow_output.write_sequences(table(spark, sf_dir, "documents"), shared_folder(spark, "tokens"))
     return arrow_output.read_documents(written)
@@ -60,6 +64,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_output": op4_token_output,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,

@@ -1,19 +1,55 @@
-"""The corpus pipeline: each stage applies one operator to the documents that the stage before it kept."""
+"""The corpus pipeline: each stage applies one operator to the documents that the stage before it kept.
+
+Defined cases: a null text fails the quality rules; an empty table stays empty; of rows that share a ``doc_id`` the
+near-duplicate stage keeps the first by text; columns beyond those of ``documents`` pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from concourse.llm import packing
+from concourse.llm import decontaminate, jaccard, line_dedup, packing, quality_rules
 from concourse.llm.tables import stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the base rules and the fences of their language and source."""
+    return quality_rules.with_quality(docs).filter("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the multi-line passages that an earlier document holds."""
+    return line_dedup.dedup_lines(docs).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of linked documents."""
+    groups = jaccard.similar(docs)
+    dropped = groups.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    alone = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    same_id = Window.partitionBy("doc_id", alone).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    return kept.withColumn("_nth", F.row_number().over(same_id)).filter("_nth = 1").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_matches(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document lies in windows of 2048 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 

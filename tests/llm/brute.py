@@ -44,3 +44,23 @@ def similar(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
                 links.append((a, b))
     label = components(list(sets), links)
     return {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def repeated_bytes(texts: list[bytes], length: int = 400) -> list[list[tuple[int, int]]]:
+    """Maximal runs of the bytes that a string of ``length`` bytes found twice or more covers, per text."""
+    seen: dict[bytes, int] = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            key = t[i : i + length]
+            seen[key] = seen.get(key, 0) + 1
+    out = []
+    for t in texts:
+        runs: list[tuple[int, int]] = []
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1] = (runs[-1][0], i + length)
+                else:
+                    runs.append((i, i + length))
+        out.append(runs)
+    return out
