@@ -73,4 +73,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
 }
-SQL: dict[str, str] = {}

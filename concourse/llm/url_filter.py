@@ -2,7 +2,7 @@
 
 Everything runs as DataFrame expressions.  A rule meets a url by an equi-join of the rule's host with the host itself
 and its parent domains; distinct hosts are joined, so a host with a third of all rows is looked up once.  The model
-is trained by full gradient steps: each step is one aggregation over the labelled table by n-gram bucket, and only the
+is trained by full gradient steps with momentum: each step is one aggregation over the labelled table by n-gram bucket, and only the
 ``BUCKETS`` weights pass through the driver.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and the model's verdict for
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 GRAMS = (3, 4, 5)
-STEPS = 30
+STEPS = 50
 RATE = 8.0
+MOMENTUM = 0.9
 DECAY = 1e-4
 MOST_LABELLED = 100_000
 # Fixed values of the small labelled table: site names by label, each met with the same prefixes, endings and paths.
@@ -97,17 +98,17 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     rows = labelled.filter(F.col("blocked").isNotNull()).orderBy(F.xxhash64("url"), "url").limit(MOST_LABELLED)
     rows = rows.select(buckets(host, path).alias("features"), F.col("blocked").cast("double").alias("y")).cache()
     weights, bias, n = [0.0] * BUCKETS, 0.0, rows.count()
+    pace, bias_pace = [0.0] * BUCKETS, 0.0
     for _ in range(STEPS if n else 0):
         error = rows.select("features", (score(F.col("features"), _weights(weights), bias) - F.col("y")).alias("e"))
         share = (F.col("e") / F.sqrt(F.size("features").cast("double"))).alias("share")
         slope = error.select(F.explode(F.concat("features", F.array(F.lit(-1)))).alias("bucket"), share, "e")
         sums = slope.groupBy("bucket").agg(F.sum("share").alias("g"), F.sum("e").alias("e")).collect()
-        weights = [w * (1 - RATE * DECAY) for w in weights]
-        for row in sums:
-            if row["bucket"] < 0:
-                bias -= RATE * row["e"] / n / 4
-            else:
-                weights[row["bucket"]] -= RATE * row["g"] / n
+        slopes = {row["bucket"]: row["e" if row["bucket"] < 0 else "g"] / n for row in sums}
+        pace = [MOMENTUM * v + slopes.get(i, 0.0) for i, v in enumerate(pace)]
+        bias_pace = MOMENTUM * bias_pace + slopes.get(-1, 0.0) / 4
+        weights = [w * (1 - RATE * DECAY) - RATE * v for w, v in zip(weights, pace, strict=True)]
+        bias -= RATE * bias_pace
     rows.unpersist()
     return weights, bias
 

@@ -64,3 +64,34 @@ def repeated_bytes(texts: list[bytes], length: int = 400) -> list[list[tuple[int
                     runs.append((i, i + length))
         out.append(runs)
     return out
+
+
+def corpus(n: int = 120, seed: int = 5) -> list[tuple[int | None, str | None, str | None, str | None]]:
+    """doc_id, text, lang, source: prose with exact and near copies, shared passages, junk, nulls and empty texts."""
+    import random
+
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice(["the", "an", "er", "ti", "on", "é", "ü", "ing"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    line = lambda k: " ".join(r.choice(vocabulary) for _ in range(k)).capitalize() + "."
+    shared = ["\n".join(line(r.randint(9, 14)) for _ in range(6)) for _ in range(3)]
+    rows: list[tuple[int | None, str | None, str | None, str | None]] = []
+    for i in range(n):
+        text = "\n".join(line(r.randint(6, 16)) for _ in range(r.randint(1, 25)))
+        if i % 5 == 1 and len(text) > 40:
+            text = text[: len(text) // 2] + "\n" + r.choice(shared) + "\n" + text[len(text) // 2 :]
+        if i % 6 == 2 and rows:
+            text = r.choice(rows)[1] or ""
+        if i % 6 == 3 and rows:
+            words = (r.choice(rows)[1] or "x").split(" ")
+            for _ in range(r.randint(1, 3)):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+            text = " ".join(words)
+        if i % 17 == 4:
+            text = " ".join(f"{r.choice(vocabulary)}***" for _ in range(90))
+        rows.append((i * 3, text, ("en", "fr", None)[i % 3], ("src0", "src1")[i % 2]))
+    rows += [(1000, None, None, None), (1001, "", "en", None), (1002, " \n\t ", "en", "src0"), (1003, "one two", "en", "src0"), (1004, "ONE two", "en", "src0")]
+    rows += [(1005, "x" * 3000, "en", "src0"), (1006, "a b " * 700, "en", "src0"), (1006, "a b " * 700, "en", "src0"), (None, rows[0][1], "en", "src0")]
+    return rows
+
+
+DOCS = "doc_id long, text string, lang string, source string"
