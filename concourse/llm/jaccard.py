@@ -1,15 +1,15 @@
 """Exact set-similarity join of documents on distinct five-word shingles, with components of linked documents.
 
 A document's shingles, as 64-bit hashes, are ordered by how frequent they are and then by hash.  Two sets whose Jaccard
-similarity reaches the threshold share one of the first ``n - ceil(threshold * n) + 1`` of them, so only that prefix is
-indexed: one list of (document, set size, position) per shingle.
+similarity reaches the threshold share at least ``spare`` shingles within their first ``size - least overlap + spare``,
+so only that prefix is indexed: one list of (document, set size, position) per shingle.
 
 Skipping by set relations: entries of a list that agree in size and position form a block, and the bound on the overlap
-of two blocks skips all their pairs at once.  Short lists give the pairs that remain.  A long list gives one pair per
-entry instead, with a leading entry; these are verified, and what they settle is used for the rest: documents that are
-already connected need no pair, and of two documents with known distances to one leader the triangle inequality of the
-Jaccard distance says whether they can be linked (or must be), so that only open pairs are verified.  No pair that could
-join two components is left out.
+of two blocks skips all their pairs at once.  Short lists give the pairs that remain, counted over all lists.  A long
+list first gives one pair per entry, with a leading entry.  Pairs are verified on the whole texts, and the answers found
+are carried over: a document that is highly similar to a leader has the leader's component, so what is left of a long
+list are the documents outside its largest component.  Where that component is large, these are compared in blocks with
+all documents of the same lists; elsewhere pairs are formed and must share as many shingles as the bound asks.
 
 Frequency is estimated by mergeable counters (Misra-Gries) over all documents; it orders shingles only, and any order
 gives the same result.  At most ``MOST_FREQUENT`` shingles are handed to tasks.
@@ -39,14 +39,15 @@ SHORT_LIST = 4
 FREQUENT = 24
 MOST_FREQUENT = 1 << 17
 COUNTERS = 1 << 16
-STAR = 256
+PART = 256
+HEAVY = 32
 SPLIT_GRADE = 12
 _U64 = np.uint64
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 SETS = "doc_id long, n_shingles long, low long, high long"
 ENTRIES = "shingle long, part int, doc_id long, size int, at int"
-FOUND = "a long, b long, shingle long, size int, at int"
-VERIFIED = "a long, b long, shared long, size_a long, size_b long"
+FOUND = "a long, b long, size_a int, size_b int, shared int, star boolean, shingle long, at int"
+LINKS = "a long, b long"
 
 
 def shingles(chunk: Chunk, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -160,10 +161,15 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], grades[order]
 
 
+def spare(size):
+    """How many shared shingles the index must show for a set of that size."""
+    return 2 + size // 32
+
+
 def prefix_length(size: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
-    """How many leading shingles a set must show: size - ceil(threshold * size) + 1."""
+    """How many leading shingles a set must show: size - ceil(threshold * size) + spare, at most all."""
     p, q = threshold.numerator, threshold.denominator
-    return size - (size * p + q - 1) // q + 1
+    return np.minimum(size, size - (size * p + q - 1) // q + spare(size))
 
 
 def least_shared(size_a, size_b, threshold: Fraction = THRESHOLD):
@@ -229,10 +235,10 @@ def index_entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> D
 
 
 def _possible(size: int, at: int, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which entries may pair with one of ``size`` and ``at``, if this shingle is the first they share."""
+    """Which entries may pair with one of ``size`` and ``at``: enough can be shared before, at and after these places."""
     p, q = THRESHOLD.numerator, THRESHOLD.denominator
-    fits = (q * np.minimum(size, sizes) >= p * np.maximum(size, sizes))
-    return fits & (1 + np.minimum(size - 1 - at, sizes - 1 - places) >= least_shared(size, sizes))
+    fits = q * np.minimum(size, sizes) >= p * np.maximum(size, sizes)
+    return fits & (np.minimum(at, places) + 1 + np.minimum(size - 1 - at, sizes - 1 - places) >= least_shared(size, sizes))
 
 
 def _blocks(sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,28 +249,29 @@ def _blocks(sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.append(fresh, len(s))
 
 
-def list_pairs(doc: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
-    """All possible pairs of one list, whole blocks skipped at a time."""
+def list_pairs(doc: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """All possible pairs of one list with their sizes, whole blocks skipped at a time."""
     order, starts = _blocks(sizes, places)
-    doc, head = doc[order], order[starts[:-1]]
+    head = order[starts[:-1]]
+    doc, size = doc[order].tolist(), sizes[order].tolist()
     out = []
     for i in range(len(head)):
         ok = np.flatnonzero(_possible(int(sizes[head[i]]), int(places[head[i]]), sizes[head[i:]], places[head[i:]])) + i
         for j in ok.tolist():
-            left, right = doc[starts[i] : starts[i + 1]].tolist(), doc[starts[j] : starts[j + 1]].tolist()
-            out += [(x, y) for k, x in enumerate(left) for y in (right[k + 1 :] if i == j else right)]
+            for x in range(starts[i], starts[i + 1]):
+                out += [(doc[x], doc[y], size[x], size[y]) for y in range(max(x + 1, starts[j]), starts[j + 1])]
     return out
 
 
-def star_pairs(doc: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
+def star_pairs(doc: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, int]]:
     """One possible pair per entry of a long list: with the first leading entry whose block allows it."""
-    order = np.lexsort((doc, places, sizes))
+    order = np.lexsort((doc, sizes))
     doc, sizes, places = doc[order], sizes[order], places[order]
     left, out = np.arange(len(doc)), []
     while len(left):
         lead, rest = left[0], left[1:]
         ok = _possible(int(sizes[lead]), int(places[lead]), sizes[rest], places[rest])
-        out += [(int(doc[lead]), x) for x in doc[rest[ok]].tolist()]
+        out += [(int(doc[lead]), x, int(sizes[lead]), y) for x, y in zip(doc[rest[ok]].tolist(), sizes[rest[ok]].tolist(), strict=True)]
         left = rest[~ok]
     return out
 
@@ -288,118 +295,172 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _found(pairs: set[tuple[int, int]], lists: list[list[np.ndarray]]) -> pa.RecordBatch:
-    ends = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
-    none = [None] * len(ends)
+def _found(pairs: dict[tuple, int], lists: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Pairs, then entries of long lists (their ``b`` is null)."""
+    n = len(pairs)
+    a, b, size_a, size_b, star = (list(c) for c in zip(*pairs, strict=True)) if n else ([],) * 5
     shingle, doc, size, at = (np.concatenate([x[i] for x in lists]) if lists else np.empty(0, np.int64) for i in (0, 2, 3, 4))
+    m = len(doc)
+
+    def column(first: list, then, kind: pa.DataType) -> pa.Array:
+        then = pa.nulls(m, kind) if then is None else pa.array(then).cast(kind)
+        return pa.concat_arrays([pa.array(first, kind), then])
+
+    none = [None] * n
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([ends[:, 0], doc]), pa.int64()),
-            pa.concat_arrays([pa.array(ends[:, 1], pa.int64()), pa.nulls(len(doc), pa.int64())]),
-            *(
-                pa.concat_arrays([pa.array(none, kind), pa.array(c).cast(kind)])
-                for c, kind in ((shingle, pa.int64()), (size, pa.int32()), (at, pa.int32()))
-            ),
+            column(a, doc, pa.int64()),
+            column(b, None, pa.int64()),
+            column(size_a, size, pa.int32()),
+            column(size_b, None, pa.int32()),
+            column(list(pairs.values()), None, pa.int32()),
+            column(star, None, pa.bool_()),
+            column(none, shingle, pa.int64()),
+            column(none, at, pa.int32()),
         ],
-        names=["a", "b", "shingle", "size", "at"],
+        names=["a", "b", "size_a", "size_b", "shared", "star", "shingle", "at"],
     )
 
 
 def _read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of all lists, each once a batch, and the entries of the long ones (b is null there)."""
-    pairs: set[tuple[int, int]] = set()
+    """Counted pairs of all lists, and the entries of the long ones."""
+    pairs: dict[tuple, int] = {}
     kept, size = [], 0
     for run in _lists(batches):
         if len(run[0]) > 1 or run[1][0]:
-            long = len(run[0]) > SHORT_LIST or run[1][0]
-            found = (star_pairs if long else list_pairs)(run[2], run[3], run[4])
-            pairs.update((min(p), max(p)) for p in found if p[0] != p[1])
+            long = bool(len(run[0]) > SHORT_LIST or run[1][0])
+            for a, b, size_a, size_b in (star_pairs if long else list_pairs)(run[2], run[3], run[4]):
+                if a != b:
+                    key = (a, b, size_a, size_b, long) if a < b else (b, a, size_b, size_a, long)
+                    pairs[key] = pairs.get(key, 0) + 1
             if long:
                 kept.append(run)
                 size += len(run[0])
-        if len(pairs) > 100_000 or size > 100_000:
+        if len(pairs) > 200_000 or size > 200_000:
             yield _found(pairs, kept)
-            pairs, kept, size = set(), [], 0
+            pairs, kept, size = {}, [], 0
     yield _found(pairs, kept)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact overlaps of pairs (a, b): texts meet at the end that has more pairs, at most about ``STAR`` in a group."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count("*").alias("n"))
-    by_a, by_b = degree.withColumnsRenamed({"node": "a", "n": "na"}), degree.withColumnsRenamed({"node": "b", "n": "nb"})
-    placed = pairs.join(by_a, "a").join(by_b, "b")
-    lead = F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b"))
-    placed = placed.select(lead.alias("lead"), F.when(lead == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"), F.ceil(F.greatest("na", "nb") / STAR).cast("int").alias("parts"))
-    placed = stored(placed, "pairs")
-    part = F.pmod(F.xxhash64("other"), F.col("parts")).cast("int")
-    members = placed.select(F.col("other").alias("_node"), "lead", part.alias("part"), F.lit(1).alias("turn"))
-    leads = placed.select("lead", part.alias("part")).distinct().select(F.col("lead").alias("_node"), "lead", "part", F.lit(0).alias("turn"))
-    held = _rows(docs).join(members.union(leads), F.col("doc_id") == F.col("_node"))
-    held = held.select("lead", "part", "turn", "doc_id", "text").repartition("lead", "part").sortWithinPartitions("lead", "part", "turn")
+class Heads:
+    """Sets that wait for others to be compared with: an index of all their shingles."""
+
+    def __init__(self):
+        self.docs, self.labels, self.sets, self.ready = [], [], [], False
+
+    def add(self, doc: int, label: int, shingle: np.ndarray) -> None:
+        self.docs.append(doc)
+        self.labels.append(label)
+        self.sets.append(shingle.copy())
+        self.ready = False
+
+    def linked(self, doc: int, label: int, shingle: np.ndarray) -> list[int]:
+        """One linked document of each other component."""
+        if not self.ready:
+            sizes = np.array([len(x) for x in self.sets], dtype=np.int64)
+            value, owner = np.concatenate(self.sets), np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(value, kind="stable")
+            self.sizes, self.value, self.owner, self.ready = sizes, value[order], owner[order], True
+        first, last = np.searchsorted(self.value, shingle), np.searchsorted(self.value, shingle, side="right")
+        count = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+        shared = np.bincount(self.owner[at], minlength=len(self.docs))
+        p, q = THRESHOLD.numerator, THRESHOLD.denominator
+        out = {}
+        for i in np.flatnonzero((shared > 0) & (q * shared >= p * (self.sizes + len(shingle) - shared))).tolist():
+            if self.docs[i] != doc and self.labels[i] != label:
+                out.setdefault(self.labels[i], self.docs[i])
+        return list(out.values())
+
+
+def linked_pairs(docs: DataFrame, needs: DataFrame) -> DataFrame:
+    """Verified links (a, b), on the whole texts, between the heads and the members of each group.
+
+    ``needs``: doc, group, part, turn (0 for heads, 1 for members) and label; documents of equal label are not compared.
+    """
+    held = _rows(docs).join(needs, F.col("doc_id") == F.col("doc")).select("group", "part", "turn", "doc_id", "label", "text")
+    held = held.repartition("group", "part").sortWithinPartitions("group", "part", "turn")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, heads = None, []
+        now, heads = None, Heads()
         for batch in batches:
-            for chunk in chunks(batch.column(4)):
+            for chunk in chunks(batch.column(5)):
                 value, offsets = shingles(chunk)
                 rows = batch.slice(chunk.first, chunk.rows)
-                lead, part, turn, doc = (rows.column(i).to_pylist() for i in range(4))
+                group, part, turn, doc, label = (rows.column(i).to_pylist() for i in range(5))
                 out = []
                 for i in range(chunk.rows):
                     own = value[offsets[i] : offsets[i + 1]]
-                    if (lead[i], part[i]) != group:
-                        group, heads = (lead[i], part[i]), []
+                    if (group[i], part[i]) != now:
+                        now, heads = (group[i], part[i]), Heads()
                     if turn[i] == 0:
-                        heads.append(own.copy())
-                        continue
-                    for head in heads:
-                        at = np.minimum(np.searchsorted(head, own), max(len(head) - 1, 0))
-                        shared = int(np.count_nonzero(head[at] == own)) if len(head) else 0
-                        pair = (lead[i], doc[i], shared, len(head), len(own))
-                        out.append(pair if lead[i] < doc[i] else (doc[i], lead[i], shared, len(own), len(head)))
-                columns = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["a", "b", "shared", "size_a", "size_b"])
+                        heads.add(doc[i], label[i], own)
+                    elif len(own) and heads.docs:
+                        out += [(min(doc[i], h), max(doc[i], h)) for h in heads.linked(doc[i], label[i], own)]
+                columns = list(zip(*out, strict=True)) or [[], []]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["a", "b"])
 
-    return held.mapInArrow(compare, VERIFIED)
+    return held.mapInArrow(compare, LINKS).distinct()
 
 
-def linked() -> Column:
-    p, q = THRESHOLD.numerator, THRESHOLD.denominator
-    return q * F.col("shared") >= p * (F.col("size_a") + F.col("size_b") - F.col("shared"))
+def pair_needs(pairs: DataFrame) -> DataFrame:
+    """Groups for pairs (a, b): one end is the head, the one with more pairs; its members come in parts."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    degree = stored(ends.groupBy("node").agg(F.count("*").alias("n")), "degrees")
+    by_a, by_b = degree.withColumnsRenamed({"node": "a", "n": "na"}), degree.withColumnsRenamed({"node": "b", "n": "nb"})
+    lead = F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b"))
+    placed = pairs.join(by_a, "a").join(by_b, "b").select(
+        lead.alias("group"),
+        F.when(lead == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"),
+        F.ceil(F.greatest("na", "nb") / PART).cast("int").alias("parts"),
+    )
+    placed = stored(placed.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")), "pairs")
+    members = placed.select("doc", "group", "part", F.lit(1).alias("turn"), F.col("doc").alias("label"))
+    heads = placed.select("group", "part").distinct()
+    return members.union(heads.select(F.col("group").alias("doc"), "group", "part", F.lit(0), F.col("group").alias("label")))
 
 
-def open_pairs(entries: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of long lists that could still join two components.
+def _needed() -> Column:
+    """How many shared shingles the index shows of a pair that links."""
+    p, q = THRESHOLD.numerator, THRESHOLD.numerator + THRESHOLD.denominator
+    least = F.ceil(p * (F.col("size_a") + F.col("size_b")) / q)
+    return F.least(2 + F.floor(F.col("size_a") / 32), 2 + F.floor(F.col("size_b") / 32), least)
 
-    ``labels`` gives each document's component; ``known`` holds verified overlaps.  A list of one component has no open
-    pair; in others the entries outside the largest component meet all entries of other components, unless sizes,
-    positions or the distances to a common leader rule a pair out.
-    """
-    far = (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far")
-    ends = known.select(F.col("a").alias("doc"), F.col("b").alias("leader"), far).union(known.select(F.col("b"), F.col("a"), far))
-    degree = ends.groupBy("leader").agg(F.count("*").alias("n"))
-    own = degree.select(F.col("leader").alias("doc"), "leader", F.lit(0.0).alias("far"), "n")
-    choice = ends.join(degree, "leader").select("doc", "leader", "far", "n").unionByName(own)
-    choice = choice.groupBy("doc").agg(F.max_by(F.struct("leader", "far"), F.struct("n", -F.col("leader"))).alias("to"))
-    rows = entries.join(labels.withColumnRenamed("node", "doc"), "doc", "left").join(choice, "doc", "left")
-    rows = stored(rows.select("shingle", "doc", "size", "at", F.coalesce("label", "doc").alias("label"), "to"), "lists")
+
+def _labelled(df: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
+    to = labels.withColumnsRenamed({"node": "_node", "label": "_of"})
+    return df.join(to, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce("_of", column)).drop("_node", "_of")
+
+
+def remaining(entries: DataFrame, pairs: DataFrame, done: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What could still join two components: pairs to verify, and groups (``needs``) around large components."""
+    rows = stored(_labelled(entries, "doc", labels, "label"), "entries")
     sizes = rows.groupBy("shingle", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("k")).filter(F.col("k") > 1)
-    rows = rows.join(main, "shingle")
-    other = rows.select("shingle", *[F.col(c).alias("_" + c) for c in ("doc", "size", "at", "label", "to")])
+    lists = sizes.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("k")).filter(F.col("k") > 1)
+    rows = rows.join(lists.select("shingle", F.col("main.label").alias("main"), F.col("main.n").alias("n_main")), "shingle")
+    heavy = rows.filter(F.col("n_main") >= HEAVY).select("main", "doc", "label").distinct()
+    light = rows.filter(F.col("n_main") < HEAVY)
+    other = light.select("shingle", *[F.col(c).alias("_" + c) for c in ("doc", "size", "at", "label")])
     p, q = THRESHOLD.numerator, THRESHOLD.denominator
-    least = F.ceil(p * (F.col("size") + F.col("_size")) / (p + q))
-    room = 1 + F.least(F.col("size") - 1 - F.col("at"), F.col("_size") - 1 - F.col("_at"))
-    apart = (F.col("to.leader") == F.col("_to.leader")) & (F.abs(F.col("to.far") - F.col("_to.far")) > float(1 - THRESHOLD) + 1e-9)
-    pairs = rows.filter(F.col("label") != F.col("main")).join(other, "shingle").filter(
-        (F.col("label") != F.col("_label"))
+    room = F.least("at", "_at") + 1 + F.least(F.col("size") - 1 - F.col("at"), F.col("_size") - 1 - F.col("_at"))
+    open_pairs = light.join(other, "shingle").filter(
+        (F.col("doc") < F.col("_doc"))
+        & (F.col("label") != F.col("_label"))
         & (q * F.least("size", "_size") >= p * F.greatest("size", "_size"))
-        & (room >= least)
-        & ~F.coalesce(apart, F.lit(False))
+        & (room >= F.ceil(p * (F.col("size") + F.col("_size")) / (p + q)))
     )
-    pairs = pairs.select(F.least("doc", "_doc").alias("a"), F.greatest("doc", "_doc").alias("b")).distinct()
-    return pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    open_pairs = open_pairs.select(F.col("doc").alias("a"), F.col("_doc").alias("b"), F.col("size").alias("size_a"), F.col("_size").alias("size_b"), F.lit(1).alias("shared"))
+    short = _labelled(_labelled(pairs, "a", labels, "la"), "b", labels, "lb").filter(F.col("la") != F.col("lb")).drop("la", "lb")
+    counted = open_pairs.unionByName(short).groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
+    counted = counted.filter(F.col("shared") >= _needed()).select("a", "b").distinct()
+    heads = heavy.filter(F.col("label") != F.col("main"))
+    parts = heads.groupBy("main").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    heavy = heavy.join(parts, "main")
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    columns = ["doc", F.col("main").alias("group"), "part", "turn", "label"]
+    needs = heavy.filter(F.col("label") != F.col("main")).withColumns({"part": part, "turn": F.lit(0)}).select(*columns)
+    members = heavy.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("turn", F.lit(1)).select(*columns)
+    return counted.join(done, ["a", "b"], "left_anti"), needs.union(members)
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -410,26 +471,45 @@ def similar(docs: DataFrame) -> DataFrame:
     copies = classes.join(keepers.filter(F.col("n") > 1).drop("n"), ["low", "high", "n_shingles"])
     copies = stored(copies.filter(F.col("doc_id") != F.col("keeper")).select(F.col("doc_id").alias("copy"), "keeper").distinct(), "copies")
     # Of copies, one stands for all; a doc_id that stands for two different sets is not replaced.
-    single = copies.groupBy("copy").agg(F.min("keeper").alias("keeper"), F.count("*").alias("n")).filter(F.col("n") == 1).drop("n")
-    single = single.join(sets.groupBy(F.col("doc_id").alias("copy")).agg(F.count("*").alias("n")).filter(F.col("n") == 1).drop("n"), "copy")
+    single = copies.join(sets.groupBy(F.col("doc_id").alias("copy")).agg(F.count("*").alias("n")).filter(F.col("n") == 1).drop("n"), "copy")
+    single = stored(single, "copies")
 
-    def kept(df: DataFrame, column: str) -> DataFrame:
-        to = single.withColumnsRenamed({"copy": "_copy", "keeper": "_keeper"})
-        return df.join(to, F.col(column) == F.col("_copy"), "left").withColumn(column, F.coalesce("_keeper", column)).drop("_copy", "_keeper")
+    def kept(df: DataFrame, *columns: str) -> DataFrame:
+        for column in columns:
+            to = single.withColumnsRenamed({"copy": "_copy", "keeper": "_keeper"})
+            df = df.join(to, F.col(column) == F.col("_copy"), "left").withColumn(column, F.coalesce("_keeper", column)).drop("_copy", "_keeper")
+        return df
 
     entries = index_entries(docs, frequent_shingles(docs))
     entries = entries.repartition("shingle", "part").sortWithinPartitions("shingle", "part")
     found = stored(entries.mapInArrow(_read_lists, FOUND), "lists")
-    pairs = kept(kept(found.filter(F.col("b").isNotNull()).select("a", "b").distinct(), "a"), "b").filter(F.col("a") != F.col("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = stored(verified(docs, stored(pairs, "pairs")), "verified")
+    pairs = kept(found.filter(F.col("b").isNotNull()).drop("shingle", "at"), "a", "b").filter(F.col("a") != F.col("b"))
+    swap = F.col("a") > F.col("b")
+    pairs = pairs.select(
+        F.least("a", "b").alias("a"),
+        F.greatest("a", "b").alias("b"),
+        F.when(swap, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"),
+        F.when(swap, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"),
+        "shared",
+        "star",
+    )
+    pairs = stored(pairs.groupBy("a", "b", "size_a", "size_b", "star").agg(F.sum("shared").alias("shared")), "counted")
+    first = stored(pairs.filter(F.col("shared") >= F.when(F.col("star"), F.lit(2)).otherwise(_needed())).select("a", "b").distinct(), "pairs")
     same = copies.select(F.col("copy").alias("a"), F.col("keeper").alias("b"))
-    links = known.filter(linked()).select("a", "b").union(same)
+    links = stored(linked_pairs(docs, pair_needs(first)), "links").union(same)
     labels = components(links)
-    long = kept(found.filter(F.col("b").isNull()).select("shingle", F.col("a").alias("doc"), "size", "at"), "doc").distinct()
-    rest = stored(open_pairs(long, labels, known), "open-pairs")
-    if rest.limit(1).count():
-        more = stored(verified(docs, rest), "verified").filter(linked()).select("a", "b")
+    long = kept(found.filter(F.col("b").isNull()).select("shingle", F.col("a").alias("doc"), F.col("size_a").alias("size"), "at"), "doc").distinct()
+    open_pairs, needs = remaining(long, pairs.filter(~F.col("star")).drop("star"), first, labels)
+    open_pairs, needs = stored(open_pairs, "open-pairs"), stored(needs, "open-groups")
+    groups = []
+    if open_pairs.limit(1).count():
+        groups.append(pair_needs(open_pairs))
+    if needs.limit(1).count():
+        groups.append(needs)
+    if groups:
+        # Group numbers of the two kinds must not meet.
+        marked = [g.withColumn("part", 2 * F.col("part") + i) for i, g in enumerate(groups)]
+        more = stored(linked_pairs(docs, marked[0] if len(marked) == 1 else marked[0].unionByName(marked[1])), "links")
         if more.limit(1).count():
             labels = components(links.union(more))
     labels = labels.withColumnsRenamed({"node": "_node", "label": "_label"})

@@ -22,8 +22,10 @@ def test_long_lists_and_split_lists(spark, monkeypatch):
         words[(i * 7) % 120] = f"x{i}"
         words[(i * 13 + 5) % 120] = f"y{i % 9}"
         rows.append((i, " ".join(words if i % 3 else words[:80] + [f"z{i}{j}" for j in range(20 + i)])))
-    for grade in (12, 2):
+    for grade, heavy in ((12, 32), (2, 2), (12, 1000)):
         monkeypatch.setattr(jaccard, "SPLIT_GRADE", grade)
+        monkeypatch.setattr(jaccard, "HEAVY", heavy)
+        monkeypatch.setattr(jaccard, "PART", 8)
         monkeypatch.setattr(jaccard, "FREQUENT", 2)
         docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar(docs).collect()}
