@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 GRAMS = (3, 4, 5)
-STEPS = 50
+STEPS = 60
 RATE = 8.0
 MOMENTUM = 0.9
 DECAY = 1e-4
@@ -39,10 +39,11 @@ PATHS = ("/en/12", "/de/407.html", "/fr/88/", "/es/951", "/")
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table: url and blocked."""
     rows = [
-        (f"https://{prefix}{site}.example.{ENDINGS[(i + j) % 3]}{PATHS[(i + 2 * j) % 5]}", int(sites is BLOCKED_SITES))
+        (f"https://{prefix}{site}.example.{ending}{PATHS[(i + j + 2 * k) % 5]}", int(sites is BLOCKED_SITES))
         for sites in (BLOCKED_SITES, ALLOWED_SITES)
         for i, site in enumerate(sites)
         for j, prefix in enumerate(PREFIXES)
+        for k, ending in enumerate(ENDINGS)
     ]
     return spark.createDataFrame(rows, "url string, blocked int")
 

@@ -51,7 +51,7 @@ def kept_lines(rows):
     first, out = {}, []
     cut = []
     for doc_id, text in rows:
-        chunk = next(chunks(pa.array([text])))
+        chunk = next(chunks(pa.array([text], pa.string())))
         found = line_dedup.line_chunks(chunk)
         raw = (text or "").encode()
         cut.append([(f, n, raw[s : s + b]) for f, n, s, b in zip(*(found[k].tolist() for k in ("first", "lines", "start", "bytes")), strict=True)])
