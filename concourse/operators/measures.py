@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from concourse.functions.geometry import cross, is_finite, norm
 from concourse.operators.ordered import neighbours, ordinal_chunk
+from concourse.session import partitions
 
 PREVIEW_PAD, PREVIEW_MIN_WIDTH, PREVIEW_MIN_HEIGHT = 70.0, 220.0, 150.0
 
@@ -99,8 +100,6 @@ def _hull(xy: np.ndarray) -> np.ndarray:
     return np.array(half(pts) + half(pts[::-1]))
 
 
-HULL_SALTS = 64
-
 
 def convex_hull(points: DataFrame, key: str) -> DataFrame:
     """Hull vertices per key in order.
@@ -109,7 +108,7 @@ def convex_hull(points: DataFrame, key: str) -> DataFrame:
     vertices meet; each level is an Arrow batch function over the groups Spark formed.
     """
     salted = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(HULL_SALTS)))
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(partitions(points))))
     key_type = points.schema[key].dataType.simpleString()
 
     def hull_of(keep_salt: bool):

@@ -78,10 +78,14 @@ def shortest_tree(steps: DataFrame, sources: DataFrame, scope: Sequence[str] = (
 
     ``steps`` needs src, dst, cost and edge_id, ``sources`` a ``source`` column; ``scope`` names shared
     columns (a graph id, a mode) that both carry.  Ties go to fewer hops, then lower predecessor and
-    edge ids, so equal-cost cycles cannot loop.
+    edge ids, so equal-cost cycles cannot loop.  A missing, negative or NaN cost fails the search before
+    it starts: a negative cycle would have no end.
     """
     scope = list(scope)
     group = scope + ["source"]
+    sound = (F.col("cost") >= 0) & ~F.isnan(F.col("cost").cast("double"))
+    bad = F.raise_error(F.concat(F.lit("unusable cost on edge "), F.col("edge_id").cast("string")))
+    steps = steps.withColumn("cost", F.when(sound, F.col("cost")).otherwise(bad.cast(steps.schema["cost"].dataType)))
     steps = cut(steps.select(*scope, "src", "dst", "cost", "edge_id"))
     node_type, edge_type = steps.schema["src"].dataType, steps.schema["edge_id"].dataType
     zero = F.lit(0).cast(steps.schema["cost"].dataType)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concourse.session import partitions
+
 CHUNK_ROWS = 65536
 
 
@@ -132,13 +134,13 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def top_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, tie: Sequence[str], salts: int = 64
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, tie: Sequence[str], salts: int | None = None
 ) -> DataFrame:
     """First ``k`` rows per key with a ``rank`` column.
 
     Each salted slice keeps its own first ``k``; only those meet per key, which is exact.
     """
-    sliced = df.withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(salts)))
+    sliced = df.withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(salts or partitions(df))))
     by_slice = Window.partitionBy(*keys, "_salt").orderBy(*order)
     kept = sliced.withColumn("_rank", F.row_number().over(by_slice)).filter(F.col("_rank") <= k).drop("_rank", "_salt")
     whole = Window.partitionBy(*keys).orderBy(*order)

@@ -111,9 +111,12 @@ def snapshot_diff(before: DataFrame, after: DataFrame, name: str = "name", diges
 
 
 def symmetric_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows on one side only, multiplicity kept, tagged by side."""
-    only_left = left.exceptAll(right).withColumn("side", F.lit("left"))
-    return only_left.unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    """Rows on one side only, multiplicity kept, tagged by side; one signed count gives both sides."""
+    both = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    surplus = both.groupBy(*left.columns).agg(F.sum("_n").alias("_n")).filter(F.col("_n") != 0)
+    side = F.when(F.col("_n") > 0, F.lit("left")).otherwise(F.lit("right"))
+    times = F.sequence(F.lit(1).cast("long"), F.abs("_n"))
+    return surplus.select(*left.columns, side.alias("side"), F.explode(times).alias("_i")).drop("_i")
 
 
 def signature_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -37,20 +37,22 @@ def check_totals(report: DataFrame) -> DataFrame:
 
 
 def network_report(
-    nodes: DataFrame, edges: DataFrame, areas: DataFrame, walls: DataFrame, reached_places: DataFrame, contacts: DataFrame, outside: DataFrame, crossings: DataFrame
+    nodes: DataFrame, edges: DataFrame, areas: DataFrame, walls: DataFrame, reached: DataFrame, reached_places: DataFrame, contacts: DataFrame, outside: DataFrame, crossings: DataFrame
 ) -> DataFrame:
-    """Sizes, reached places, their ordered pairs and the numbers of geometry faults, in one row."""
+    """Sizes, reached places, their ordered pairs (once all nodes are reached) and the numbers of geometry faults, in one row."""
     row = one_row(
         nodes=counted(nodes),
         edges=counted(edges),
         areas=counted(areas),
         walls=counted(walls),
+        _reached=counted(reached),
         reached_places=counted(reached_places),
         wall_contacts=counted(contacts),
         area_failures=counted(outside),
         interior_crossings=counted(crossings),
     )
-    return row.withColumn("ordered_pairs", F.col("reached_places") * (F.col("reached_places") - 1))
+    pairs = F.when(F.col("_reached") == F.col("nodes"), F.col("reached_places") * (F.col("reached_places") - 1))
+    return row.withColumn("ordered_pairs", pairs).drop("_reached")
 
 
 def ingest_validation(changed: DataFrame, kept: DataFrame, overlap: DataFrame, anchors: DataFrame, schedule: DataFrame) -> DataFrame:

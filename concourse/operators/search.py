@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from concourse.functions import text as tx
 from concourse.operators.ordered import row_numbers, top_k
-from concourse.session import cut
+from concourse.session import cut, partitions
 
 # Score ladder and typo limits.
 CODE_EQUAL, CODE_PREFIX = 0.0, 15.0
@@ -195,15 +195,14 @@ def compact_code_scores(prepared: DataFrame, fields: DataFrame) -> DataFrame:
     return heads.join(asked, "compact").select("query_id", "place_id", score.alias("score"))
 
 
-SPREAD = 64
-
 
 def everything(prepared: DataFrame, places: DataFrame) -> DataFrame:
-    """Empty queries list the whole directory; the places side is spread so no task holds it all."""
+    """Empty queries list the whole directory, as many rows as places; slices of the places share the work."""
+    slices = partitions(places)
     blank = prepared.filter("norm = ''").select(
-        "query_id", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_slice")
+        "query_id", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice")
     )
-    spread = places.select("place_id", F.pmod(F.xxhash64("place_id"), F.lit(SPREAD)).cast("int").alias("_slice"))
+    spread = places.select("place_id", F.pmod(F.xxhash64("place_id"), F.lit(slices)).cast("int").alias("_slice"))
     return blank.join(spread, "_slice").select("query_id", "place_id", F.lit(0.0).alias("score"))
 
 

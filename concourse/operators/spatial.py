@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 from concourse.functions import geometry as g
 from concourse.session import cut
 
-MAX_LEVEL = 40
-
 
 def _level(box: Sequence[Column], base: float) -> Column:
     size = F.greatest(box[2] - box[0], box[3] - box[1], F.lit(base)) / F.lit(base)
-    return F.least(F.ceil(F.log2(size)).cast("int"), F.lit(MAX_LEVEL))
+    return F.ceil(F.log2(size)).cast("int")
 
 
 def _with_cells(df: DataFrame, levels: Column, own: Column, box: Sequence[Column], base: float) -> DataFrame:
@@ -54,7 +52,7 @@ def bbox_join(
     right = right.withColumns({f"_r{n}": c.cast("double") for n, c in zip(names, right_box)})
     lbox, rbox = [F.col(f"_l{n}") for n in names], [F.col(f"_r{n}") for n in names]
     lown, rown = _level(lbox, base), _level(rbox, base)
-    # At most MAX_LEVEL + 1 distinct levels exist, so each side's level list is one tiny scalar.
+    # Levels are logarithms of finite sizes, so each side's level list is one tiny scalar.
     llevels = left.agg(F.collect_set(lown)).scalar()
     rlevels = right.agg(F.collect_set(rown)).scalar()
     lcells = _with_cells(left, rlevels, lown, lbox, base).withColumnRenamed("_own", "_lown")
@@ -325,8 +323,11 @@ def nearest_pairs(a: DataFrame, z: DataFrame, dx: float, dy: float, reach: float
     """Per ``anchor`` text the pair (a_id, z_id) closest to the expected shift, and its residual.
 
     Only pairs within a growing reach are formed: a pair found inside the reach settles its anchor,
-    the others widen, so a frequent text never forms all its pairs.  Equal positions are merged first.
+    the others widen, so a frequent text never forms all its pairs.  Equal positions are merged first;
+    rows without a real position take no part, so an anchor with none of them on one side has no pair.
     """
+    a = a.filter(g.is_finite(F.col("ax")) & g.is_finite(F.col("ay")))
+    z = z.filter(g.is_finite(F.col("zx")) & g.is_finite(F.col("zy")))
     left = a.groupBy("anchor", "ax", "ay").agg(F.min("a_id").alias("a_id"))
     right = z.select("anchor", "z_id", (F.col("zx") + dx).alias("zx"), (F.col("zy") + dy).alias("zy"))
     right = right.groupBy("anchor", "zx", "zy").agg(F.min("z_id").alias("z_id"))

@@ -88,14 +88,14 @@ def polygon_bounds(t):
     "agg_preview_frame",
     b.with_sql(
         b.POINTS_SQL,
-        "box AS (SELECT label, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM points WHERE x > 0 AND y > 0 GROUP BY label)",
+        "box AS (SELECT label, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM points GROUP BY label)",
         "size AS (SELECT *, greatest(x1 - x0 + 70, 220) AS w, greatest(y1 - y0 + 70, 150) AS h FROM box)",
         body="""SELECT label, (x0 + x1) / 2.0::DOUBLE - w / 2.0::DOUBLE AS "left", (y0 + y1) / 2.0::DOUBLE - h / 2.0::DOUBLE AS top,
   CAST(w AS DOUBLE) AS width, CAST(h AS DOUBLE) AS height FROM size""",
     ),
 )
 def preview_frame(t):
-    return ms.preview_frame(b.points(t).filter("x > 0 and y > 0"), "label")
+    return ms.preview_frame(b.points(t), "label")
 
 
 @query(

@@ -317,11 +317,11 @@ def contract(t):
 
 @query(
     "dq_r38",
-    """SELECT c_custkey AS request_id FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS
+    """SELECT c_custkey AS request_id FROM customer WHERE NOT EXISTS
   (SELECT 1 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = c_custkey AND s_nationkey = c_nationkey)""",
 )
 def configured_kiosk(t):
-    requests = t.customer.filter("c_mktsegment = 'BUILDING'").select(
+    requests = t.customer.select(
         F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("kiosk_id"), F.lit("B").alias("building_id"), F.col("c_nationkey").alias("floor_id")
     )
     kiosks = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("B").alias("buildingId"), F.col("s_nationkey").alias("floorId"))

@@ -36,7 +36,7 @@ def queries(t):
     name = F.col("p_name")
     texts = F.array(
         q("shout", name, "en", F.concat(F.lit("  "), F.upper(name), F.lit("!"))),
-        q("drop", name, "ar", F.concat(F.substring(w1, 1, 1), F.substring(w1, F.lit(3), n + 50), F.lit(" "), w2)),
+        q("drop", name, "ar", F.concat(F.substring(w1, 1, 1), F.substring(w1, F.lit(3), F.length(w1)), F.lit(" "), w2)),
         q(
             "swap",
             name,

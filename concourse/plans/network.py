@@ -85,14 +85,13 @@ def shortest_paths(t):
 @query(
     "gr_reachability",
     f"""WITH RECURSIVE {b.NETWORK_SQL},
-links AS (SELECT from_node AS a, to_node AS z FROM nav_edges WHERE path_type <> 'corridor' UNION ALL SELECT to_node, from_node FROM nav_edges WHERE path_type <> 'corridor'),
+links AS (SELECT from_node AS a, to_node AS z FROM nav_edges UNION SELECT to_node, from_node FROM nav_edges),
 seen AS (SELECT 'R0' AS node UNION SELECT z FROM seen JOIN links ON node = a)
 SELECT node FROM seen""",
 )
 def reachability(t):
-    doors = b.nav_edges(t).filter("path_type <> 'corridor'")
     root = t.region.filter("r_regionkey = 0").select(F.lit("R0").alias("node_id"))
-    return nw.reachable(doors, root)
+    return nw.reachable(b.nav_edges(t), root)
 
 
 def relax_sql(name: str, origins: str, steps: str, weight: str) -> str:
@@ -371,23 +370,24 @@ def route_status(t):
     "gr_path_validation",
     b.with_sql(
         b.NETWORK_SQL,
-        """seqs AS (SELECT o_orderkey AS path_id, 'S' || s_suppkey AS n1, 'N' || c_nationkey AS n2, 'R' || n_regionkey AS n3, 'D' || s_suppkey AS e1, 'E' || n_nationkey AS e2
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = c_custkey JOIN nation ON n_nationkey = s_nationkey)""",
+        """seqs AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_linenumber AS path_id, 'S' || s_suppkey AS n1, 'N' || c_nationkey AS n2, 'R' || n_regionkey AS n3, 'D' || s_suppkey AS e1, 'E' || n_nationkey AS e2
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)""",
         body="""SELECT path_id FROM seqs JOIN nav_nodes ON node_id = n1 AND status = 'confirmed' JOIN directed a ON a.edge_id = e1 AND a.src = n1 AND a.dst = n2
 JOIN directed z ON z.edge_id = e2 AND z.src = n2 AND z.dst = n3""",
     ),
 )
 def path_validation(t):
-    """Claimed supplier-nation-region paths, right only where customer and supplier share the nation."""
+    """A claimed supplier-nation-region path per line item, right only where customer and supplier share the nation."""
     tag = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     claims = (
-        t.orders.select("o_orderkey", "o_custkey")
+        t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
+        .join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("c_custkey"))
+        .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("s_suppkey") == F.col("l_suppkey"))
         .join(t.nation.select("n_nationkey", "n_regionkey"), F.col("n_nationkey") == F.col("s_nationkey"))
     )
     sequences = claims.select(
-        F.col("o_orderkey").alias("path_id"),
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("path_id"),
         F.array(tag("S", "s_suppkey"), tag("N", "c_nationkey"), tag("R", "n_regionkey")).alias("nodes"),
         F.array(tag("D", "s_suppkey"), tag("E", "n_nationkey")).alias("edges"),
     )

@@ -42,7 +42,7 @@ def canonical_sort(t):
 @query(
     "set_signature_intersect",
     """WITH s AS (SELECT l_returnflag, l_linenumber || '/' || CAST(l_quantity AS BIGINT) || '/' || CAST(round(l_extendedprice / 100) AS BIGINT) AS signature FROM lineitem)
-SELECT signature FROM s WHERE l_returnflag = 'A' INTERSECT SELECT signature FROM s WHERE l_returnflag = 'R'""",
+SELECT signature FROM s WHERE l_returnflag = 'A' INTERSECT SELECT signature FROM s WHERE l_returnflag <> 'A'""",
 )
 def signature_intersect(t):
     sig = F.concat_ws(
@@ -52,7 +52,7 @@ def signature_intersect(t):
         F.round(F.col("l_extendedprice") / 100).cast("long").cast("string"),
     )
     rows = t.lineitem.select("l_returnflag", sig.alias("signature"))
-    return rl.signature_overlap(rows.filter("l_returnflag = 'A'"), rows.filter("l_returnflag = 'R'"))
+    return rl.signature_overlap(rows.filter("l_returnflag = 'A'"), rows.filter("l_returnflag <> 'A'"))
 
 
 @query(

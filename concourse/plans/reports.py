@@ -26,17 +26,17 @@ def _sql(key: str) -> str:
 @query(
     "agg_network_report",
     f"""WITH RECURSIVE {b.NETWORK_SQL}, {b.SPANS_SQL},
-links AS (SELECT from_node AS a, to_node AS z FROM nav_edges WHERE path_type <> 'corridor' UNION ALL SELECT to_node, from_node FROM nav_edges WHERE path_type <> 'corridor'),
+links AS (SELECT from_node AS a, to_node AS z FROM nav_edges UNION SELECT to_node, from_node FROM nav_edges),
 seen AS (SELECT 'R0' AS node UNION SELECT z FROM seen JOIN links ON node = a),
 base AS (SELECT (SELECT count(*) FROM nav_nodes) AS nodes, (SELECT count(*) FROM nav_edges) AS edges, (SELECT count(*) FROM embeddings) AS areas, (SELECT count(*) FROM walls) AS walls,
   (SELECT count(*) FROM seen WHERE node LIKE 'S%') AS reached_places, (SELECT count(*) FROM ({_sql('join_segment_intersect')})) AS wall_contacts,
   (SELECT count(*) FROM ({_sql('join_cover_union')})) AS area_failures, (SELECT count(*) FROM ({_sql('join_interior_crossing')})) AS interior_crossings)
-SELECT *, reached_places * (reached_places - 1) AS ordered_pairs FROM base""",
+SELECT *, CASE WHEN nodes = (SELECT count(*) FROM seen) THEN reached_places * (reached_places - 1) END AS ordered_pairs FROM base""",
 )
 def network_report(t):
-    reached = net.reachability(t).filter("node like 'S%'")
+    reached = cut(net.reachability(t))
     return rp.network_report(
-        b.nav_nodes(t), b.nav_edges(t), t.embeddings, b.walls(t), reached, sj.segment_intersect(t), sj.cover_union(t), sj.interior_crossing(t)
+        b.nav_nodes(t), b.nav_edges(t), t.embeddings, b.walls(t), reached, reached.filter("node like 'S%'"), sj.segment_intersect(t), sj.cover_union(t), sj.interior_crossing(t)
     )
 
 

@@ -291,7 +291,7 @@ def door_leaf(t):
     "join_nearest_cell",
     b.with_sql(
         b.POINTS_SQL,
-        "cells AS (SELECT DISTINCT CAST(floor(x / 30) AS BIGINT) AS ix, CAST(floor(y / 30) AS BIGINT) AS iy FROM points WHERE label < 3)",
+        "cells AS (SELECT DISTINCT CAST(floor(x / 30) AS BIGINT) AS ix, CAST(floor(y / 30) AS BIGINT) AS iy FROM points)",
         """near AS (SELECT point_id, ix, iy, (ix * 30 - x) * (ix * 30 - x) + (iy * 30 - y) * (iy * 30 - y) AS d2 FROM points JOIN cells
   ON ix BETWEEN round_even(x / 30.0, 0) - 10 AND round_even(x / 30.0, 0) + 10 AND iy BETWEEN round_even(y / 30.0, 0) - 10 AND round_even(y / 30.0, 0) + 10),
 best AS (SELECT point_id, min((d2, iy, ix)) AS m FROM near WHERE d2 > 0 GROUP BY point_id)""",
@@ -301,6 +301,6 @@ best AS (SELECT point_id, min((d2, iy, ix)) AS m FROM near WHERE d2 > 0 GROUP BY
 def nearest_cell(t):
     p = b.points(t)
     cell = lambda c: F.floor(F.col(c) / 30)
-    cells = p.filter("label < 3").select(cell("x").alias("ix"), cell("y").alias("iy")).distinct()
+    cells = p.select(cell("x").alias("ix"), cell("y").alias("iy")).distinct()
     snapped = sp.snap_to_grid(p, cells, 30.0)
     return snapped.select("point_id", "ix", "iy", F.round("gap", 4).alias("gap"))

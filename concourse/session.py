@@ -32,6 +32,11 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "concours
     return spark
 
 
+def partitions(df: DataFrame) -> int:
+    """How many slices a hot group is dealt into: as many as the session's shuffles have."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``; only a local session may fall back to a temp one."""
     context = spark.sparkContext

@@ -205,3 +205,21 @@ def test_supplied_paths(spark):
     df = spark.createDataFrame(claims, "path_id string, nodes array<string>, edges array<string>")
     starts = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
     assert {r.path_id for r in rt.valid_paths(df, steps, starts).collect()} == {"good", "short"}
+
+
+def test_unusable_costs_fail_at_once(spark):
+    from concourse.operators.network import shortest_tree
+
+    for cost in (-1.0, float("nan"), None):
+        steps = spark.createDataFrame([("a", "b", 1.0, "e1"), ("b", "a", cost, "e2")], "src string, dst string, cost double, edge_id string")
+        with pytest.raises(Exception, match="unusable cost on edge e2"):
+            shortest_tree(steps, spark.createDataFrame([("a",)], "source string"))
+
+
+def test_nearest_pairs_ends_without_real_positions(spark):
+    from concourse.operators.spatial import nearest_pairs
+
+    a = spark.createDataFrame([("t", 1, 0.0, 0.0), ("t", 2, None, 0.0), ("u", 3, float("nan"), 1.0), ("far", 4, 0.0, 0.0)], "anchor string, a_id long, ax double, ay double")
+    z = spark.createDataFrame([("t", 8, None, None), ("t", 9, 3.0, 4.0), ("u", 7, 1.0, 1.0), ("far", 6, 1e6, 0.0), ("far", 5, 1e6 + 1, 0.0)], "anchor string, z_id long, zx double, zy double")
+    got = {r["anchor"]: (r["a_id"], r["z_id"], r["residual"]) for r in nearest_pairs(a, z, 0, 0).collect()}
+    assert got == {"t": (1, 9, 5.0), "far": (4, 6, 1e6)}
