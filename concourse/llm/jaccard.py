@@ -347,6 +347,13 @@ class Heads:
 
     def __init__(self):
         self.docs, self.labels, self.sets, self.ready = [], [], [], False
+        self.joined: dict[int, int] = {}
+
+    def _root(self, label: int) -> int:
+        while (up := self.joined.get(label, label)) != label:
+            self.joined[label] = self.joined.get(up, up)
+            label = up
+        return label
 
     def add(self, doc: int, label: int, shingle: np.ndarray) -> None:
         self.docs.append(doc)
@@ -355,7 +362,7 @@ class Heads:
         self.ready = False
 
     def linked(self, doc: int, label: int, shingle: np.ndarray) -> list[int]:
-        """One linked document of each other component."""
+        """One linked document of each component that this group has not yet joined with the document's own."""
         if not self.ready:
             sizes = np.array([len(x) for x in self.sets], dtype=np.int64)
             value, owner = np.concatenate(self.sets), np.repeat(np.arange(len(sizes)), sizes)
@@ -366,11 +373,13 @@ class Heads:
         at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
         shared = np.bincount(self.owner[at], minlength=len(self.docs))
         p, q = THRESHOLD.numerator, THRESHOLD.denominator
-        out = {}
+        out = []
         for i in np.flatnonzero((shared > 0) & (q * shared >= p * (self.sizes + len(shingle) - shared))).tolist():
-            if self.docs[i] != doc and self.labels[i] != label:
-                out.setdefault(self.labels[i], self.docs[i])
-        return list(out.values())
+            mine, other = self._root(label), self._root(self.labels[i])
+            if mine != other:
+                self.joined[max(mine, other)] = min(mine, other)
+                out.append(self.docs[i])
+        return out
 
 
 def linked_pairs(docs: DataFrame, needs: DataFrame) -> DataFrame:
@@ -378,7 +387,8 @@ def linked_pairs(docs: DataFrame, needs: DataFrame) -> DataFrame:
 
     ``needs``: doc, group, part, turn (0 for heads, 1 for members) and label; documents of equal label are not compared.
     """
-    held = _rows(docs).join(needs, F.col("doc_id") == F.col("doc")).select("group", "part", "turn", "doc_id", "label", "text")
+    # The same plan at every size: both sides are shuffled, whatever this side's size is.
+    held = _rows(docs).hint("merge").join(needs, F.col("doc_id") == F.col("doc")).select("group", "part", "turn", "doc_id", "label", "text")
     held = held.repartition("group", "part").sortWithinPartitions("group", "part", "turn")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,7 +493,8 @@ def similar(docs: DataFrame) -> DataFrame:
     entries = index_entries(docs, frequent_shingles(docs))
     entries = entries.repartition("shingle", "part").sortWithinPartitions("shingle", "part")
     found = stored(entries.mapInArrow(_read_lists, FOUND), "lists")
-    pairs = kept(found.filter(F.col("b").isNotNull()).drop("shingle", "at"), "a", "b").filter(F.col("a") != F.col("b"))
+    pairs = found.filter(F.col("b").isNotNull()).groupBy("a", "b", "size_a", "size_b", "star").agg(F.sum("shared").alias("shared"))
+    pairs = kept(pairs, "a", "b").filter(F.col("a") != F.col("b"))
     swap = F.col("a") > F.col("b")
     pairs = pairs.select(
         F.least("a", "b").alias("a"),
