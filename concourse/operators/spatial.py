@@ -170,19 +170,36 @@ def uncovered_by_union(
     base: float = 1.0,
     on: Sequence[str] = (),
 ) -> DataFrame:
-    """Keys of segments with an end point or a stretch outside the union of the polygons."""
-    sides = boundary(polygons, *on)
-    stretches = cut_intervals(segments, sides, key, tol, base, on).select(key, *on, "mid_x", "mid_y", F.col("t0").alias("_at"))
-    ends = F.array(
-        F.struct(F.lit(-1.0).alias("_at"), F.col("ax").cast("double").alias("mid_x"), F.col("ay").cast("double").alias("mid_y")),
-        F.struct(F.lit(-2.0).alias("_at"), F.col("bx").cast("double").alias("mid_x"), F.col("by_").cast("double").alias("mid_y")),
+    """Keys of segments with an end point or a stretch outside the union of the polygons.
+
+    One join of segments with outlines: each pair gives the stretches of the segment inside that outline, and the
+    stretches of a segment are merged and must leave no gap.  A segment gathers one row per outline it meets.
+    """
+    prepared = polygons.select(*on, *BOX, g.ring_sides(F.col("ring")).alias("_sides"))
+    near = bbox_join(segments.select(key, *on, *SEG), prepared, _span(*SEG), [F.col(c) for c in BOX], base, on, pad=tol.eps)
+    sides = F.col("_sides")
+    ax, ay, bx, by = (F.col(c).cast("double") for c in SEG)
+    dx, dy = bx - ax, by - ay
+    cuts = F.flatten(F.transform(sides, lambda s: g.cut_parameters(ax, ay, bx, by, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], tol)))
+    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
+    steps = F.arrays_zip(F.slice(ts, F.lit(1), F.size(ts) - 1).alias("t0"), F.slice(ts, F.lit(2), F.size(ts) - 1).alias("t1"))
+
+    def holds(t: Column) -> Column:
+        return g.sides_contain(sides, ax + dx * t, ay + dy * t, tol)
+
+    found = near.select(
+        key,
+        (F.lit(2 * tol.eps) / F.greatest(g.norm(dx, dy), F.lit(tol.eps))).alias("_slack"),
+        F.filter(steps, lambda s: holds((s["t0"] + s["t1"]) / 2)).alias("_in"),
+        holds(F.lit(0.0)).alias("_a"),
+        holds(F.lit(1.0)).alias("_b"),
+    )
+    met = found.groupBy(key).agg(
+        F.array_sort(F.flatten(F.collect_list("_in"))).alias("_in"), F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.max("_slack").alias("_slack")
     )
-    tips = segments.select(key, *on, F.explode(ends).alias("_e")).select(key, *on, "_e.*")
-    probes = stretches.unionByName(tips)
-    inside = points_in_polygons(
-        probes, polygons.select(*on, "ring", *BOX), tol, base, on, xy=("mid_x", "mid_y")
-    ).select(key, "_at")
-    return probes.join(inside, [key, "_at"], "left_anti").select(key).distinct()
+    reached = F.aggregate("_in", F.lit(0.0), lambda to, s: F.when(s["t0"] <= to + F.col("_slack"), F.greatest(to, s["t1"])).otherwise(to))
+    covered = met.filter(F.col("_a") & F.col("_b") & (reached >= 1 - F.col("_slack"))).select(key)
+    return segments.select(key).distinct().join(covered, key, "left_anti")
 
 
 def interior_overlap(
