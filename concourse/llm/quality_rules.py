@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concourse.llm.kernels import Chunk, SubstringHash, chunks, code_points, lines, mix, per_row, words
-from concourse.llm.tables import stored
+from concourse.llm.tables import fresh, stored
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -40,6 +40,7 @@ FENCES = {
     "repeat_share": (0.15, False, True),
     "word_length": (0.5, True, True),
 }
+VERDICTS = ("base_failed", "outside", "kept")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -169,13 +170,15 @@ def with_quality(docs: DataFrame, counted: DataFrame | None = None) -> DataFrame
 
 
 def _judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    lang, source, fence = (fresh(c, rows.columns) for c in ("_lang", "_source", "_fence"))
+    ends = [c for c in limits.columns if c not in ("lang", "source")]
+    limits = limits.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*ends).alias(fence))
+    same = F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source))
     judged = rows.join(limits, same, "left")
     broken = [
-        F.when((_measure(m) < F.col(f"{m}_low")) | (_measure(m) > F.col(f"{m}_high")), F.lit(m)) for m in FENCES
+        F.when((_measure(m) < F.col(fence)[f"{m}_low"]) | (_measure(m) > F.col(fence)[f"{m}_high"]), F.lit(m)) for m in FENCES
     ]
-    own = [c for c in rows.columns if c not in ("base_failed", "outside", "kept")]
+    own = [c for c in rows.columns if c not in VERDICTS]
     judged = judged.select(
         *own, base_failed().alias("base_failed"), F.filter(F.array(*broken), lambda m: m.isNotNull()).alias("outside")
     )

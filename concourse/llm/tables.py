@@ -13,6 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores before it as no column of ``taken`` has."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Rename the columns of ``df`` that clash with ``names``; the second result renames them back."""
+    clash = {c: fresh(c, [*df.columns, *names]) for c in df.columns if c.lower() in {n.lower() for n in names}}
+    return df.withColumnsRenamed(clash), {new: old for old, new in clash.items()}
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one all executors share; the caller names it when it wants to keep the files."""
     ensure_checkpoint_dir(spark)

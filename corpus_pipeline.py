@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concourse.llm import decontaminate, jaccard, line_dedup, packing, quality_rules
-from concourse.llm.tables import stored, table
+from concourse.llm.tables import fresh, set_aside, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the base rules and the fences of their language and source."""
-    return quality_rules.with_quality(docs).filter("kept").select(*docs.columns)
+    rows, back = set_aside(docs, [*quality_rules.COUNTS, *quality_rules.VERDICTS])
+    return quality_rules.with_quality(rows).filter("kept").select(*rows.columns).withColumnsRenamed(back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the multi-line passages that an earlier document holds."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    rows, back = set_aside(docs, list(line_dedup.ADDED))
+    return line_dedup.dedup_lines(rows).select(*rows.columns).withColumnsRenamed(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = docs.join(dropped, "doc_id", "left_anti")
     alone = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     same_id = Window.partitionBy("doc_id", alone).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return kept.withColumn("_nth", F.row_number().over(same_id)).filter("_nth = 1").select(*docs.columns)
+    nth = fresh("_nth", docs.columns)
+    return kept.withColumn(nth, F.row_number().over(same_id)).filter(F.col(nth) == 1).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
