@@ -53,50 +53,48 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def _runs(turns: DataFrame) -> DataFrame:
-    return turns.withColumn("run", F.floor(F.col("turn") / RUN).cast("long"))
-
-
 def _placed(turns: DataFrame, budget: Budget) -> DataFrame:
-    """Turns with their ordinal, prefix sum, the size of the system turn and the window they belong to."""
+    """Turns with their ordinal, prefix sum, the size of the system turn and the window they belong to.
+
+    ``key`` wraps the conversation's id, so that a null id is a key like any other.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
-    base = _runs(base.withColumn("tokens", token_count(F.col("text")).cast("long")))
+    base = turns.select(F.struct("conv_id").alias("key"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
+    run = F.coalesce(F.floor(F.col("turn") / RUN).cast("long"), F.lit(-(1 << 62)))
+    base = base.withColumns({"tokens": token_count(F.col("text")).cast("long"), "run": run})
     order = ["turn", "role", "text"]
-    here = Window.partitionBy("conv_id", "run").orderBy(*order)
+    here = Window.partitionBy("key", "run").orderBy(*order)
     local = base.withColumn("place", F.row_number().over(here)).withColumn(
         "before", F.sum("tokens").over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
     )
     first = F.min_by(F.struct("role", "text", "tokens"), F.struct(*order))
-    sums = base.groupBy("conv_id", "run").agg(
-        F.count("*").alias("n"), F.sum("tokens").alias("sum"), first.alias("first")
-    )
-    across = Window.partitionBy("conv_id").orderBy("run")
+    sums = base.groupBy("key", "run").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), first.alias("first"))
+    across = Window.partitionBy("key").orderBy("run")
     ahead = across.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        F.col("conv_id").alias("_conv"),
-        F.col("run").alias("_run"),
+    opening = F.first("first").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = (F.col("opening.role") == SYSTEM) & (F.col("opening.tokens") <= budget.window // 2)
+    sums = sums.withColumn("opening", opening).select(
+        "key",
+        "run",
         F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n_ahead"),
         F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("sum_ahead"),
-        F.first("first").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("opening"),
+        F.when(kept, F.col("opening.text")).alias("system"),
+        F.when(kept, F.col("opening.tokens")).otherwise(0).alias("system_tokens"),
     )
-    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("run").eqNullSafe(F.col("_run"))
-    rows = local.join(sums, same)
-    kept = (F.col("opening.role") == SYSTEM) & (F.col("opening.tokens") <= budget.window // 2)
-    room = F.greatest(F.lit(budget.window - budget.history) - F.when(kept, F.col("opening.tokens")).otherwise(0), F.lit(1))
+    rows = local.join(sums, ["key", "run"])
     rows = rows.select(
-        "conv_id",
+        "key",
         "role",
         "text",
         "tokens",
         (F.col("n_ahead") + F.col("place") - 1).alias("ordinal"),
         (F.col("sum_ahead") + F.col("before")).alias("before"),
-        F.when(kept, F.col("opening.text")).alias("system"),
-        room.alias("room"),
+        "system",
+        F.greatest(F.lit(budget.window - budget.history) - F.col("system_tokens"), F.lit(1)).alias("room"),
     )
     stride = F.floor(F.col("before") / F.col("room")).cast("long")
     passes = F.col("before") + F.col("tokens") > (stride + 1) * F.col("room")
-    return rows.withColumn("window", 2 * stride + passes.cast("long"))
+    return rows.withColumn("own", 2 * stride + passes.cast("long"))
 
 
 def windows(turns: DataFrame, budget: Budget = Budget()) -> DataFrame:
@@ -105,34 +103,33 @@ def windows(turns: DataFrame, budget: Budget = Budget()) -> DataFrame:
     ``loss`` holds the start and end (code points of ``formatted``) of every target text.
     """
     rows = _placed(turns, budget)
-    starts = rows.groupBy("conv_id", "window").agg(F.min("before").alias("opens"), F.min("room").alias("room"))
-    starts = starts.withColumn("stride", F.floor(F.col("opens") / F.col("room")).cast("long"))
-    starts = starts.select(F.col("conv_id").alias("_conv"), "stride", F.col("window").alias("later"), "opens")
-    # A turn is history of the windows that open within the history budget after it: one or two strides to look at.
-    reach = F.sequence(
-        F.floor(F.col("before") / F.col("room")).cast("long"),
-        F.floor((F.col("before") + budget.history) / F.col("room")).cast("long"),
-    )
-    past = rows.filter(F.col("tokens") <= budget.history).withColumn("stride", F.explode(reach))
-    past = past.join(starts.withColumnRenamed("stride", "_stride"), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("stride") == F.col("_stride")))
-    past = past.filter((F.col("later") > F.col("window")) & (F.col("opens") - F.col("before") <= budget.history))
-    head = F.when(F.col("system").isNotNull(), F.col("ordinal") > 0).otherwise(F.lit(True))  # the system turn comes by itself
-    past = past.filter(head)
-    whole = OPEN + "{}" + SEP
-    columns = ["conv_id", "window", "ordinal", "role", "text", "tokens", "system", "repeated"]
-    parts = rows.withColumn("repeated", F.lit(False)).select(*columns).unionByName(
-        past.withColumn("window", F.col("later")).withColumn("repeated", F.lit(True)).select(*columns)
-    )
-    del whole
+    starts = rows.groupBy("key", F.col("own").alias("window")).agg(F.min("before").alias("opens"))
+    starts = starts.withColumn("stride", F.floor(F.col("window") / 2).cast("long"))
+    # A turn lies in its own window and is history of those that open within the history budget after it, so it meets
+    # the windows of its own stride and of the few strides that the history budget reaches.
+    short = F.col("tokens") <= budget.history
+    stride = lambda at: F.floor(at / F.col("room")).cast("long")
+    reach = F.sequence(stride(F.col("before")), stride(F.col("before") + F.when(short, F.lit(budget.history)).otherwise(0)))
+    met = rows.withColumn("stride", F.explode(reach)).join(starts, ["key", "stride"])
+    repeated = (F.col("window") > F.col("own")) & short & (F.col("opens") - F.col("before") <= budget.history)
+    repeated = repeated & (F.col("system").isNull() | (F.col("ordinal") > 0))  # the system turn comes by itself
+    met = met.filter((F.col("window") == F.col("own")) | repeated)
     head_of = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(SEP))
-    parts = parts.select(
-        "conv_id",
+    parts = met.select(
+        "key",
+        "stride",
         "window",
         "tokens",
         F.when(F.col("window") > 0, F.col("system")).alias("system"),
-        F.struct("ordinal", "repeated", (F.col("role") == TARGET).alias("target"), head_of.alias("head"), escape(F.col("text")).alias("body")).alias("part"),
+        F.struct(
+            "ordinal",
+            (F.col("window") != F.col("own")).alias("repeated"),
+            (F.col("role") == TARGET).alias("target"),
+            head_of.alias("head"),
+            escape(F.col("text")).alias("body"),
+        ).alias("part"),
     )
-    grouped = parts.groupBy("conv_id", "window").agg(
+    grouped = parts.groupBy("key", "stride", "window").agg(
         F.sort_array(F.collect_list("part")).alias("parts"), F.max("system").alias("system"), F.sum("tokens").alias("tokens"),
         F.min("part.ordinal").alias("opens"),
     )
@@ -151,7 +148,7 @@ def windows(turns: DataFrame, budget: Budget = Budget()) -> DataFrame:
         return F.struct((b + len(CLOSE)).alias("at"), spans.alias("spans"))
 
     return grouped.select(
-        "conv_id",
+        "key.conv_id",
         "window",
         formatted.alias("formatted"),
         F.size(F.filter("parts", lambda p: ~p["repeated"])).cast("long").alias("n_turns"),
