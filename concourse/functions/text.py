@@ -39,6 +39,7 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
 
 
 MERGE_ABOVE, MERGE_GAP = 0x700, 0x100
+FEW_LONGER = 16
 
 
 @functools.cache
@@ -85,13 +86,16 @@ def normalize_search(c: Column) -> Column:
     """Search form of a text: compatibility letters, lower case, no marks, folded Arabic, plain digits, single spaces.
 
     ASCII rows (as many bytes as characters) need only lower case and separators.  One-letter
-    decompositions go through ``translate``; the per-character path runs only for rows that hold a
-    ligature, presentation form or Hangul syllable.
+    decompositions go through ``translate``.  A row with a few different ligatures, presentation forms or
+    Hangul syllables has each of them replaced; the per-character path is left to rows with many.
     """
     source, target, _ = _decompositions()
     ascii_only = F.octet_length(c) == F.char_length(c)
     chars = F.filter(F.split(c, ""), lambda ch: ch != "")
-    expanded = F.array_join(F.transform(chars, _expand), "")
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_longer_pattern()), F.lit(0)))
+    # Decompositions hold nothing that decomposes further, so the order of the replacements is free.
+    replaced = F.aggregate(found, c, lambda text, ch: F.replace(text, ch, _expand(ch)))
+    expanded = F.when(F.size(found) <= FEW_LONGER, replaced).otherwise(F.array_join(F.transform(chars, _expand), ""))
     flat = F.translate(F.when(c.rlike(_longer_pattern()), expanded).otherwise(c), source, target)
     bare = F.regexp_replace(F.lower(flat), r"\p{M}", "")
     folded = F.translate(bare, FOLD_FROM + TATWEEL, FOLD_TO)

@@ -163,3 +163,16 @@ def test_custom_start_never_falls_back(spark, custom, expected):
     kiosks = spark.createDataFrame([("k", "f", "K", "confirmed")], "kiosk_id string, scope_id string, node_id string, status string")
     places = spark.createDataFrame([("x", None), ("d", "D")], "place_id string, door_node string")
     assert dr.resolve_origin(requests, kiosks, places).first().start_node == expected
+
+
+def test_rows_with_few_and_many_longer_letters(spark):
+    import re
+    import unicodedata
+
+    from concourse.functions.text import normalize_search
+
+    texts = ["a…b ﬁ½™ 한글", "".join(chr(0xAC00 + 7 * i) for i in range(40)) + "ﬃ…", "Café über straße …", "ﬁﬁﬁ"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(normalize_search(F.col("t"))).collect()
+    for text, row in zip(texts, got, strict=True):
+        flat = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M")).lower()
+        assert row[0] == " ".join(re.sub(r"[^\w]|_", " ", flat).split())
