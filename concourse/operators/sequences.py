@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from concourse.functions.geometry import cross, dist
 from concourse.operators.ordered import first_per, neighbours, ordinal_chunk, running_sum
+from concourse.session import cut
 
 # Room code pattern of the schedule and heading bands in degrees.
 SCHEDULE_CODE = r"^G-[0-9]+$"
@@ -88,9 +89,9 @@ def fold_continue(
     """Fold runs of adjacent 'continue' rows into the first one, summing distance with NULL as zero."""
     n = neighbours(instructions, [key], order, chunk, prev={"_prev_type": "type"})
     starts = ~((F.col("type") == "continue") & F.coalesce(F.col("_prev_type") == "continue", F.lit(False)))
-    island = running_sum(
-        n.withColumn("_start", starts.cast("long")), [key], order, chunk, F.col("_start"), "_island"
-    )
+    # Each ordered scan reads its input twice; a table between two of them keeps that from multiplying.
+    n = cut(n.withColumn("_start", starts.cast("long")))
+    island = running_sum(n, [key], order, chunk, F.col("_start"), "_island")
     rest = [c for c in instructions.columns if c not in (key, "distance")]
     rank = F.struct(*[F.col(c) for c in order])
     folded = island.groupBy(key, "_island").agg(
