@@ -87,8 +87,8 @@ def clip_track(
     1 cut point) and x, y.  A full fraction keeps the whole track, even one without length.
     """
     m = _targets(measured(vertices, key, order, chunk), progress, key)
-    first_rank = m.groupBy("request_id", key).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
-    m = m.join(first_rank, ["request_id", key])
+    firsts = vertices.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
+    m = m.join(firsts, key)
     is_first = F.struct(*[F.col(c) for c in order]) == F.col("_first")
     full = F.col("t") >= 1
     flat = F.col("total") <= 0
