@@ -515,10 +515,37 @@ def _union(parts) -> DataFrame:
     return out
 
 
-def validate(tables: dict[str, DataFrame], base: float = 1.0) -> DataFrame:
-    """Every violation of the admission and registry rules, with ``rule_ord`` for the order of checking."""
+def validate(
+    tables: dict[str, DataFrame],
+    base: float = 1.0,
+    requests: DataFrame | None = None,
+    overrides: DataFrame | None = None,
+    anchors: DataFrame | None = None,
+    inventory: bool = False,
+) -> DataFrame:
+    """Every violation of the contract, with ``rule_ord`` for the order of checking.
+
+    R01-R37, R39 and R40 read the bundles.  R38, R41 and R42 read tables beside them and are checked where those are
+    given: configured kiosks (request_id, kiosk_id, building_id, floor_id), availability overrides (code, status, reason)
+    and alignment anchors (anchor_id, residual).  R43 is a policy for unverified inventories, which a sound confirmed
+    bundle breaks; ``inventory`` asks for it.
+    """
     c = Contract(tables)
-    return _union([c.admission(base), c.registry()]).withColumn("rule_ord", F.substring("rule_id", 2, 2).cast("int"))
+    parts = [c.admission(base), c.registry(), c.mixed_floors(), c.endpoints(base)]
+
+    def beside(faults: DataFrame, rule: str, entity: str, path: str, message: str) -> DataFrame:
+        named = faults.select(F.lit(None).cast("string").alias("bundle_id"), F.col(path).cast("string").alias("path"))
+        return listed(named, rule, entity, F.col("path"), message)
+
+    if requests is not None:
+        parts.append(beside(kiosk_config(requests, tables["kiosks"]), "R38", "request", "request_id", "configured kiosk is not on that floor"))
+    if overrides is not None:
+        parts.append(beside(override_faults(overrides), "R41", "override", "code", "override has no known status or full reason"))
+    if anchors is not None:
+        parts.append(beside(anchor_faults(anchors), "R42", "anchor", "anchor_id", "anchor lies beyond the residual limit"))
+    if inventory:
+        parts.append(c.inventory())
+    return _union(parts).withColumn("rule_ord", F.substring("rule_id", 2, 2).cast("int"))
 
 
 def kiosk_config(requests: DataFrame, kiosks: DataFrame) -> DataFrame:

@@ -202,6 +202,12 @@ def test_read_bundles_from_files(spark, tmp_path):
     assert [r.id for r in t["places"].orderBy("ord").collect()] == ["r1", "r2"]
     assert t["edges"].first().path[1].x == 25.0 and t["floors"].first().bundle_id == "B1/GF"
     assert ct.validate(t).isEmpty()
+    requests = spark.createDataFrame([("q1", "nowhere", "B1", "GF"), ("q2", None, "B1", "GF")], "request_id string, kiosk_id string, building_id string, floor_id string")
+    overrides = spark.createDataFrame([("a", "closed-for-good", ("x", "y"))], "code string, status string, reason struct<en:string,ar:string>")
+    anchors = spark.createDataFrame([(1, 0.0), (2, 1e9)], "anchor_id long, residual double")
+    beside = ct.validate(t, requests=requests, overrides=overrides, anchors=anchors, inventory=True)
+    got = {(r.rule_id, r.path) for r in beside.filter("rule_id <> 'R43'").collect()}
+    assert got == {("R38", "q1"), ("R41", "a"), ("R42", "2")}
     docs = bu.read_documents(spark, root).select("path_building", "path_floor", "doc.building.id", F.lit("F1").alias("floor"))
     assert bu.path_id_mismatches(docs, [("path_building", "id")]).isEmpty()
     assert bu.path_id_mismatches(docs, [("path_floor", "floor")]).count() == 1
