@@ -72,14 +72,6 @@ def affine(x: Column, y: Column, matrix: Sequence[float | Column]) -> tuple[Colu
     return x * a + y * c + e, x * b + y * d + f
 
 
-def affine_points(points: Column, matrix: Sequence[float | Column]) -> Column:
-    def move(p: Column) -> Column:
-        x, y = affine(p["x"], p["y"], matrix)
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return F.transform(points, move)
-
-
 def fill_class(fill: Column) -> Column:
     """Shaded when a fill exists and its channels sum below the near-white limit."""
     total = F.aggregate(fill, F.lit(0.0), lambda acc, v: acc + v)

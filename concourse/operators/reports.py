@@ -32,10 +32,6 @@ def checks(*labelled: tuple[str, DataFrame, Column]) -> DataFrame:
     return out
 
 
-def check_totals(report: DataFrame) -> DataFrame:
-    return report.agg(F.count(F.lit(1)).alias("checks"), F.count_if("passed").alias("passed"))
-
-
 def network_report(
     nodes: DataFrame, edges: DataFrame, areas: DataFrame, walls: DataFrame, reached: DataFrame, reached_places: DataFrame, contacts: DataFrame, outside: DataFrame, crossings: DataFrame
 ) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concourse.functions.geometry import cross, dist
-from concourse.operators.ordered import first_per, neighbours, ordinal_chunk, running_sum
+from concourse.operators.ordered import neighbours, ordinal_chunk, running_sum
 from concourse.session import cut
 
 # Room code pattern of the schedule and heading bands in degrees.
@@ -84,7 +84,7 @@ def turns(segments: DataFrame, key: str, order: Sequence[str], chunk: Column) ->
 
 
 def fold_continue(
-    instructions: DataFrame, key: str, order: Sequence[str], chunk: Column, chunk_of_group: str | None = None
+    instructions: DataFrame, key: str, order: Sequence[str], chunk: Column
 ) -> DataFrame:
     """Fold runs of adjacent 'continue' rows into the first one, summing distance with NULL as zero."""
     n = neighbours(instructions, [key], order, chunk, prev={"_prev_type": "type"})
@@ -112,8 +112,3 @@ def intervals(cuts: DataFrame, key: str, per_chunk: int = 64) -> DataFrame:
     chunk = F.floor(F.col("t") * per_chunk)
     paired = neighbours(distinct, [key], ["t"], chunk, next={"t1": "t"})
     return paired.filter("t1 is not null").select(key, F.col("t").alias("t0"), "t1")
-
-
-def first_match(candidates: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """First candidate per key in source order."""
-    return first_per(candidates, [key], order)

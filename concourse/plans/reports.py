@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concourse.operators import drawings as dw
-from concourse.operators import network as nw
-from concourse.operators import relational as rl
 from concourse.operators import reports as rp
 from concourse.operators import spatial as sp
 from concourse.plans import aggregates as ag

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from concourse.operators import relational as rl
-from concourse.plans import bindings as b
 from concourse.plans.registry import query
 from concourse.session import ensure_checkpoint_dir
 from concourse.sources import artifacts as ar

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from concourse.functions import geometry as g
 from concourse.operators import drawings as dw
-from concourse.operators import relational as rl
 from concourse.operators import spatial as sp
 from concourse.plans import bindings as b
 from concourse.plans.registry import query

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from concourse.operators import sequences as sq
 from concourse.operators.linear import cumulative
 from concourse.operators.measures import path_segments, ring_segments
-from concourse.operators.ordered import ordinal_chunk
 from concourse.plans import bindings as b
 from concourse.plans.aggregates import STEPS_SQL, TRACK, track, zone_vertices
 from concourse.plans.registry import query
