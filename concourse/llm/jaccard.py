@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concourse.llm.components import components
-from concourse.llm.kernels import Chunk, SubstringHash, chunks, mix, row_of, signed, words
+from concourse.llm.kernels import Chunk, SubstringHash, chunks, mix, signed, words
 from concourse.llm.tables import stored
 
 WORDS = 5

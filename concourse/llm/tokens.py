@@ -16,7 +16,7 @@ import numpy as np
 END_ID = 1
 SEPARATOR = "!"
 MARKS = b".,;:!?%$#&*|"
-MOST_WORDS = 1_000_000
+MOST_WORDS = 600_000
 _LOADED: dict[str, "WordTokens"] = {}
 
 
