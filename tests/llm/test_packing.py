@@ -19,6 +19,18 @@ def test_words_give_the_ids_of_whole_texts():
         assert np.frombuffer(ours.ids(text.encode()), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_forgotten_and_learned_again(monkeypatch):
+    from concourse.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_WORDS", 60)
+    library, ours = Tokenizer.from_file(default_path()), WordTokens(default_path())
+    texts = [r[1] or "" for r in brute.corpus(40)]
+    for at in range(0, len(texts), 5):
+        ours.learn([t.encode() for t in texts[at : at + 5]])
+        for text in texts[at : at + 5]:
+            assert np.frombuffer(ours.ids(text.encode()), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_fill_is_the_closest():
     from itertools import product
 
