@@ -61,7 +61,7 @@ def kept_lines(rows):
             first[body] = min(first.get(body, key), key)
     for (doc_id, text), spans in zip(rows, cut, strict=True):
         lines = (text or "").split("\n")
-        gone = {f + i for f, n, body in spans if first[body][3] != f or first[body][1:3] != (doc_id or 0, text or "") for i in range(n)}
+        gone = {f + i for f, n, body in spans if first[body] != (doc_id is not None, doc_id or 0, text or "", f) for i in range(n)}
         out.append((str(doc_id), len(lines), len(gone), hashlib.sha256("\n".join(x for i, x in enumerate(lines) if i not in gone).encode()).hexdigest()))
     return sorted(out)
 
