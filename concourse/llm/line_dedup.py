@@ -1,18 +1,21 @@
 """Removal of multi-line passages that repeat across the corpus.
 
-A rolling hash over the hashes of the last ``SPAN`` lines chooses where chunks of lines end, so the borders depend on
-nearby lines only and fall alike in every copy of a passage, wherever it stands.  Chunks of two lines or more (with
-enough text) meet by their hashes; of equal chunks the first (smallest ``doc_id``, then place) stays.  Every other one
-is removed once its bytes have been compared with those of the first.
+A passage is a run of ``LEAST_LINES`` lines or more (blank ones count) with ``LEAST_BYTES`` bytes or more that are no
+white space.  A line goes if it lies in any passage that stands at an earlier place too (smaller ``doc_id``, then place).
+Every line of a passage lies in a smallest passage inside it: the shortest one from a given line on, or up to it.  These
+follow from their own bytes alone, at most two per line, and meet by their hashes; the first of equal ones stays and
+every other one goes once its bytes have been compared with those of the first.  No passage is missed, wherever it stands.
 
 Defined cases: a null or empty text has nothing to remove and stays as it is; rows that share both ``doc_id`` and text
 are one document here and are treated alike; rows that share only the ``doc_id`` are told apart by a hash of the text;
-a null ``doc_id`` comes first; lines end at line feeds only; an empty table gives an empty result; other columns pass
-through, and those named like the added ones are replaced.
+a null ``doc_id`` comes first; lines end at line feeds only; copies that overlap the first one go as well, up to the
+lines it has before them; ``n_removed_chunks`` counts the separate runs of removed lines; an empty table gives an empty
+result; other columns pass through, and those named like the added ones are replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,36 +23,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concourse.llm.kernels import Chunk, SubstringHash, WORD_BREAK, chunks, lines, mix, signed
+from concourse.llm.kernels import Chunk, SubstringHash, WORD_BREAK, chunks, lines, signed
 from concourse.llm.tables import stored
 
-SPAN = 2
-EVERY = 4
 LEAST_LINES = 2
 LEAST_BYTES = 40
 ADDED = ("n_lines", "n_removed_lines", "n_removed_chunks")
-_U64 = np.uint64
+#: Longer bodies are compared deflated: beside long stretches of blank lines, smallest passages overlap in most of their bytes.
+PLAIN_BYTES = 4096
 CHUNKS = "doc_id long, version long, low long, high long, first int, lines int, start long, bytes long"
 
 
 def line_chunks(chunk: Chunk) -> dict[str, np.ndarray]:
-    """All multi-line chunks: row, hashes of their bytes, first line, number of lines, first byte and length in bytes."""
+    """All smallest passages: row, hashes of their bytes, first line, number of lines, first byte and length in bytes."""
     start, end, row = lines(chunk)
     hashes = SubstringHash(chunk.data)
-    line = hashes.of(start, end)
-    rolled = line.copy()
-    for back in range(1, SPAN):
-        same = row[back:] == row[:-back]
-        rolled[back:] += np.where(same, line[:-back] * _U64(0x9E3779B97F4A7C15 * back & (1 << 64) - 1), _U64(0))
-    last_of_row = np.append(row[1:] != row[:-1], True)
-    ends = np.flatnonzero((mix(rolled) % _U64(EVERY) == 0) | last_of_row)
-    first = np.concatenate([[0], ends[:-1] + 1])
-    a, b = start[first], end[ends]
     filled = np.zeros(len(chunk.data) + 1, dtype=np.int64)
     np.cumsum(~WORD_BREAK[chunk.data], out=filled[1:])
+    before, upto = filled[start], filled[end]
+    n, at = len(row), np.arange(len(row))
     of_row = np.searchsorted(row, np.arange(chunk.rows))
-    keep = (ends - first + 1 >= LEAST_LINES) & (filled[b] - filled[a] >= LEAST_BYTES)
-    first, ends, a, b = first[keep], ends[keep], a[keep], b[keep]
+    last = np.maximum(at + LEAST_LINES - 1, np.searchsorted(upto, before + LEAST_BYTES))
+    first = np.minimum(at - LEAST_LINES + 1, np.searchsorted(before, upto - LEAST_BYTES, side="right") - 1)
+    on, back = last < np.append(of_row[1:], n)[row], first >= of_row[row]
+    both = np.unique(np.concatenate([at[on] * n + last[on], first[back] * n + at[back]]))
+    first, ends = both // max(n, 1), both % max(n, 1)
+    a, b = start[first], end[ends]
     return {
         "row": row[first],
         "low": signed(hashes.of(a, b)),
@@ -75,14 +74,13 @@ def _all_chunks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, CHUNKS)
 
 
-def _cut_bytes(texts: pa.Array, spans: list[list[dict]]) -> list[list[bytes]]:
-    return [
-        [text[s["start"] : s["start"] + s["bytes"]] for s in of] for text, of in zip(texts, spans, strict=True)
-    ]
+def _body(text: bytes, span: dict) -> bytes:
+    body = text[span["start"] : span["start"] + span["bytes"]]
+    return body if len(body) <= PLAIN_BYTES else zlib.compress(body, 1)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, version, first line and lines of every chunk to remove, after the byte comparison."""
+    """doc_id, version, first line and lines of every smallest passage to remove, after the byte comparison."""
     rows = _keyed(docs)
     found = stored(_all_chunks(rows), "line-chunks")
     place = F.struct("doc_id", "version", "first")
@@ -111,7 +109,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
                         part.column(0).take(at),
                         part.column(1).take(at),
                         *(pa.array([s[c] for s in flat], k) for c, k in (("low", pa.int64()), ("high", pa.int64()), ("first", pa.int32()), ("lines", pa.int32()), ("keeps", pa.bool_()))),
-                        pa.array([b for of in _cut_bytes(texts, spans) for b in of], pa.binary()),
+                        pa.array([_body(text, s) for text, of in zip(texts, spans, strict=True) for s in of], pa.binary()),
                     ],
                     names=["doc_id", "version", "low", "high", "first", "lines", "keeps", "body"],
                 )
@@ -128,7 +126,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated chunks; adds n_lines, n_removed_lines and n_removed_chunks."""
+    """``docs`` without the repeated passages; adds n_lines, n_removed_lines and n_removed_chunks."""
     own = [c for c in docs.columns if c not in ADDED]
     drop = repeated_chunks(docs).groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "lines")).alias("_gone"))
     drop = drop.withColumnsRenamed({"doc_id": "_id", "version": "_version"})
@@ -152,14 +150,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 for i, spans in enumerate(gone):
                     raw = chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]]
                     n = int(np.count_nonzero(raw == 10)) + 1
-                    removed = sum(s["lines"] for s in spans or ())
-                    counts.append((n, removed, len(spans or ())))
+                    gone_here = np.zeros(n + 1, dtype=bool)
+                    for s in spans or ():
+                        gone_here[s["first"] : s["first"] + s["lines"]] = True
+                    counts.append((n, int(gone_here.sum()), int(np.count_nonzero(gone_here[:-1] & ~gone_here[1:]))))
                     if spans:
-                        stays = np.ones(n, dtype=bool)
-                        for s in spans:
-                            stays[s["first"] : s["first"] + s["lines"]] = False
                         of = fresh[i].split("\n")
-                        fresh[i] = "\n".join(of[j] for j in np.flatnonzero(stays))
+                        fresh[i] = "\n".join(of[j] for j in np.flatnonzero(~gone_here[:n]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), texts if fresh is None else pa.array(fresh, texts.type), part.column(2), *(pa.array([c[j] for c in counts], pa.int64()) for j in range(3))],
                     names=["doc_id", "text", "rest", *ADDED],

@@ -79,6 +79,46 @@ def test_line_dedup(spark):
     assert line_dedup.removed_lines(docs.limit(0)).count() == 0
 
 
+def lines_of_repeated_runs(rows):
+    """Per document the lines in any run of two lines and 40 filled bytes or more that an earlier place holds too; by trying all runs."""
+    first, runs = {}, []
+    for doc_id, text in rows:
+        lines, own = text.split("\n"), []
+        for i in range(len(lines)):
+            for k in range(i + 1, len(lines)):
+                body = "\n".join(lines[i : k + 1])
+                if len("".join(body.split()).encode()) >= 40:
+                    own.append((i, k, body))
+                    first[body] = min(first.get(body, (doc_id, i)), (doc_id, i))
+        runs.append(own)
+    return {d: {x for i, k, body in own if first[body] != (d, i) for x in range(i, k + 1)} for (d, _), own in zip(rows, runs, strict=True)}
+
+
+def test_line_dedup_finds_every_repeated_run(spark):
+    r = random.Random(12)
+    serial = iter(range(10**6))
+    line = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(k)) + f" {next(serial)}"
+    passages = [[line(r.randint(12, 30)) for _ in range(2 + i % 7)] for i in range(30)]
+    passages += [["{", "x", "", "y = 1;", "}", "b" * 34, "c", ""], ["a" * 39, "b", "c", "d"], ["d", "c", "b", "e" * 39], ["q"] * 45]
+    rows, planted, alone = [], [], line(20)
+    for copy in range(3):
+        for i, passage in enumerate(passages):
+            head, tail = ([line(9) for _ in range(r.randint(1, 4))] for _ in range(2))
+            rows.append((1000 * copy + i, "\n".join([*head, *passage, *tail])))
+            planted += [(1000 * copy + i, len(head), len(passage))] * (copy > 0)
+    rows += [(5000 + i, "\n".join([line(9), alone, line(9)])) for i in range(3)]
+    rows += [(6000, "\n".join([line(9), *passages[5], line(9), *passages[5], line(9)])), (6001, "z z\n" + "\n" * 300 + line(30)), (6002, "")]
+    rows.append((6003, rows[-2][1]))
+    gone = lines_of_repeated_runs(rows)
+    assert all(set(range(at, at + n)) <= gone[d] for d, at, n in planted) and not any(gone[5000 + i] for i in range(3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: x for x in line_dedup.dedup_lines(docs).collect()}
+    for doc_id, text in rows:
+        assert got[doc_id]["text"] == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[doc_id]), doc_id
+        assert got[doc_id]["n_removed_lines"] == len(gone[doc_id])
+        assert got[doc_id]["n_removed_chunks"] == len([i for i in gone[doc_id] if i + 1 not in gone[doc_id]])
+
+
 def least_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
