@@ -1,4 +1,9 @@
-"""Grid graphs over domain outlines: cells, clearance, links, endpoint candidates."""
+"""Grid graphs over domains: cells, clearance, links, endpoint candidates.
+
+A domain is one row per ring (domain_id, ring and its box): outlines of all its parts and of all holes, in any order.
+Rings may touch but not cross, as in the border of a polygon; a point is inside if it has an odd number of sides on
+one hand.  Rings of fewer than three points are no border.
+"""
 
 from __future__ import annotations
 
@@ -23,11 +28,10 @@ def _on_ring(sides: Column, x: Column, y: Column) -> Column:
 def grid_cells(domains: DataFrame, step: float = STEP) -> DataFrame:
     """Lattice points strictly inside each domain: domain_id, ix, iy, x, y.
 
-    domains: domain_id, ring and its box.  Columns are spread before rows, so a large domain's
-    lattice is generated by many tasks.
+    Columns are spread before rows, so a large domain's lattice is generated by many tasks.
     """
     first = lambda c: F.floor(F.col(c) / step).cast("long")
-    columns = domains.select("domain_id", g.ring_sides(F.col("ring")).alias("_sides"), "min_y", "max_y", F.explode(F.sequence(first("min_x"), first("max_x") + 1)).alias("ix"))
+    columns = _sided(domains).select("domain_id", "_sides", "min_y", "max_y", F.explode(F.sequence(first("min_x"), first("max_x") + 1)).alias("ix"))
     columns = columns.repartition("domain_id", "ix")
     cells = columns.withColumn("iy", F.explode(F.sequence(first("min_y"), first("max_y") + 1)))
     cells = cells.withColumns({"x": F.col("ix") * F.lit(float(step)), "y": F.col("iy") * F.lit(float(step))})
@@ -36,25 +40,28 @@ def grid_cells(domains: DataFrame, step: float = STEP) -> DataFrame:
 
 
 def clearance(cells: DataFrame, domains: DataFrame) -> DataFrame:
-    """Distance of every cell to its domain's outline; the minimum is folded inside each row."""
+    """Distance of every cell to its domain's border, holes included; the minimum is folded inside each row."""
     gaps = F.transform(
         F.col("_sides"),
         lambda s: g.point_segment_distance(
             F.col("x"), F.col("y"), s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
         ),
     )
-    joined = cells.join(_sided(domains), "domain_id")
+    joined = cells.join(_sided(domains).select("domain_id", "_sides"), "domain_id")
     return joined.withColumn("clearance", F.array_min(gaps)).drop("_sides")
 
 
 def _sided(domains: DataFrame) -> DataFrame:
-    return domains.select("domain_id", g.ring_sides(F.col("ring")).alias("_sides"))
+    """One row per domain: the sides of all its rings, and the box around them."""
+    box = [fn(c).alias(c) for fn, c in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))]
+    rings = domains.filter(F.size("ring") >= 3)
+    return rings.groupBy("domain_id").agg(F.flatten(F.collect_list(g.ring_sides(F.col("ring")))).alias("_sides"), *box)
 
 
 def stays_inside(sides: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """The segment lies in the outline: no stretch between contacts with its sides is outside.
+    """The segment lies in the domain: no stretch between contacts with its sides is outside.
 
-    Without any contact one end decides, so the stretches are cut only where the outline is met.
+    Without any contact one end decides, so the stretches are cut only where the border is met.
     """
     touched = F.exists(
         sides,
@@ -86,7 +93,7 @@ def grid_links(cells: DataFrame, domains: DataFrame, step: float = STEP) -> Data
         (F.col("ix") + F.col("o.dx")).alias("ix"),
         (F.col("iy") + F.col("o.dy")).alias("iy"),
     )
-    met = asked.join(cells, ["domain_id", "ix", "iy"]).join(_sided(domains), "domain_id")
+    met = asked.join(cells, ["domain_id", "ix", "iy"]).join(_sided(domains).select("domain_id", "_sides"), "domain_id")
     length = g.norm(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
     tight = F.greatest(F.least("c0", "clearance"), F.lit(CLEARANCE_FLOOR))
     # A link no longer than an end's clearance cannot leave the domain.

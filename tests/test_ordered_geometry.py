@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -200,3 +201,34 @@ def test_contained_rooted_tree_is_worse(spark):
     root = spark.createDataFrame([("a",)], "node_id string")
     worse = {(r.start_node, r.end_node) for r in nw.tree_detours(edges, root, ends).filter("worse").collect()}
     assert worse == {("c", "d"), ("d", "c")} or worse == {("b", "c"), ("c", "b")}
+
+
+def test_grid_keeps_out_of_holes_and_into_further_parts(spark):
+    from concourse.operators import grid
+
+    box = lambda x0, y0, x1, y1: ([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], x0, y0, x1, y1)
+    # Domain 1: a part with a hole, an isle in the hole, a thin wall cut out between two columns, and a part of its own.
+    rings = {1: [box(0.5, 0.5, 12.5, 12.5), box(2.5, 2.5, 9.5, 9.5), box(4.5, 4.5, 7.5, 7.5), box(10.4, 0.7, 10.6, 11.5), box(20.5, 0.5, 24.5, 4.5)], 2: [box(0.5, 0.5, 3.5, 3.5)]}
+    rows = [(d, [{"x": x, "y": y} for x, y in ring], *map(float, b)) for d, of in rings.items() for ring, *b in of]
+    domains = spark.createDataFrame(rows, "domain_id int, ring array<struct<x:double,y:double>>, min_x double, min_y double, max_x double, max_y double").repartition(3)
+    inside = lambda d, x, y: sum(b[0] < x < b[2] and b[1] < y < b[3] for _, *b in rings[d]) % 2 == 1
+
+    def gap(d, x, y):
+        out = []
+        for _, x0, y0, x1, y1 in rings[d]:
+            dx, dy = max(x0 - x, 0, x - x1), max(y0 - y, 0, y - y1)
+            out.append(math.hypot(dx, dy) if dx or dy else min(x - x0, x1 - x, y - y0, y1 - y))
+        return min(out)
+
+    want = {(d, x, y) for d in rings for x in range(26) for y in range(14) if inside(d, x, y)}
+    cells = grid.clearance(grid.grid_cells(domains, 1.0), domains)
+    got = {(r["domain_id"], r["ix"], r["iy"]): r["clearance"] for r in cells.collect()}
+    assert set(got) == want
+    assert all(abs(v - gap(*k)) < 1e-9 for k, v in got.items())
+    links = {(r["domain_id"], r["ix0"], r["iy0"], r["ix1"], r["iy1"]) for r in grid.grid_links(cells, domains, 1.0).collect()}
+
+    def stays(d, x, y, u, v):
+        return all(inside(d, x + (u - x) * k / 1000, y + (v - y) * k / 1000) for k in range(1001))
+
+    steps = [(d, x, y, x + i, y + j) for d, x, y in want for i, j in ((1, 0), (0, 1), (1, 1), (-1, 1)) if (d, x + i, y + j) in want]
+    assert links == {s for s in steps if stays(*s)} and len(links) < len(steps)
