@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage applies one operator to the documents that the stage before it kept.
 
-Defined cases: a null text fails the quality rules; an empty table stays empty; of rows that share a ``doc_id`` the
-near-duplicate stage keeps the first by text; columns beyond those of ``documents`` pass through all stages but the last.
+Defined cases: a null text fails the quality rules; an empty table stays empty; rows that share a
+``doc_id`` are told apart by a hash of the text in the near-duplicate stage, and equal ones count once; columns beyond those of ``documents`` pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -26,14 +26,31 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of linked documents."""
-    groups = jaccard.similar(docs)
-    dropped = groups.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    alone = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    same_id = Window.partitionBy("doc_id", alone).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    nth = fresh("_nth", docs.columns)
-    return kept.withColumn(nth, F.row_number().over(same_id)).filter(F.col(nth) == 1).select(*docs.columns)
+    """The document with the smallest id, then hash of the text, of every group of linked documents."""
+    key, version, nth = (fresh(c, docs.columns) for c in ("_key", "_version", "_nth"))
+    rows = docs.withColumn(version, F.xxhash64(F.col("text").cast("string")))
+    # Only rows whose doc_id stands for several texts need a name of their own.
+    texts = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(version).alias("_a"), F.max(version).alias("_z"))
+    clashing = stored(texts.filter(F.col("_a") < F.col("_z")).select(F.col("doc_id").alias("_shared")), "clashing-ids")
+    rows = rows.join(clashing, F.col("doc_id") == F.col("_shared"), "left")
+    own_id = F.col("doc_id").cast("long")
+    rows = rows.withColumn(key, F.when(F.col("_shared").isNotNull(), F.xxhash64("doc_id", version)).otherwise(own_id))
+    marks = rows.filter(F.col("_shared").isNotNull()).select(F.col(key).alias("_named"), own_id.alias("_id"), F.col(version).alias("_version_of")).distinct()
+    marks, rows = stored(marks, "named-rows"), rows.drop("_shared")
+    groups = stored(jaccard.similar(rows.select(F.col(key).alias("doc_id"), "text")).select("doc_id", "component_id").distinct(), "components")
+    placed = groups.join(marks, F.col("doc_id") == F.col("_named"), "left")
+    mixed = placed.filter(F.col("_named").isNotNull()).select(F.col("component_id").alias("_mixed")).distinct()
+    plain = groups.filter(F.col("component_id") < F.col("doc_id")).join(mixed, F.col("component_id") == F.col("_mixed"), "left_anti")
+    # Own names are no ids, so the first of a group with such rows is found by their ids.
+    place = F.struct(F.coalesce("_id", "doc_id").alias("id"), F.coalesce("_version_of", F.lit(0)).alias("version"), "doc_id")
+    placed = placed.join(mixed, F.col("component_id") == F.col("_mixed")).withColumn("_place", place)
+    first = placed.groupBy("_mixed").agg(F.min("_place").alias("_first"))
+    later = placed.drop("_mixed").join(first, F.col("component_id") == F.col("_mixed")).filter(F.col("_place") != F.col("_first"))
+    dropped = plain.select("doc_id").union(later.select("doc_id")).distinct().withColumnRenamed("doc_id", key)
+    kept = rows.join(dropped, key, "left_anti")
+    alone = F.when(F.col("doc_id").isNull(), F.col(version))
+    same = Window.partitionBy(key, alone).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    return kept.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

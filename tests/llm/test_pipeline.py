@@ -62,3 +62,21 @@ def test_clashing_columns_and_empty_table(spark, folder):
             assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_near_duplicates_with_clashing_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [
+        (1, text("a")), (1, text("b")), (1, text("c")), (1, text("c")),  # three texts under one id, one of them twice
+        (2, text("b") + " end"), (3, text("d")), (4, text("d") + " end"), (5, ""), (5, text("e")), (5, None),
+        (7, text("f")), (8, text("f") + " end"), (8, text("g")), (6, text("g") + " end"), (None, text("h")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_key": F.lit("k"), "_version": F.lit("v")}).repartition(4)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((str(r["doc_id"]), str(r["text"]), r["_key"], r["_version"]) for r in out.collect())
+    gone = [(1, text("c")), (2, text("b") + " end"), (4, text("d") + " end"), (8, text("f") + " end"), (8, text("g"))]
+    want = list(rows)
+    for row in gone:
+        want.remove(row)
+    assert got == sorted((str(i), str(t), "k", "v") for i, t in want)
