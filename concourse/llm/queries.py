@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concourse.llm import arrow_output, chat, classifier, decontaminate, jaccard, line_dedup, packing, quality_rules, suffixes, url_filter
+from concourse.llm import arrow_output, chat, classifier, decontaminate, infill, jaccard, line_dedup, near_vectors, packing, periodic, quality_rules, suffixes, url_filter
 from concourse.llm.tables import shared_folder, table
 
 # Fixed values of the contract.
@@ -61,6 +61,51 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules, url_filter.labelled_urls(spark))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; about every tenth text repeats a stretch of its words from some word on, as the contract draws it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    word_list = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(words):
+        n, g = F.size(words), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(places, lambda i: F.get(words, i)), " ")).otherwise(F.lit(""))
+
+    planted = F.transform(F.array(word_list), repeated)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    best = found.withColumns({"best": F.array_max(ranked), "runs_sha256": F.sha2(F.array_join(listed, ""), 256)})
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(F.try_divide(1000 * F.col("best.length"), -F.col("best.period"))).alias("exponent_milli"),
+        "runs_sha256",
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    undone = infill.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(undone, 256).alias("restored_sha256")
+    )
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -72,4 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }

@@ -15,7 +15,9 @@ def folder(spark, tmp_path):
     rows = [r for r in brute.corpus(160, seed=3) if r[0] is not None and r[0] < 1000]
     clean = [(2000 + i, r[1] + " " + " ".join(f"extra{i}x{j}" for j in range(60)), "en", "src0") for i, r in enumerate(rows[:30])]
     leaks = [(3000 + i, f"{clean[i][1]} {ITEM} {i}", "en", "src0") for i in range(3)]
-    rows = [(*r, len(r[1] or "")) for r in rows + clean + leaks + [(4000, None, "en", "src0")]]
+    # Near copies that differ within their one line, so that line dedup leaves them to the join.
+    near = [(5000 + 10 * i + k, " ".join(f"near{i}x{j}" if j != 40 * k else f"own{k}" for j in range(120)), "en", "src0") for i in range(6) for k in range(3)]
+    rows = [(*r, len(r[1] or "")) for r in rows + clean + leaks + near + [(4000, None, "en", "src0")]]
     spark.createDataFrame(rows, brute.DOCS + ", n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     return str(tmp_path)
@@ -49,6 +51,7 @@ def test_stages(spark, folder):
     packed = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in clean.collect()}
     assert len(third) < len(second) < len(before)
+    assert sum(1 for i in second if i >= 5000) - sum(1 for i in third if i >= 5000) >= 6
 
 
 def test_clashing_columns_and_empty_table(spark, folder):

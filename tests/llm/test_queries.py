@@ -21,8 +21,11 @@ COLUMNS = {
     "op8_quality_classifier": "doc_id held_out score predicted",
     "op9_line_dedup": "doc_id n_lines n_removed_lines kept_sha256",
     "op10_url_filters": "page_id host path rule verdict",
+    "op11_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12_fill_in_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13_embedding_near_dedup": "vec_id n_links component_id kept",
 }
-PER_DOCUMENT = {k for k in COLUMNS if k.split("_")[0] in ("op2", "op3", "op4", "op7", "op8", "op9")}
+PER_DOCUMENT = {k for k in COLUMNS if k.split("_")[0] in ("op2", "op3", "op4", "op7", "op8", "op9", "op11", "op12")}
 
 
 @pytest.mark.parametrize("key", sorted(COLUMNS))
@@ -35,9 +38,10 @@ def test_query(spark, key):
         assert sorted(r["doc_id"] for r in rows) == ids
     if key in SQL:
         con = duckdb.connect()
-        for name in ("documents", "conversations", "pages"):
+        for name in ("documents", "conversations", "pages", "embeddings"):
             con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
         found = con.execute(SQL[key])
         names = [c[0] for c in found.description]
         assert sorted(names) == sorted(frame.columns)
-        assert sorted(tuple(r[n] for n in names) for r in rows) == sorted(found.fetchall())
+        by_text = lambda r: tuple(map(str, r))
+        assert sorted((tuple(r[n] for n in names) for r in rows), key=by_text) == sorted(found.fetchall(), key=by_text)
