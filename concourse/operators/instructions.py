@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from concourse.functions.geometry import norm, path_sides
 from concourse.functions.text import without_full_stop
-from concourse.operators.ordered import last_known, neighbours, ordinal_chunk
+from concourse.operators.ordered import neighbours, ordinal_chunk
 from concourse.operators.sequences import fold_continue, heading_change, turn_of
-from concourse.session import cut
 
 # Instruction texts.
 TEXTS = {
@@ -71,8 +70,8 @@ def instructions(steps: DataFrame, routes: DataFrame) -> DataFrame:
     # After a stair or lift there is no heading; steps without length keep the former one.
     none = F.struct(F.lit(True).alias("reset"), F.lit(None).cast("struct<dx:double,dy:double>").alias("v"))
     mark = F.when(vertical, none).when(F.size("vec") > 0, heading)
-    s = last_known(s, ["route_id"], ["ord"], chunk, mark, "_in")
-    s = cut(neighbours(s, ["route_id"], ["ord"], chunk, prev={"_prev_path": "path_type"}, next={"_next": "ord"}))
+    beside = {"prev": {"_prev_path": "path_type"}, "next": {"_next": "ord"}, "known": {"_in": mark}}
+    s = neighbours(s, ["route_id"], ["ord"], chunk, **beside)
     incoming = F.col("_in.v")
     first_step = F.col("_prev_path").isNull()
     last_step = F.col("_next").isNull()

@@ -29,12 +29,11 @@ def path_segments(
 
 def ring_segments(vertices: DataFrame, key: str) -> DataFrame:
     """Each vertex with its successor, the last one closing back to the first."""
-    paired = path_segments(vertices, key)
-    firsts = vertices.groupBy(key).agg(F.min_by(F.struct("x", "y"), "ord").alias("_first"))
-    joined = paired.join(firsts, key)
+    shifts = {"next": {"nx": "x", "ny": "y"}, "first": {"_fx": "x", "_fy": "y"}}
+    paired = neighbours(vertices, [key], ["ord"], ordinal_chunk("ord"), **shifts)
     last = F.col("nx").isNull() & F.col("ny").isNull()
-    closing = [F.when(last, F.col("_first")[c]).otherwise(F.col(n)).alias(n) for c, n in (("x", "nx"), ("y", "ny"))]
-    return joined.select(*vertices.columns, *closing)
+    closing = [F.when(last, F.col(f)).otherwise(F.col(n)).alias(n) for f, n in (("_fx", "nx"), ("_fy", "ny"))]
+    return paired.select(*vertices.columns, *closing)
 
 
 def polyline_length(vertices: DataFrame, key: str, order=("ord",), chunk: Column | None = None) -> DataFrame:

@@ -1,21 +1,27 @@
 """Ordered scans that stay parallel when one key owns a large share of the rows.
 
-A plain ``Window.partitionBy(key)`` sorts the whole key in one task.  Here every key is cut into
-chunks that follow the order (an ordinal divided by a constant, a truncated timestamp, ...), the scan
-runs per ``(key, chunk)``, and one summary row per chunk carries the state across chunk borders.
-``chunk`` must never decrease along ``order`` within a key.
+A plain ``Window.partitionBy(key)`` sorts the whole key in one task.  Here every key is cut into chunks that follow the
+order (an ordinal divided by a constant, a truncated timestamp, ...).  One exchange deals the rows by ``(key, chunk)``; the
+scan runs in each chunk, the first and last scanned row of every chunk are its summary, and the prefix of the summaries
+carries the state across chunk borders.
+
+The scan and its summaries are two readers of one exchange.  Both ask for whole rows and for the same filter, so Spark
+finds the exchanges equal and runs one of them (a ReusedExchange): the input of a scan is evaluated once, also where scans
+are stacked.  ``chunk`` must never decrease along ``order`` within a key; rows with a NULL key or chunk take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from concourse.session import partitions
 
 CHUNK_ROWS = 65536
+Made = Callable[[WindowSpec], Column]
 
 
 def ordinal_chunk(ord_col: str, rows: int = CHUNK_ROWS) -> Column:
@@ -23,8 +29,39 @@ def ordinal_chunk(ord_col: str, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(ord_col) / F.lit(rows)).cast("long")
 
 
-def _chunked(df: DataFrame, chunk: Column) -> DataFrame:
-    return df.withColumn("_chunk", chunk)
+def scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    local: Sequence[dict[str, Made]],
+    carried: Sequence[dict[str, Made]],
+    out: dict[str, Column],
+) -> DataFrame:
+    """``df`` with the columns ``out``, made from ``local`` and ``carried`` ones.
+
+    ``local``: step by step, windows over the rows of a chunk in order; ``_row`` is the whole row.  ``carried``: the same
+    over the chunks of a key in order; ``_first`` and ``_last`` are a chunk's first and last row with its local columns.
+    """
+    keys, order = list(keys), list(order)
+    there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "_chunk"]])
+    dealt = df.withColumn("_chunk", chunk).filter(there).repartition(*keys, "_chunk")
+    dealt = dealt.withColumn("_row", F.struct(*[F.col(c) for c in df.columns]))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    # The row comes out of the window as a whole and is asked for as a whole, whichever of its columns are read later.
+    scanned = dealt.withColumn("_own", F.lag("_row", 0).over(inside))
+    for step in local:
+        scanned = scanned.withColumns({name: make(inside) for name, make in step.items()})
+    made = [name for step in local for name in step]
+    rank, seen = F.struct(*order), F.struct("_row", *made)
+    sums = scanned.groupBy(*keys, "_chunk").agg(F.min_by(seen, rank).alias("_first"), F.max_by(seen, rank).alias("_last"))
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    for step in carried:
+        sums = sums.withColumns({name: make(across) for name, make in step.items()})
+    sums = sums.select(*keys, "_chunk", *[name for step in carried for name in step])
+    joined = scanned.filter("_own is not null").select(*keys, "_chunk", "_own", *made).join(sums, [*keys, "_chunk"])
+    own = [F.col(c) if c in keys else F.col("_own")[c].alias(c) for c in df.columns]
+    return joined.select(*own, *[c.alias(name) for name, c in out.items()])
 
 
 def neighbours(
@@ -34,37 +71,43 @@ def neighbours(
     chunk: Column,
     prev: dict[str, str] | None = None,
     next: dict[str, str] | None = None,
+    prev2: dict[str, str] | None = None,
+    first: dict[str, str] | None = None,
+    known: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add columns of the previous/next row: ``prev={"new": "existing"}``; NULL at the ends of a key."""
-    prev, next = prev or {}, next or {}
-    keys, order = list(keys), list(order)
-    used = sorted(set(prev.values()) | set(next.values()))
-    payload = F.struct(*[F.col(c) for c in used])
-    rank = F.struct(*[F.col(c) for c in order])
-    base = _chunked(df, chunk)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    scanned = base
-    if prev:
-        scanned = scanned.withColumn("_before", F.lag(payload).over(local))
+    """Add columns of other rows of the key: ``prev={"new": "existing"}`` of the row before, ``next`` of the one after,
+    ``prev2`` of the row two before, ``first`` of the first one, and ``known`` the latest non-NULL value of the rows strictly
+    before; NULL where there is no such row."""
+    prev, next, prev2, first, known = prev or {}, next or {}, prev2 or {}, first or {}, known or {}
+    local: dict[str, Made] = {}
+    step: dict[str, Made] = {}
+    if prev or prev2:
+        local["_before"] = lambda w: F.lag("_row").over(w)
+        step["_carry_in"] = lambda w: F.lag("_last").over(w)
+    if prev2:
+        local["_before2"] = lambda w: F.lag("_row", 2).over(w)
+        step["_carry_in2"] = lambda w: F.lag("_last", 2).over(w)
     if next:
-        scanned = scanned.withColumn("_after", F.lead(payload).over(local))
-    borders = base.groupBy(*keys, "_chunk").agg(
-        F.min_by(payload, rank).alias("_first"), F.max_by(payload, rank).alias("_last")
-    )
-    across = Window.partitionBy(*keys).orderBy("_chunk")
-    borders = borders.select(
-        *keys,
-        "_chunk",
-        F.lag("_last").over(across).alias("_carry_in"),
-        F.lead("_first").over(across).alias("_carry_out"),
-    )
-    joined = _attach(scanned, borders, keys + ["_chunk"])
-    out = [F.col(c) for c in df.columns]
-    for name, source in prev.items():
-        out.append(F.coalesce("_before", "_carry_in")[source].alias(name))
-    for name, source in next.items():
-        out.append(F.coalesce("_after", "_carry_out")[source].alias(name))
-    return joined.select(*out)
+        local["_after"] = lambda w: F.lead("_row").over(w)
+        step["_carry_out"] = lambda w: F.lead("_first").over(w)
+    if first:
+        step["_start"] = lambda w: F.first("_first").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = {name: F.coalesce(F.col("_before"), F.col("_carry_in._row"))[c] for name, c in prev.items()}
+    if prev2:
+        # The second row of a chunk looks at the last one before; the first at that row's own predecessor.
+        far = F.when(F.col("_before").isNotNull(), F.col("_carry_in._row")).otherwise(
+            F.coalesce(F.col("_carry_in._before"), F.col("_carry_in2._row"))
+        )
+        out |= {name: F.coalesce(F.col("_before2"), far)[c] for name, c in prev2.items()}
+    out |= {name: F.coalesce(F.col("_after"), F.col("_carry_out._row"))[c] for name, c in next.items()}
+    out |= {name: F.col("_start._row")[c] for name, c in first.items()}
+    # Upto the row itself: the last row of a chunk then tells what the chunk passes on.
+    for i, (name, value) in enumerate(known.items()):
+        local[f"_known{i}"] = lambda w, v=value: F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        local[f"_upto{i}"] = lambda w, v=value: F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        step[f"_from{i}"] = lambda w, i=i: F.last(f"_last._upto{i}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        out[name] = F.coalesce(f"_known{i}", f"_from{i}")
+    return scan(df, keys, order, chunk, [local], [step], out)
 
 
 def running_sum(
@@ -77,26 +120,15 @@ def running_sum(
     total: str | None = None,
 ) -> DataFrame:
     """Inclusive running sum per key as ``name``; ``total`` also adds the key's whole sum."""
-    keys, order = list(keys), list(order)
-    base = _chunked(df, chunk).withColumn("_value", value)
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    scanned = base.withColumn("_local", F.sum("_value").over(local))
-    sums = base.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum"))
-    across = Window.partitionBy(*keys)
-    before = across.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *keys,
-        "_chunk",
-        F.sum("_sum").over(before).alias("_offset"),
-        F.sum("_sum").over(across).alias("_total"),
-    )
-    joined = _attach(scanned, sums, keys + ["_chunk"])
+    step: dict[str, Made] = {"_offset": lambda w: F.sum("_last._local").over(w.rowsBetween(Window.unboundedPreceding, -1))}
+    if total:
+        step["_total"] = lambda w: F.sum("_last._local").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     zero = F.lit(0)
-    out = [F.col(c) for c in df.columns]
-    out.append((F.coalesce("_local", zero) + F.coalesce("_offset", zero)).alias(name))
+    out = {name: F.coalesce("_local", zero) + F.coalesce("_offset", zero)}
     if total:
-        out.append(F.coalesce("_total", zero).alias(total))
-    return joined.select(*out)
+        out[total] = F.coalesce("_total", zero)
+    local: dict[str, Made] = {"_local": lambda w: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))}
+    return scan(df, keys, order, chunk, [local], [step], out)
 
 
 def row_numbers(
@@ -110,19 +142,29 @@ def last_known(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: Column, name: str
 ) -> DataFrame:
     """Latest non-NULL ``value`` of the rows strictly before the current one."""
-    keys, order = list(keys), list(order)
-    base = _chunked(df, chunk).withColumn("_value", value)
-    rank = F.struct(*[F.col(c) for c in order])
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    scanned = base.withColumn("_local", F.last("_value", ignorenulls=True).over(local))
-    lasts = base.filter(F.col("_value").isNotNull()).groupBy(*keys, "_chunk").agg(F.max_by("_value", rank).alias("_last"))
-    chunks = base.select(*keys, "_chunk").distinct()
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = _attach(chunks, lasts, keys + ["_chunk"], "left").select(
-        *keys, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carry")
-    )
-    joined = _attach(scanned, lasts, keys + ["_chunk"])
-    return joined.select(*df.columns, F.coalesce("_local", "_carry").alias(name))
+    return neighbours(df, keys, order, chunk, known={name: value})
+
+
+def islands(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, opens: Callable[[Column, Column], Column], name: str
+) -> DataFrame:
+    """Number of the run that each row lies in.  ``opens(row, before)`` tells whether a row starts a new run; the first one
+    of a key always does.  In a chunk only the first row waits for the row before; all others are counted in the scan."""
+
+    def flag(row: str, before: str) -> Column:
+        return F.coalesce(opens(F.col(row), F.col(before)), F.lit(True)).cast("long")
+
+    inner = F.when(F.col("_before").isNotNull(), flag("_row", "_before")).otherwise(F.lit(0))
+    local: list[dict[str, Made]] = [
+        {"_before": lambda w: F.lag("_row").over(w)},
+        {"_inner": lambda w: F.sum(inner).over(w.rowsBetween(Window.unboundedPreceding, 0))},
+    ]
+    carried: list[dict[str, Made]] = [
+        {"_carry_in": lambda w: F.lag("_last._row").over(w)},
+        {"_head": lambda w: F.when(F.col("_carry_in").isNull(), F.lit(1)).otherwise(flag("_first._row", "_carry_in"))},
+        {"_offset": lambda w: F.sum(F.col("_head") + F.col("_last._inner")).over(w.rowsBetween(Window.unboundedPreceding, -1))},
+    ]
+    return scan(df, keys, order, chunk, local, carried, {name: F.coalesce("_offset", F.lit(0)) + F.col("_head") + F.col("_inner")})
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -145,8 +187,3 @@ def top_k(
     kept = sliced.withColumn("_rank", F.row_number().over(by_slice)).filter(F.col("_rank") <= k).drop("_rank", "_salt")
     whole = Window.partitionBy(*keys).orderBy(*order)
     return kept.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
-
-
-def _attach(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
-    """Bring chunk summaries back to their rows; keys and chunks are never NULL in ordered tables."""
-    return left.join(right, list(cols), how)

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concourse.functions.geometry import cross, dist
-from concourse.operators.ordered import neighbours, ordinal_chunk, running_sum
-from concourse.session import cut
+from concourse.operators.ordered import islands, neighbours, ordinal_chunk
 
 # Room code pattern of the schedule and heading bands in degrees.
 SCHEDULE_CODE = r"^G-[0-9]+$"
@@ -35,23 +34,20 @@ def plan_labels(
 ) -> DataFrame:
     """Label triplets (tag, name, mark): the two spans before a mark, kept when the first one is a tag."""
     chunk = chunk if chunk is not None else ordinal_chunk("ord")
-    one = neighbours(spans, [key], ["ord"], chunk, prev={"name_text": "text", "name_ord": "ord"})
-    two = neighbours(one, [key], ["ord"], chunk, prev={"tag_text": "name_text", "tag_ord": "name_ord"})
-    # The previous row's own predecessor is the span two back.
+    before = {"prev": {"name_text": "text", "name_ord": "ord"}, "prev2": {"tag_text": "text", "tag_ord": "ord"}}
+    two = neighbours(spans, [key], ["ord"], chunk, **before)
     mark = is_mark if is_mark is not None else F.col("text") == "G"
     return two.filter(mark & F.col("tag_ord").isNotNull()).filter(is_tag)
 
 
 def clean_ring_rows(vertices: DataFrame, key: str, eps: float) -> DataFrame:
     """Drop vertices that repeat their predecessor and a closing vertex that repeats the first one."""
-    chunk = ordinal_chunk("ord")
-    n = neighbours(vertices, [key], ["ord"], chunk, prev={"px": "x", "py": "y"}, next={"nx": "x"})
-    firsts = vertices.groupBy(key).agg(F.min_by(F.struct("ord", "x", "y"), "ord").alias("_f"))
-    joined = n.join(firsts, key)
+    first = {"_fo": "ord", "_fx": "x", "_fy": "y"}
+    n = neighbours(vertices, [key], ["ord"], ordinal_chunk("ord"), prev={"px": "x", "py": "y"}, next={"_no": "ord"}, first=first)
     repeat = F.coalesce(dist(F.col("x"), F.col("y"), F.col("px"), F.col("py")) <= eps, F.lit(False))
-    last = F.col("nx").isNull() & (F.col("ord") != F.col("_f.ord"))
-    closing = last & (dist(F.col("x"), F.col("y"), F.col("_f.x"), F.col("_f.y")) <= eps)
-    return joined.filter(~repeat & ~closing).select(*vertices.columns)
+    last = F.col("_no").isNull() & (F.col("ord") != F.col("_fo"))
+    closing = last & (dist(F.col("x"), F.col("y"), F.col("_fx"), F.col("_fy")) <= eps)
+    return n.filter(~repeat & ~closing).select(*vertices.columns)
 
 
 def join_polylines(points: DataFrame, key: str, order: Sequence[str], chunk: Column, eps: float = 1e-7) -> DataFrame:
@@ -87,11 +83,8 @@ def fold_continue(
     instructions: DataFrame, key: str, order: Sequence[str], chunk: Column
 ) -> DataFrame:
     """Fold runs of adjacent 'continue' rows into the first one, summing distance with NULL as zero."""
-    n = neighbours(instructions, [key], order, chunk, prev={"_prev_type": "type"})
-    starts = ~((F.col("type") == "continue") & F.coalesce(F.col("_prev_type") == "continue", F.lit(False)))
-    # Each ordered scan reads its input twice; a table between two of them keeps that from multiplying.
-    n = cut(n.withColumn("_start", starts.cast("long")))
-    island = running_sum(n, [key], order, chunk, F.col("_start"), "_island")
+    go_on = lambda row, before: ~((row["type"] == "continue") & (before["type"] == "continue"))
+    island = islands(instructions, [key], order, chunk, go_on, "_island")
     rest = [c for c in instructions.columns if c not in (key, "distance")]
     rank = F.struct(*[F.col(c) for c in order])
     folded = island.groupBy(key, "_island").agg(
