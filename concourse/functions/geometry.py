@@ -11,8 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DOUBLE_EPS = 2.0**-52
-
 
 @dataclass(frozen=True)
 class Tolerance:
@@ -88,38 +86,6 @@ def segments_touch(ax, ay, bx, by, cx, cy, dx, dy, tol: Tolerance = CONTRACT) ->
     )
 
 
-def cut_parameters(ax, ay, bx, by, cx, cy, dx, dy, tol: Tolerance = ROUTER) -> Column:
-    """Fractions along ab where cd meets it (none, one, or the two ends of a shared stretch)."""
-    rx, ry, sx, sy = bx - ax, by - ay, dx - cx, dy - cy
-    ox, oy = cx - ax, cy - ay
-    r_len, s_len = norm(rx, ry), norm(sx, sy)
-    det = cross(rx, ry, sx, sy)
-    r_slack = F.coalesce(F.try_divide(F.lit(tol.eps), r_len), F.lit(0.0))
-    s_slack = F.coalesce(F.try_divide(F.lit(tol.eps), s_len), F.lit(0.0))
-    t = F.try_divide(cross(ox, oy, sx, sy), det)
-    u = F.try_divide(cross(ox, oy, rx, ry), det)
-
-    def unit(c: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-
-    def inside(c: Column, slack: Column) -> Column:
-        return (c >= -slack) & (c <= F.lit(1.0) + slack)
-
-    along_x = F.abs(rx) >= F.abs(ry)
-    span = F.when(along_x, rx).otherwise(ry)
-    t_c = F.try_divide(F.when(along_x, ox).otherwise(oy), span)
-    t_d = F.try_divide(F.when(along_x, dx - ax).otherwise(dy - ay), span)
-    low, high = F.greatest(F.lit(0.0), F.least(t_c, t_d)), F.least(F.lit(1.0), F.greatest(t_c, t_d))
-    none = F.array().cast("array<double>")
-    crossing = F.when(inside(t, r_slack) & inside(u, s_slack), F.array(unit(t))).otherwise(none)
-    shared = F.when(
-        (F.abs(cross(ox, oy, rx, ry)) <= tol.eps * r_len) & (low <= high + r_slack), F.array(unit(low), unit(high))
-    ).otherwise(none)
-    degenerate = F.when(on_segment(ax, ay, cx, cy, dx, dy, tol), F.array(F.lit(0.0))).otherwise(none)
-    skewed = F.abs(det) > F.lit(DOUBLE_EPS * 16) * r_len * s_len
-    return F.when(r_len == 0, degenerate).when(skewed, crossing).otherwise(shared)
-
-
 def point_segment_distance(px, py, ax, ay, bx, by) -> Column:
     vx, vy = bx - ax, by - ay
     t = F.coalesce(F.try_divide((px - ax) * vx + (py - ay) * vy, vx * vx + vy * vy), F.lit(0.0))

@@ -7,11 +7,13 @@ one hand.  Rings of fewer than three points are no border.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concourse.functions import geometry as g
-from concourse.operators.spatial import BOX, points_in_polygons, snap_to_grid
+from concourse.operators.slabs import FRAME, framed, inside, side_slabs
+from concourse.operators.spatial import boundary, nearest_sides, segment_hits, snap_to_grid, within_domain
+from concourse.session import cut
 
 # Grid step, clearance penalty and door offsets.
 STEP = 3.0
@@ -19,119 +21,137 @@ PENALTY, CLEARANCE_FLOOR = 8.0, 0.25
 DOOR_OFFSETS = (2, 4, 6, 10, 15, 22, 30)
 
 
-def _on_ring(sides: Column, x: Column, y: Column) -> Column:
-    return F.exists(
-        sides, lambda s: g.on_segment(x, y, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], g.OUTLINE)
-    )
+def domain_sides(domains: DataFrame) -> DataFrame:
+    """Sides (domain_id, cx, cy, dx, dy) of all rings of three points and more."""
+    return boundary(domains.filter(F.size("ring") >= 3), "domain_id").drop("side_ord")
 
 
 def grid_cells(domains: DataFrame, step: float = STEP) -> DataFrame:
     """Lattice points strictly inside each domain: domain_id, ix, iy, x, y.
 
-    Columns are spread before rows, so a large domain's lattice is generated by many tasks.
+    Scanline fill: every side gives its crossing with each lattice row, the cells between the first and second, third and
+    fourth ... crossing of a row are inside, and the cells that lie on a side are taken out.  The work follows the cells
+    and the border, not their product.
     """
-    first = lambda c: F.floor(F.col(c) / step).cast("long")
-    columns = _sided(domains).select("domain_id", "_sides", "min_y", "max_y", F.explode(F.sequence(first("min_x"), first("max_x") + 1)).alias("ix"))
-    columns = columns.repartition("domain_id", "ix")
-    cells = columns.withColumn("iy", F.explode(F.sequence(first("min_y"), first("max_y") + 1)))
-    cells = cells.withColumns({"x": F.col("ix") * F.lit(float(step)), "y": F.col("iy") * F.lit(float(step))})
-    inside = g.sides_contain(F.col("_sides"), F.col("x"), F.col("y")) & ~_on_ring(F.col("_sides"), F.col("x"), F.col("y"))
-    return cells.filter(inside).select("domain_id", "ix", "iy", "x", "y")
-
-
-def clearance(cells: DataFrame, domains: DataFrame) -> DataFrame:
-    """Distance of every cell to its domain's border, holes included; the minimum is folded inside each row."""
-    gaps = F.transform(
-        F.col("_sides"),
-        lambda s: g.point_segment_distance(
-            F.col("x"), F.col("y"), s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
-        ),
-    )
-    joined = cells.join(_sided(domains).select("domain_id", "_sides"), "domain_id")
-    return joined.withColumn("clearance", F.array_min(gaps)).drop("_sides")
-
-
-def _sided(domains: DataFrame) -> DataFrame:
-    """One row per domain: the sides of all its rings, and the box around them."""
-    box = [fn(c).alias(c) for fn, c in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))]
-    rings = domains.filter(F.size("ring") >= 3)
-    return rings.groupBy("domain_id").agg(F.flatten(F.collect_list(g.ring_sides(F.col("ring")))).alias("_sides"), *box)
-
-
-def stays_inside(sides: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """The segment lies in the domain: no stretch between contacts with its sides is outside.
-
-    Without any contact one end decides, so the stretches are cut only where the border is met.
-    """
-    touched = F.exists(
-        sides,
-        lambda s: g.segments_touch(ax, ay, bx, by, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], g.ROUTER),
-    )
-    cuts = F.flatten(
-        F.transform(sides, lambda s: g.cut_parameters(ax, ay, bx, by, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]))
-    )
-    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
-    n = F.size(ts) - 1
-    mids = F.zip_with(F.slice(ts, F.lit(1), n), F.slice(ts, F.lit(2), n), lambda u, v: (u + v) / 2)
-    stretches = F.forall(mids, lambda t: g.sides_contain(sides, ax + (bx - ax) * t, ay + (by - ay) * t))
-    return F.when(~touched, g.sides_contain(sides, ax, ay)).otherwise(stretches)
+    size, eps = F.lit(float(step)), g.OUTLINE.eps
+    sides = domain_sides(domains)
+    row = lambda y: y / size
+    # Half-open in y, so that a vertex on a row is crossed once; horizontal sides cross nothing.
+    low, high = F.least("cy", "dy"), F.greatest("cy", "dy")
+    first, last = F.ceil(row(low)).cast("long"), (F.ceil(row(high)) - 1).cast("long")
+    crossed = sides.filter(first <= last).withColumn("iy", F.explode(F.sequence(first, last)))
+    x = F.col("cx") + (F.col("iy") * size - F.col("cy")) * F.try_divide(F.col("dx") - F.col("cx"), F.col("dy") - F.col("cy"))
+    along = Window.partitionBy("domain_id", "iy").orderBy("x")
+    spans = crossed.select("domain_id", "iy", x.alias("x"))
+    spans = spans.withColumns({"nth": F.row_number().over(along), "to": F.lead("x").over(along)}).filter("nth % 2 = 1 and to is not null")
+    left, right = F.ceil(row(F.col("x") - eps)).cast("long"), F.floor(row(F.col("to") + eps)).cast("long")
+    filled = spans.filter(left <= right).select("domain_id", F.explode(F.sequence(left, right)).alias("ix"), "iy").distinct()
+    on_border = _border_cells(sides, step, eps)
+    cells = filled.join(on_border, ["domain_id", "ix", "iy"], "left_anti")
+    return cells.withColumns({"x": F.col("ix") * size, "y": F.col("iy") * size})
+
+
+def _border_cells(sides: DataFrame, step: float, eps: float) -> DataFrame:
+    """Lattice points on the sides: on each row of a side the few around its crossing, and all along a horizontal one."""
+    size = F.lit(float(step))
+    rows = F.sequence(F.ceil((F.least("cy", "dy") - eps) / size).cast("long"), F.floor((F.greatest("cy", "dy") + eps) / size).cast("long"))
+    some = F.ceil((F.least("cy", "dy") - eps) / size) <= F.floor((F.greatest("cy", "dy") + eps) / size)
+    met = sides.filter(some).withColumn("iy", F.explode(rows))
+    tall = F.abs(F.col("dy") - F.col("cy")) > eps
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("iy") * size - F.col("cy"), F.col("dy") - F.col("cy"))))
+    x = F.col("cx") + share * (F.col("dx") - F.col("cx"))
+    # A flat side stays near a row over a stretch; a tall one near its crossing, as wide as the tolerance leans along it.
+    lean = F.abs(F.try_divide(F.col("dx") - F.col("cx"), F.col("dy") - F.col("cy"))) * eps + eps
+    low = F.when(tall, x - lean).otherwise(F.least("cx", "dx") - eps)
+    high = F.when(tall, x + lean).otherwise(F.greatest("cx", "dx") + eps)
+    first, last = F.ceil(low / size).cast("long"), F.floor(high / size).cast("long")
+    cells = met.withColumns({"_from": first, "_to": last}).filter("_from <= _to").withColumn("ix", F.explode(F.sequence("_from", "_to")))
+    on = g.on_segment(F.col("ix") * size, F.col("iy") * size, F.col("cx"), F.col("cy"), F.col("dx"), F.col("dy"), g.OUTLINE)
+    return cells.filter(on).select("domain_id", "ix", "iy").distinct()
+
+
+def clearance(cells: DataFrame, domains: DataFrame, step: float = STEP) -> DataFrame:
+    """Distance of every cell to its domain's border, holes included; each cell meets the sides within a growing reach."""
+    named = cells.withColumn("_cell", F.concat_ws("/", F.col("domain_id").cast("string"), "ix", "iy"))
+    gaps = nearest_sides(named, domain_sides(domains), "_cell", 2.0 * step)
+    return named.join(gaps.withColumnRenamed("gap", "clearance"), "_cell").drop("_cell")
 
 
 def grid_links(cells: DataFrame, domains: DataFrame, step: float = STEP) -> DataFrame:
     """Undirected eight-neighbour links inside the domain with length and clearance-penalised cost.
 
-    cells carry ``clearance``.  Four offsets produce each link once.
+    cells carry ``clearance``.  Four offsets produce each link once.  Both ends are inside, so only links that meet a side
+    can leave the domain; those are cut where they do and tested.
     """
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))])
     asked = cells.withColumn("o", F.explode(offsets)).select(
         "domain_id",
         F.col("ix").alias("ix0"),
         F.col("iy").alias("iy0"),
-        F.col("x").alias("x0"),
-        F.col("y").alias("y0"),
+        F.col("x").alias("ax"),
+        F.col("y").alias("ay"),
         F.col("clearance").alias("c0"),
         (F.col("ix") + F.col("o.dx")).alias("ix"),
         (F.col("iy") + F.col("o.dy")).alias("iy"),
     )
-    met = asked.join(cells, ["domain_id", "ix", "iy"]).join(_sided(domains).select("domain_id", "_sides"), "domain_id")
-    length = g.norm(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
-    tight = F.greatest(F.least("c0", "clearance"), F.lit(CLEARANCE_FLOOR))
+    links = asked.join(cells.withColumnsRenamed({"x": "bx", "y": "by_"}), ["domain_id", "ix", "iy"])
+    length = g.norm(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"))
+    links = links.withColumn("length", length).withColumn("_link", F.concat_ws("/", F.col("domain_id").cast("string"), "ix0", "iy0", "ix", "iy"))
     # A link no longer than an end's clearance cannot leave the domain.
-    roomy = F.greatest("c0", "clearance") >= length
-    whole = F.when(roomy, True).otherwise(stays_inside(F.col("_sides"), F.col("x0"), F.col("y0"), F.col("x"), F.col("y")))
-    return met.filter(whole).select(
+    open_ = cut(links.filter(F.greatest("c0", "clearance") < F.col("length")).select("_link", "domain_id", "ax", "ay", "bx", "by_"))
+    touched = segment_hits(open_, domain_sides(domains), g.ROUTER, float(step), ["domain_id"]).select("_link").distinct()
+    doubtful = cut(open_.join(touched, "_link", "left_semi"))
+    left = doubtful.select("_link").join(within_domain(doubtful, domains, "_link", g.ROUTER, float(step)), "_link", "left_anti")
+    tight = F.greatest(F.least("c0", "clearance"), F.lit(CLEARANCE_FLOOR))
+    return links.join(left, "_link", "left_anti").select(
         "domain_id",
         "ix0",
         "iy0",
         F.col("ix").alias("ix1"),
         F.col("iy").alias("iy1"),
-        length.alias("length"),
-        (length * (F.lit(1.0) + F.lit(PENALTY) / tight)).alias("cost"),
+        "length",
+        (F.col("length") * (F.lit(1.0) + F.lit(PENALTY) / tight)).alias("cost"),
     )
 
 
 def endpoint_candidates(doors: DataFrame) -> DataFrame:
-    """Approach points on both sides of each door along its normal: door_id, offset, x, y."""
+    """Approach points on both sides of each door along its normal: door_id, offset, x, y.
+
+    A room without a door segment has its fallback point (``fx``, ``fy``: a given point or the label) at no distance.
+    """
     length = g.dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_"))
     nx = F.try_divide(-(F.col("by_") - F.col("ay")), length)
     ny = F.try_divide(F.col("bx") - F.col("ax"), length)
     offsets = F.array(*[F.lit(float(v * s)) for v in DOOR_OFFSETS for s in (1, -1)])
-    spread = doors.withColumn("offset", F.explode(offsets))
-    return spread.select(
+    spread = doors.filter(length > 0).withColumn("offset", F.explode(offsets))
+    approaches = spread.select(
         "door_id",
         "offset",
         ((F.col("ax") + F.col("bx")) / 2 + nx * F.col("offset")).alias("x"),
         ((F.col("ay") + F.col("by_")) / 2 + ny * F.col("offset")).alias("y"),
-    ).filter("x is not null")
+    )
+    if "fx" not in doors.columns:
+        return approaches
+    bare = doors.filter(~F.coalesce(length > 0, F.lit(False)) & F.col("fx").isNotNull() & F.col("fy").isNotNull())
+    return approaches.union(bare.select("door_id", F.lit(0.0), F.col("fx").cast("double"), F.col("fy").cast("double")))
 
 
-def choose_endpoints(doors: DataFrame, domain: DataFrame, vertices: DataFrame, step: float, base: float = 1.0) -> DataFrame:
-    """Best approach per door: inside the domain, snapped to a reachable grid vertex; least by
-    (door distance, path distance, point, vertex).  vertices: ix, iy, path_distance."""
-    candidates = endpoint_candidates(doors).withColumn("point_id", F.concat_ws("@", F.col("door_id").cast("string"), F.col("offset").cast("string")))
-    covered = points_in_polygons(candidates, domain.select("ring", *BOX), base=base).select("point_id", "door_id", "offset", "x", "y").distinct()
-    snapped = snap_to_grid(covered.select("point_id", "x", "y"), vertices.select("ix", "iy"), step)
-    options = covered.join(snapped.select("point_id", "ix", "iy"), "point_id").join(vertices, ["ix", "iy"])
+def choose_endpoints(doors: DataFrame, domains: DataFrame, vertices: DataFrame, step: float, base: float = 1.0) -> DataFrame:
+    """Best approach per door: inside the domain and snapped to the nearest grid vertex that it sees, if a path leads there;
+    least by (door distance, path distance, point, vertex).
+
+    doors: door_id, domain_id, segment and fallback point; vertices: ix, iy, path_distance.  A door without an option is a
+    row with ``found`` false and no point.
+    """
+    name = F.concat_ws("@", F.col("door_id").cast("string"), F.col("offset").cast("string"))
+    of = doors.select("door_id", "domain_id")
+    candidates = endpoint_candidates(doors).withColumn("point_id", name).join(of, "door_id")
+    outlines = framed(domains, ["domain_id"], several=True)
+    frames = outlines.select("domain_id", *FRAME).distinct()
+    sides = side_slabs(outlines, ["domain_id"], g.OUTLINE.eps)
+    covered = cut(inside(candidates.join(frames, "domain_id"), sides, ["domain_id"], candidates.columns, "x", "y"))
+    snapped = snap_to_grid(covered.select("point_id", "domain_id", "x", "y"), vertices.select("ix", "iy"), step, domains=domains, base=base)
+    options = covered.join(snapped.select("point_id", "ix", "iy"), "point_id").join(vertices.filter("path_distance is not null"), ["ix", "iy"])
     rank = F.struct(F.abs("offset").alias("door_distance"), "path_distance", "x", "y", "iy", "ix")
     best = options.groupBy("door_id").agg(F.min(rank).alias("b"))
-    return best.select("door_id", "b.*")
+    return of.select("door_id").join(best, "door_id", "left").select("door_id", F.col("b").isNotNull().alias("found"), "b.*")

@@ -131,6 +131,18 @@ def running_sum(
     return scan(df, keys, order, chunk, [local], [step], out)
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: Column, name: str
+) -> DataFrame:
+    """Greatest ``value`` of the rows strictly before; NULL for the first row of a key."""
+    local: dict[str, Made] = {
+        "_local": lambda w: F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "_upto": lambda w: F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    }
+    step: dict[str, Made] = {"_before": lambda w: F.max("_last._upto").over(w.rowsBetween(Window.unboundedPreceding, -1))}
+    return scan(df, keys, order, chunk, [local], [step], {name: F.greatest("_local", "_before")})
+
+
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str
 ) -> DataFrame:

@@ -116,7 +116,7 @@ def _wall_segments(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def _areas(t: dict[str, DataFrame]) -> DataFrame:
-    return ring_box(t["areas"].select("bundle_id", "ring")).filter("min_x is not null")
+    return ring_box(t["areas"].select("bundle_id", F.col("ord").alias("area_ord"), "ring")).filter("min_x is not null")
 
 
 def unsafe_edges(edges: DataFrame, t: dict[str, DataFrame], tol: g.Tolerance = TOL, base: float = 1.0) -> DataFrame:
@@ -125,7 +125,7 @@ def unsafe_edges(edges: DataFrame, t: dict[str, DataFrame], tol: g.Tolerance = T
     seg = _segments(real)
     hits = segment_hits(seg, _wall_segments(t), tol, base, ["bundle_id"]).select("bundle_id", "edge_id", F.lit("wall").alias("fault"))
     fenced = seg.join(t["areas"].select("bundle_id").distinct(), "bundle_id", "left_semi")
-    out = uncovered_by_union(fenced, _areas(t), "seg_key", tol, base, ["bundle_id"])
+    out = uncovered_by_union(fenced, _areas(t), "seg_key", ["area_ord"], tol, base, ["bundle_id"])
     left = fenced.join(out, "seg_key", "left_semi").select("bundle_id", "edge_id", F.lit("outside").alias("fault"))
     return hits.unionByName(left).distinct()
 
@@ -138,7 +138,7 @@ def unsafe_nodes(nodes: DataFrame, t: dict[str, DataFrame], base: float = 1.0) -
     )
     on_wall = segment_hits(spots, _wall_segments(t), TOL, base, ["bundle_id"]).select("bundle_id", "node_id")
     fenced = spots.join(t["areas"].select("bundle_id").distinct(), "bundle_id", "left_semi")
-    inside = points_in_polygons(fenced, _areas(t), TOL, base, ["bundle_id"], xy=("ax", "ay")).select("bundle_id", "node_id")
+    inside = points_in_polygons(fenced, _areas(t), ["area_ord"], TOL, base, ["bundle_id"], xy=("ax", "ay")).select("bundle_id", "node_id")
     outside = fenced.select("bundle_id", "node_id").join(inside, ["bundle_id", "node_id"], "left_anti")
     return on_wall.unionByName(outside).distinct()
 

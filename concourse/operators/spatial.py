@@ -9,16 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concourse.functions import geometry as g
+from concourse.operators.ordered import running_max
+from concourse.operators.slabs import FRAME, contacts, framed, inside, real_box, side_slabs
 from concourse.session import cut
 
 
 def _level(box: Sequence[Column], base: float) -> Column:
-    size = F.greatest(box[2] - box[0], box[3] - box[1], F.lit(base)) / F.lit(base)
-    return F.ceil(F.log2(size)).cast("int")
+    """Level of the box's size; far from the origin cells are no finer than the numbers there."""
+    far = F.greatest(*[F.abs(c) for c in box]) * F.lit(2.0**-50)
+    size = F.greatest(box[2] - box[0], box[3] - box[1], far, F.lit(base)) / F.lit(base)
+    return F.coalesce(F.ceil(F.log2(size)).cast("int"), F.lit(0))
 
 
 def _with_cells(df: DataFrame, levels: Column, own: Column, box: Sequence[Column], base: float) -> DataFrame:
@@ -45,12 +49,16 @@ def bbox_join(
     pad: float = 0.0,
 ) -> DataFrame:
     """All pairs whose boxes (x0, y0, x1, y1) touch once grown by ``pad``; column names must be disjoint
-    apart from the equality columns ``on``.  ``base`` is the finest cell size worth having."""
+    apart from the equality columns ``on``.  ``base`` is the finest cell size worth having.  A box with a limit that is
+    not a real number touches nothing."""
     names = ("x0", "y0", "x1", "y1")
     grow = (-pad, -pad, pad, pad)
-    left = left.withColumns({f"_l{n}": c.cast("double") + d for n, c, d in zip(names, left_box, grow)})
-    right = right.withColumns({f"_r{n}": c.cast("double") for n, c in zip(names, right_box)})
+    # No NULL among the limits: Spark then pushes no test of them down through the expressions they come from.
+    limit = lambda c: F.coalesce(c.cast("double"), F.lit(float("nan")))
+    left = left.withColumns({f"_l{n}": limit(c) + d for n, c, d in zip(names, left_box, grow)})
+    right = right.withColumns({f"_r{n}": limit(c) for n, c in zip(names, right_box)})
     lbox, rbox = [F.col(f"_l{n}") for n in names], [F.col(f"_r{n}") for n in names]
+    left, right = left.filter(real_box(lbox)), right.filter(real_box(rbox))
     lown, rown = _level(lbox, base), _level(rbox, base)
     # Levels are logarithms of finite sizes, so each side's level list is one tiny scalar.
     llevels = left.agg(F.collect_set(lown)).scalar()
@@ -65,7 +73,8 @@ def bbox_join(
         & (F.col("_cx") == F.floor(F.greatest(lbox[0], rbox[0]) / size))
         & (F.col("_cy") == F.floor(F.greatest(lbox[1], rbox[1]) / size))
     )
-    keep = [c for c in pairs.columns if not c.startswith(("_l", "_r", "_cx", "_cy"))]
+    own = {f"_{side}{n}" for side in "lr" for n in (*names, "own")} | {"_level", "_cx", "_cy"}
+    keep = [c for c in pairs.columns if c not in own]
     return pairs.filter(meet).select(*keep)
 
 
@@ -83,17 +92,22 @@ BOX = ("min_x", "min_y", "max_x", "max_y")
 def points_in_polygons(
     points: DataFrame,
     polygons: DataFrame,
+    key: Sequence[str],
     tol: g.Tolerance = g.OUTLINE,
     base: float = 1.0,
     on: Sequence[str] = (),
     xy: tuple[str, str] = ("x", "y"),
 ) -> DataFrame:
-    """Boundary-inclusive containment pairs; polygons carry ``ring`` and its box columns."""
-    x, y = F.col(xy[0]).cast("double"), F.col(xy[1]).cast("double")
-    rest = [c for c in polygons.columns if c != "ring"]
-    prepared = polygons.select(*rest, g.ring_sides(F.col("ring")).alias("_sides"))
-    near = bbox_join(points, prepared, [x, y, x, y], [F.col(c) for c in BOX], base, on, pad=tol.eps)
-    return near.filter(g.sides_contain(F.col("_sides"), x, y, tol)).drop("_sides", *BOX)
+    """Boundary-inclusive containment pairs; polygons carry ``ring`` and its box columns and are named by ``key`` and ``on``.
+
+    Boxes give the candidate pairs; each meets only the sides in the slabs of its point.
+    """
+    name = [*on, *key]
+    x, y = (F.col(c).cast("double") for c in xy)
+    outlines = framed(polygons, name)
+    near = bbox_join(points, outlines.drop("ring"), [x, y, x, y], [F.col(c) for c in BOX], base, on, pad=tol.eps)
+    keep = [c for c in near.columns if c not in (*BOX, *FRAME)]
+    return inside(near, side_slabs(outlines, name, tol.eps), name, keep, *xy, tol)
 
 
 def _span(ax: str, ay: str, bx: str, by: str) -> list[Column]:
@@ -135,30 +149,22 @@ def boundary(polygons: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def cut_intervals(
-    segments: DataFrame, sides: DataFrame, key: str, tol: g.Tolerance = g.ROUTER, base: float = 1.0, on: Sequence[str] = ()
+def _stretches(
+    segments: DataFrame, outlines: DataFrame, key: str, name: Sequence[str], tol: g.Tolerance, base: float, on: Sequence[str]
 ) -> DataFrame:
-    """Stretches of every segment between successive contacts with the sides, with their midpoint.
-
-    Containment cannot change inside a stretch.  Returns key, on, t0, t1, len, mid_x, mid_y.
-    """
-    from concourse.operators.sequences import intervals
-
-    near = bbox_join(segments, sides, _span(*SEG), _span(*WALL), base, on, pad=tol.eps)
-    cols = [F.col(c).cast("double") for c in SEG + WALL]
-    hits = near.select(key, F.explode(g.cut_parameters(*cols, tol)).alias("t"))
-    ends = segments.select(key, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
-    parts = intervals(hits.unionByName(ends), key)
+    """Stretches t0..t1 of each segment between its contacts with each framed outline whose box it meets, and their middle
+    point; containment cannot change inside a stretch.  A pair of segment and outline is one window of its contacts."""
+    ends = segments.select(key, *on, *SEG)
+    near = bbox_join(ends, outlines.select(*name, *BOX, *FRAME), _span(*SEG), [F.col(c) for c in BOX], base, on, pad=tol.eps)
+    pairs = near.select(key, *name, *SEG, *FRAME, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
+    met = bbox_join(ends, boundary(outlines.select(*name, *FRAME, "ring"), *name, *FRAME), _span(*SEG), _span(*WALL), base, on, pad=tol.eps)
+    cuts = contacts(met, tol).select(key, *name, *SEG, *FRAME, "t")
+    # A side within reach of the segment has its outline's box within reach too, so every cut has its pair.
+    along = Window.partitionBy(key, *name).orderBy("t")
+    parts = pairs.union(cuts).withColumn("t1", F.lead("t").over(along)).filter("t1 > t").withColumnRenamed("t", "t0")
     middle = (F.col("t0") + F.col("t1")) / 2
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")
-    return parts.join(segments.select(key, *on, *SEG), key).select(
-        key,
-        *on,
-        "t0",
-        "t1",
-        ((F.col("t1") - F.col("t0")) * g.norm(dx, dy)).alias("len"),
-        (F.col("ax") + dx * middle).alias("mid_x"),
-        (F.col("ay") + dy * middle).alias("mid_y"),
+    return parts.withColumns(
+        {"mid_x": F.col("ax") + (F.col("bx") - F.col("ax")) * middle, "mid_y": F.col("ay") + (F.col("by_") - F.col("ay")) * middle}
     )
 
 
@@ -166,71 +172,82 @@ def uncovered_by_union(
     segments: DataFrame,
     polygons: DataFrame,
     key: str,
+    poly_key: Sequence[str],
     tol: g.Tolerance = g.ROUTER,
     base: float = 1.0,
     on: Sequence[str] = (),
 ) -> DataFrame:
     """Keys of segments with an end point or a stretch outside the union of the polygons.
 
-    One join of segments with outlines: each pair gives the stretches of the segment inside that outline, and the
-    stretches of a segment are merged and must leave no gap.  A segment gathers one row per outline it meets.
+    The stretches inside single outlines are merged along each segment and must leave no gap from end to end.
     """
-    prepared = polygons.select(*on, *BOX, g.ring_sides(F.col("ring")).alias("_sides"))
-    near = bbox_join(segments.select(key, *on, *SEG), prepared, _span(*SEG), [F.col(c) for c in BOX], base, on, pad=tol.eps)
-    sides = F.col("_sides")
-    ax, ay, bx, by = (F.col(c).cast("double") for c in SEG)
-    dx, dy = bx - ax, by - ay
-    cuts = F.flatten(F.transform(sides, lambda s: g.cut_parameters(ax, ay, bx, by, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], tol)))
-    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
-    steps = F.arrays_zip(F.slice(ts, F.lit(1), F.size(ts) - 1).alias("t0"), F.slice(ts, F.lit(2), F.size(ts) - 1).alias("t1"))
-
-    def holds(t: Column) -> Column:
-        return g.sides_contain(sides, ax + dx * t, ay + dy * t, tol)
-
-    found = near.select(
-        key,
-        (F.lit(2 * tol.eps) / F.greatest(g.norm(dx, dy), F.lit(tol.eps))).alias("_slack"),
-        F.filter(steps, lambda s: holds((s["t0"] + s["t1"]) / 2)).alias("_in"),
-        holds(F.lit(0.0)).alias("_a"),
-        holds(F.lit(1.0)).alias("_b"),
-    )
-    met = found.groupBy(key).agg(
-        F.array_sort(F.flatten(F.collect_list("_in"))).alias("_in"), F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.max("_slack").alias("_slack")
+    name = [*on, *poly_key]
+    outlines = framed(polygons, name)
+    parts = _stretches(segments, outlines, key, name, tol, base, on)
+    length = g.norm(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"))
+    parts = parts.withColumn("slack", F.lit(2 * tol.eps) / F.greatest(length, F.lit(tol.eps)))
+    held = inside(parts, side_slabs(outlines, name, tol.eps), name, [key, *name, "t0", "t1", "slack", "mid_x", "mid_y"], "mid_x", "mid_y", tol)
+    # How far the stretches before reach; very many outlines on one segment are scanned in chunks.
+    order = ["t0", "t1", *name]
+    swept = running_max(held, [key], order, F.floor(F.col("t0") * 64), F.col("t1"), "reach")
+    found = swept.groupBy(key).agg(
+        F.max(F.col("t0") > F.coalesce("reach", F.lit(0.0)) + F.col("slack")).alias("gap"), F.max(F.col("t1") >= 1 - F.col("slack")).alias("done")
     )
-    reached = F.aggregate("_in", F.lit(0.0), lambda to, s: F.when(s["t0"] <= to + F.col("_slack"), F.greatest(to, s["t1"])).otherwise(to))
-    covered = met.filter(F.col("_a") & F.col("_b") & (reached >= 1 - F.col("_slack"))).select(key)
+    covered = found.filter(~F.col("gap") & F.col("done")).select(key)
     return segments.select(key).distinct().join(covered, key, "left_anti")
 
 
+def within_domain(segments: DataFrame, domains: DataFrame, key: str, tol: g.Tolerance = g.ROUTER, base: float = 1.0) -> DataFrame:
+    """Keys of the segments (key, domain_id, ax..by_) that lie in their domain, its border included.
+
+    A domain is all rings under one ``domain_id``, parts and holes.  A segment is cut where it meets sides; every stretch
+    between has to be inside.
+    """
+    outlines = framed(domains, ["domain_id"], several=True)
+    sides = boundary(outlines.select("domain_id", "ring"), "domain_id")
+    own = segments.select(key, "domain_id", *SEG)
+    met = bbox_join(own, sides, _span(*SEG), _span(*WALL), base, ["domain_id"], pad=tol.eps)
+    ends = own.select("*", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
+    parts = ends.union(contacts(met, tol).select(*own.columns, "t")).withColumn("t1", F.lead("t").over(Window.partitionBy(key).orderBy("t")))
+    middle = (F.col("t") + F.col("t1")) / 2
+    at = {"mid_x": F.col("ax") + (F.col("bx") - F.col("ax")) * middle, "mid_y": F.col("ay") + (F.col("by_") - F.col("ay")) * middle}
+    parts = parts.filter("t1 > t").withColumns(at).select(key, "domain_id", "t", "mid_x", "mid_y")
+    frames = outlines.select("domain_id", *FRAME).distinct()
+    held = inside(parts.join(frames, "domain_id"), side_slabs(outlines, ["domain_id"], tol.eps), ["domain_id"], [key, "t"], "mid_x", "mid_y", tol)
+    marks = parts.select(key, F.lit(1).alias("n")).union(held.select(key, F.lit(-1).alias("n")))
+    return marks.groupBy(key).agg(F.sum("n").alias("n")).filter("n = 0").select(key)
+
+
+def nearest_sides(points: DataFrame, sides: DataFrame, key: str, reach: float) -> DataFrame:
+    """Distance ``gap`` from each point (key, domain_id, x, y) to the nearest side (domain_id, cx..dy) of its domain.
+
+    Only sides within a reach are met; what lies within the reach is final, the other points look four times as far.
+    """
+    found: DataFrame | None = None
+    waiting = cut(points.select(key, "domain_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")))
+    waiting = waiting.join(sides.select("domain_id").distinct(), "domain_id", "left_semi")
+    while True:
+        spot = [F.col("px"), F.col("py"), F.col("px"), F.col("py")]
+        near = bbox_join(waiting, sides.select("domain_id", *WALL), spot, _span(*WALL), reach, ["domain_id"], pad=reach)
+        gap = g.point_segment_distance(F.col("px"), F.col("py"), *[F.col(c) for c in WALL])
+        best = cut(near.groupBy(key).agg(F.min(gap).alias("gap")).filter(F.col("gap") <= reach))
+        found = best if found is None else found.unionByName(best)
+        waiting = cut(waiting.join(best, key, "left_anti"))
+        if waiting.isEmpty():
+            return found
+        reach *= 4
+
+
 def interior_overlap(
     segments: DataFrame, polygons: DataFrame, key: str, poly_key: str, tol: float, base: float = 1.0
 ) -> DataFrame:
     """Length of every segment inside every polygon's interior, where it exceeds ``tol``."""
-    prepared = polygons.select(poly_key, *BOX, g.ring_sides(F.col("ring")).alias("_sides"))
-    near = bbox_join(segments, prepared, _span(*SEG), [F.col(c) for c in BOX], base)
-    pairs = near.select(key, poly_key, *SEG, "_sides")
-    sides = F.col("_sides")
-    a, bb, c, d = (F.col(n).cast("double") for n in SEG)
-    cuts = F.flatten(
-        F.transform(
-            sides, lambda s: g.cut_parameters(a, bb, c, d, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
-        )
-    )
-    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
-    steps = F.arrays_zip(
-        F.slice(ts, F.lit(1), F.size(ts) - 1).alias("t0"), F.slice(ts, F.lit(2), F.size(ts) - 1).alias("t1")
-    )
-    pieces = pairs.withColumn("_s", F.explode(steps))
-    mid = (F.col("_s.t0") + F.col("_s.t1")) / 2
-    mx, my = a + (c - a) * mid, bb + (d - bb) * mid
-    on_side = F.exists(
-        sides, lambda s: g.on_segment(mx, my, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], g.OUTLINE)
-    )
-    strictly = g.sides_contain(sides, mx, my) & ~on_side
-    lengths = pieces.filter(strictly).groupBy(key, poly_key).agg(
-        F.sum((F.col("_s.t1") - F.col("_s.t0")) * g.norm(c - a, d - bb)).alias("inside")
-    )
-    return lengths.filter(F.col("inside") > tol)
+    outlines = framed(polygons, [poly_key])
+    parts = _stretches(segments, outlines, key, [poly_key], g.ROUTER, base, ())
+    length = (F.col("t1") - F.col("t0")) * g.norm(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"))
+    parts = parts.withColumn("inside", length)
+    held = inside(parts, side_slabs(outlines, [poly_key], g.OUTLINE.eps), [poly_key], [key, poly_key, "t0", "inside"], "mid_x", "mid_y", border=False)
+    return held.groupBy(key, poly_key).agg(F.sum("inside").alias("inside")).filter(F.col("inside") > tol)
 
 
 def _clip_area(subject, clip) -> float:
@@ -372,20 +389,48 @@ def nearest_pairs(a: DataFrame, z: DataFrame, dx: float, dy: float, reach: float
         reach *= 4
 
 
-def snap_to_grid(points: DataFrame, cells: DataFrame, step: float, window: int = 10) -> DataFrame:
-    """Nearest grid vertex within +-window cells of each point; coincident vertices are not connectors.
+#: How many of the nearest vertices of a point have their connector tested, round by round.
+SNAP_ROUNDS = (8, None)
 
-    points: point_id, x, y; cells: ix, iy (vertex at step*ix, step*iy).  Ties go to the lower row, then column.
+
+def snap_to_grid(
+    points: DataFrame, cells: DataFrame, step: float, window: int = 10, domains: DataFrame | None = None, base: float = 1.0
+) -> DataFrame:
+    """Nearest grid vertex within +-window cells of each point that it sees; coincident vertices are not connectors.
+
+    points: point_id, x, y (and domain_id); cells: ix, iy (vertex at step*ix, step*iy).  With ``domains`` the straight
+    connector has to lie in the point's domain: vertices are tried in growing distance, some at a time, and only points
+    without a visible one go on.  Ties go to the lower row, then column.
     """
     near_x, near_y = F.rint(F.col("x") / step).cast("long"), F.rint(F.col("y") / step).cast("long")
     reach = F.sequence(F.lit(-window), F.lit(window))
     asked = points.withColumn("iy", F.explode(F.transform(reach, lambda d: near_y + d)))
     asked = asked.withColumn("ix", F.explode(F.transform(reach, lambda d: near_x + d)))
-    hits = asked.join(cells.select("ix", "iy"), ["ix", "iy"])
+    hits = asked.join(cells.select("ix", "iy").distinct(), ["ix", "iy"])
     gap = g.norm(F.col("ix") * step - F.col("x"), F.col("iy") * step - F.col("y"))
     near = hits.withColumn("gap", gap).filter(F.col("gap") > 0.001)
-    best = near.groupBy("point_id").agg(F.min(F.struct("gap", "iy", "ix")).alias("_b"))
-    return best.select("point_id", F.col("_b.ix").alias("ix"), F.col("_b.iy").alias("iy"), F.col("_b.gap").alias("gap"))
+
+    def best(rows: DataFrame) -> DataFrame:
+        least = rows.groupBy("point_id").agg(F.min(F.struct("gap", "iy", "ix")).alias("_b"))
+        return least.select("point_id", F.col("_b.ix").alias("ix"), F.col("_b.iy").alias("iy"), F.col("_b.gap").alias("gap"))
+
+    if domains is None:
+        return best(near)
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("point_id").orderBy("gap", "iy", "ix")))
+    at = {"ax": F.col("x"), "ay": F.col("y"), "bx": F.col("ix") * step, "by_": F.col("iy") * step}
+    ranked = cut(ranked.withColumns({c: v.cast("double") for c, v in at.items()}))
+    ranked = ranked.withColumn("_connector", F.concat_ws("/", F.col("point_id").cast("string"), F.col("_rank").cast("string")))
+    found: DataFrame | None = None
+    tried = 0
+    for most in SNAP_ROUNDS:
+        tries = ranked.filter((F.col("_rank") > tried) & (F.col("_rank") <= most if most else F.lit(True)))
+        seen = cut(best(tries.join(within_domain(tries, domains, "_connector", g.ROUTER, base), "_connector", "left_semi")))
+        found = seen if found is None else found.unionByName(seen)
+        ranked = ranked.join(seen, "point_id", "left_anti")
+        tried = most
+        if most and ranked.filter(F.col("_rank") > tried).isEmpty():
+            break
+    return found
 
 
 def accept_faces(
@@ -396,9 +441,9 @@ def accept_faces(
     labels: label_id, number, x, y; faces: face_id, area, ring and box.  A face is accepted when it is
     the only one around the label, not larger than ``max_area``, holds no other number, and is not denied.
     """
-    inside = points_in_polygons(labels, faces.select("face_id", "area", "ring", *BOX), base=base)
-    others = inside.groupBy("face_id").agg(F.count_distinct("number").alias("_numbers"))
-    per = inside.join(others, "face_id").groupBy("label_id").agg(
+    within = points_in_polygons(labels, faces.select("face_id", "area", "ring", *BOX), ["face_id"], base=base)
+    others = within.groupBy("face_id").agg(F.count_distinct("number").alias("_numbers"))
+    per = within.join(others, "face_id").groupBy("label_id").agg(
         F.count(F.lit(1)).alias("faces"),
         F.min("face_id").alias("face_id"),
         F.max("area").alias("_area"),

@@ -289,3 +289,44 @@ def nav_nodes(t) -> DataFrame:
     nations = t.nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node_id"), ok)
     regions = t.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node_id"), ok)
     return suppliers.unionByName(brands).unionByName(nations).unionByName(regions)
+
+
+# ---------------------------------------------------------------- domains: a box with a hole in its middle third
+
+
+def holed_sql(source: str, key: str) -> str:
+    """Frames (x0..y1) of the positions per key, and their holes (hx0..hy1)."""
+    return f"""frames AS (SELECT {key} AS domain_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {source} GROUP BY {key}),
+boxes AS (SELECT *, x0 + (x1 - x0) // 3 AS hx0, y0 + (y1 - y0) // 3 AS hy0, x1 - (x1 - x0) // 3 AS hx1, y1 - (y1 - y0) // 3 AS hy1 FROM frames)"""
+
+
+def through_sql(ax: str, ay: str, bx: str, by: str) -> str:
+    """The segment passes through the inside of the hole."""
+
+    def span(a: str, z: str, low: str, high: str, of: str) -> tuple[str, str]:
+        inside = f"{a} > {low} AND {a} < {high}"
+        ends = f"(({low} - {a})::DOUBLE / nullif({z} - {a}, 0)), (({high} - {a})::DOUBLE / nullif({z} - {a}, 0))"
+        return (
+            f"CASE WHEN {a} = {z} THEN CASE WHEN {inside} THEN 0 ELSE 2 END ELSE least({ends}) END",
+            f"CASE WHEN {a} = {z} THEN CASE WHEN {inside} THEN 1 ELSE -1 END ELSE greatest({ends}) END",
+        )
+
+    (xl, xh), (yl, yh) = span(ax, bx, "hx0", "hx1", "x"), span(ay, by, "hy0", "hy1", "y")
+    return f"(greatest(0, {xl}, {yl}) + 1e-9 < least(1, {xh}, {yh}))"
+
+
+def holed_domains(positions: DataFrame, key: str) -> DataFrame:
+    """Rings of the domains: the box of the positions per key, and the hole in it."""
+    low_high = {f"{c}{i}": fn(c) for c in ("x", "y") for i, fn in ((0, F.min), (1, F.max))}
+    box = positions.groupBy(F.col(key).alias("domain_id")).agg(*[v.alias(k) for k, v in low_high.items()])
+    third = {c: F.floor((F.col(f"{c}1") - F.col(f"{c}0")) / 3) for c in ("x", "y")}
+    outer = [F.col(f"{c}{i}") for i in (0, 1) for c in ("x", "y")]
+    hole = [F.col(f"{c}0") + third[c] for c in ("x", "y")] + [F.col(f"{c}1") - third[c] for c in ("x", "y")]
+
+    def ring(b: list[Column]) -> Column:
+        b = [c.cast("double") for c in b]
+        corners = [(b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3])]
+        points = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+        return F.struct(points.alias("ring"), b[0].alias("min_x"), b[1].alias("min_y"), b[2].alias("max_x"), b[3].alias("max_y"))
+
+    return box.select("domain_id", F.explode(F.array(ring(outer), ring(hole))).alias("r")).select("domain_id", "r.*")

@@ -187,22 +187,20 @@ def contract(t):
 
 BOXES_SQL = (
     b.EVENTS_SQL
-    + """, boxes AS (SELECT user_id AS domain_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM marks GROUP BY user_id),
-xs AS (SELECT domain_id, x0, y0, x1, y1, unnest(generate_series(CAST(floor(x0 / 100) AS BIGINT), CAST(floor(x1 / 100) AS BIGINT) + 1)) AS ix FROM boxes),
+    + ", "
+    + b.holed_sql("marks", "user_id")
+    + """,
+xs AS (SELECT *, unnest(generate_series(CAST(floor(x0 / 100) AS BIGINT), CAST(floor(x1 / 100) AS BIGINT) + 1)) AS ix FROM boxes),
 lattice AS (SELECT *, unnest(generate_series(CAST(floor(y0 / 100) AS BIGINT), CAST(floor(y1 / 100) AS BIGINT) + 1)) AS iy FROM xs),
-cells AS (SELECT domain_id, ix, iy, least(ix * 100 - x0, x1 - ix * 100, iy * 100 - y0, y1 - iy * 100) AS clearance FROM lattice
-  WHERE ix * 100 > x0 AND ix * 100 < x1 AND iy * 100 > y0 AND iy * 100 < y1)"""
+cells AS (SELECT *, least(ix * 100 - x0, x1 - ix * 100, iy * 100 - y0, y1 - iy * 100,
+    sqrt(greatest(hx0 - ix * 100, 0, ix * 100 - hx1) ** 2 + greatest(hy0 - iy * 100, 0, iy * 100 - hy1) ** 2)) AS clearance FROM lattice
+  WHERE ix * 100 > x0 AND ix * 100 < x1 AND iy * 100 > y0 AND iy * 100 < y1 AND NOT (ix * 100 BETWEEN hx0 AND hx1 AND iy * 100 BETWEEN hy0 AND hy1))"""
 )
 GRID = 100.0
 
 
 def _domains(t):
-    from concourse.plans.spatial_joins import box_ring
-
-    box = b.marks(t).groupBy(F.col("user_id").alias("domain_id")).agg(
-        *[fn(c).cast("double").alias(n) for fn, c, n in ((F.min, "x", "min_x"), (F.min, "y", "min_y"), (F.max, "x", "max_x"), (F.max, "y", "max_y"))]
-    )
-    return box.withColumn("ring", box_ring())
+    return b.holed_domains(b.marks(t), "user_id")
 
 
 @query("gr_grid_cells", b.with_sql(BOXES_SQL, body="SELECT domain_id, ix, iy FROM cells"))
@@ -210,10 +208,11 @@ def grid_cells(t):
     return gd.grid_cells(_domains(t), GRID).select("domain_id", "ix", "iy")
 
 
-@query("gr_clearance", b.with_sql(BOXES_SQL, body="SELECT domain_id, ix, iy, CAST(clearance AS DOUBLE) AS clearance FROM cells"))
+@query("gr_clearance", b.with_sql(BOXES_SQL, body="SELECT domain_id, ix, iy, round(CAST(clearance AS DOUBLE), 4) AS clearance FROM cells"))
 def clearance(t):
     domains = _domains(t)
-    return gd.clearance(gd.grid_cells(domains, GRID), domains).select("domain_id", "ix", "iy", "clearance")
+    found = gd.clearance(gd.grid_cells(domains, GRID), domains, GRID)
+    return found.select("domain_id", "ix", "iy", F.round("clearance", 4).alias("clearance"))
 
 
 @query(
@@ -221,28 +220,38 @@ def clearance(t):
     b.with_sql(
         BOXES_SQL,
         "offsets AS (SELECT unnest([1, 0, 1, -1]) AS dx, unnest([0, 1, 1, 1]) AS dy)",
-        body="""SELECT a.domain_id, a.ix AS ix0, a.iy AS iy0, z.ix AS ix1, z.iy AS iy1, round(100 * sqrt(dx * dx + dy * dy), 4) AS length,
+        body=f"""SELECT a.domain_id, a.ix AS ix0, a.iy AS iy0, z.ix AS ix1, z.iy AS iy1, round(100 * sqrt(dx * dx + dy * dy), 4) AS length,
   round(100 * sqrt(dx * dx + dy * dy) * (1 + 8.0::DOUBLE / greatest(least(a.clearance, z.clearance), 0.25)), 4) AS cost
-FROM cells a, offsets JOIN cells z ON z.domain_id = a.domain_id AND z.ix = a.ix + dx AND z.iy = a.iy + dy""",
+FROM cells a, offsets JOIN cells z ON z.domain_id = a.domain_id AND z.ix = a.ix + dx AND z.iy = a.iy + dy
+WHERE NOT {b.through_sql('(a.ix * 100)', '(a.iy * 100)', '((a.ix + dx) * 100)', '((a.iy + dy) * 100)').replace('hx', 'a.hx').replace('hy', 'a.hy')}""",
     ),
 )
 def grid_links(t):
     domains = _domains(t)
-    cells = gd.clearance(gd.grid_cells(domains, GRID), domains)
+    cells = gd.clearance(gd.grid_cells(domains, GRID), domains, GRID)
     links = gd.grid_links(cut(cells), domains, GRID)
     return links.withColumns({"length": F.round("length", 4), "cost": F.round("cost", 4)})
 
 
-OFFSETS_SQL = """doors AS (SELECT route_id AS door_id, (ax + bx) / 2.0::DOUBLE AS mx, (ay + by_) / 2.0::DOUBLE AS my, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS len,
-  -(by_ - ay) AS nx, bx - ax AS ny FROM routes WHERE ax <> bx OR ay <> by_),
+# Doors of label 3 have no segment and fall back to a point; paths are hops between neighbouring vertices from the lowest one.
+HOPS = 60
+OFFSETS_SQL = f"""doors AS (SELECT r.route_id AS door_id, r.label, CASE WHEN r.label <> 3 THEN ax END AS ax, CASE WHEN r.label <> 3 THEN ay END AS ay,
+  CASE WHEN r.label <> 3 THEN bx END AS bx, CASE WHEN r.label <> 3 THEN by_ END AS by_, p.x AS fx, p.y AS fy FROM routes r JOIN points p ON point_id = route_id),
+segments AS (SELECT *, (ax + bx) / 2.0::DOUBLE AS mx, (ay + by_) / 2.0::DOUBLE AS my, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS len, -(by_ - ay) AS nx, bx - ax AS ny
+  FROM doors WHERE ax <> bx OR ay <> by_),
 offsets AS (SELECT unnest([2, 4, 6, 10, 15, 22, 30, -2, -4, -6, -10, -15, -22, -30]) AS v),
-spots AS (SELECT door_id, v, mx + nx / len * v AS x, my + ny / len * v AS y FROM doors, offsets),
-inside AS (SELECT DISTINCT door_id, v, s.x, s.y FROM spots s JOIN points p ON s.x BETWEEN p.x - 40 AND p.x + 40 AND s.y BETWEEN p.y - 30 AND p.y + 30),
+spots AS (SELECT door_id, label, v, mx + nx / len * v AS x, my + ny / len * v AS y FROM segments, offsets
+  UNION ALL SELECT door_id, label, 0, fx, fy FROM doors WHERE ax IS NULL OR (ax = bx AND ay = by_)),
+within AS (SELECT s.*, hx0, hy0, hx1, hy1, x0, y0, x1, y1 FROM spots s JOIN boxes ON domain_id = label WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND NOT (x > hx0 AND x < hx1 AND y > hy0 AND y < hy1)),
 verts AS (SELECT DISTINCT CAST(floor(x / 30) AS BIGINT) AS ix, CAST(floor(y / 30) AS BIGINT) AS iy FROM points),
-near AS (SELECT door_id, v, x, y, ix, iy, sqrt((ix * 30 - x) ** 2 + (iy * 30 - y) ** 2) AS gap FROM inside JOIN verts
-  ON abs(ix - round_even(x / 30, 0)) <= 10 AND abs(iy - round_even(y / 30, 0)) <= 10),
+walk AS (SELECT m[2] AS ix, m[1] AS iy, 0 AS hops FROM (SELECT min((iy, ix)) AS m FROM verts)
+  UNION SELECT v.ix, v.iy, hops + 1 FROM walk w JOIN verts v ON abs(v.ix - w.ix) <= 1 AND abs(v.iy - w.iy) <= 1 AND (v.ix <> w.ix OR v.iy <> w.iy) WHERE hops < {HOPS}),
+far AS (SELECT ix, iy, min(hops) AS path_distance FROM walk GROUP BY ix, iy),
+near AS (SELECT door_id, v, x, y, ix, iy, sqrt((ix * 30 - x) ** 2 + (iy * 30 - y) ** 2) AS gap FROM within JOIN verts
+  ON abs(ix - round_even(x / 30, 0)) <= 10 AND abs(iy - round_even(y / 30, 0)) <= 10
+  WHERE ix * 30 BETWEEN x0 AND x1 AND iy * 30 BETWEEN y0 AND y1 AND NOT {b.through_sql('x', 'y', '(ix * 30)', '(iy * 30)')}),
 snapped AS (SELECT door_id, v, x, y, min((gap, iy, ix)) AS m FROM near WHERE gap > 0.001 GROUP BY ALL),
-best AS (SELECT door_id, min((abs(v), abs(m[3]) + abs(m[2]), x, y, m[2], m[3])) AS o FROM snapped GROUP BY door_id)"""
+best AS (SELECT door_id, min((abs(v), path_distance, x, y, m[2], m[3])) AS o FROM snapped JOIN far ON far.ix = m[3] AND far.iy = m[2] GROUP BY door_id)"""
 
 
 @query(
@@ -250,21 +259,30 @@ best AS (SELECT door_id, min((abs(v), abs(m[3]) + abs(m[2]), x, y, m[2], m[3]))
     b.with_sql(
         b.SPANS_SQL,
         b.POINTS_SQL,
+        b.holed_sql("points", "label"),
         OFFSETS_SQL,
-        body="SELECT door_id, CAST(o[1] AS DOUBLE) AS door_distance, o[2] AS path_distance, round(o[3], 4) AS x, round(o[4], 4) AS y, o[5] AS iy, o[6] AS ix FROM best",
-    ),
+        body="""SELECT d.door_id, o IS NOT NULL AS found, CAST(o[1] AS DOUBLE) AS door_distance, o[2] AS path_distance, round(o[3], 4) AS x, round(o[4], 4) AS y, o[5] AS iy, o[6] AS ix
+FROM doors d LEFT JOIN best USING (door_id)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def endpoint_candidates(t):
-    from concourse.plans.spatial_joins import _square
-
-    doors = b.route_segments(t).select(
-        F.col("route_id").alias("door_id"), *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by_")]
-    )
+    points = b.points(t)
+    real = [F.when(F.col("label") != 3, F.col(c)).cast("double").alias(c) for c in ("ax", "ay", "bx", "by_")]
+    doors = b.route_segments(t).select(F.col("route_id").alias("door_id"), F.col("label").alias("domain_id"), *real)
+    doors = doors.join(points.select(F.col("point_id").alias("door_id"), F.col("x").alias("fx"), F.col("y").alias("fy")), "door_id")
     cell = lambda c: F.floor(F.col(c) / 30)
-    verts = b.points(t).select(cell("x").alias("ix"), cell("y").alias("iy")).distinct()
-    verts = verts.withColumn("path_distance", F.abs("ix") + F.abs("iy"))
-    best = gd.choose_endpoints(doors, _square(t), verts, 30.0, base=8.0)
-    return best.select("door_id", "door_distance", "path_distance", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "iy", "ix")
+    verts = cut(points.select(cell("x").alias("ix"), cell("y").alias("iy")).distinct())
+    name = lambda x, y: F.concat_ws(",", x, y)
+    beside = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
+    steps = verts.withColumn("o", beside).select("ix", "iy", (F.col("ix") + F.col("o.i")).alias("jx"), (F.col("iy") + F.col("o.j")).alias("jy"))
+    steps = steps.join(verts.withColumnsRenamed({"ix": "jx", "iy": "jy"}), ["jx", "jy"]).select(
+        name("ix", "iy").alias("src"), name("jx", "jy").alias("dst"), F.lit(1).cast("long").alias("cost"), name("jx", "jy").alias("edge_id")
+    )
+    lowest = verts.agg(F.min(F.struct("iy", "ix")).alias("m")).select(name(F.col("m.ix"), F.col("m.iy")).alias("source"))
+    reached = nw.shortest_costs(steps, lowest).filter(F.col("cost") <= HOPS).select("node", F.col("cost").alias("path_distance"))
+    verts = verts.join(reached, name("ix", "iy") == F.col("node"), "left").select("ix", "iy", "path_distance")
+    best = gd.choose_endpoints(doors, b.holed_domains(points, "label"), verts, 30.0, base=8.0)
+    return best.select("door_id", "found", "door_distance", "path_distance", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "iy", "ix")
 
 
 # ---------------------------------------------------------------- floor graphs: one per nation and market segment

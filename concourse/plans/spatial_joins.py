@@ -43,7 +43,7 @@ PIP_SQL = f"""hits AS (SELECT point_id, label, zone_id FROM points, zone_sides G
 
 
 def _hits(t):
-    return sp.points_in_polygons(b.points(t), b.zones(t), base=BASE)
+    return sp.points_in_polygons(b.points(t), b.zones(t), ["zone_id"], base=BASE)
 
 
 @query(
@@ -172,7 +172,7 @@ WHERE c.route_id IS NULL OR c.lo > 1e-12 OR c.hi < 1 - 1e-12 OR c.gap""",
     ),
 )
 def cover_union(t):
-    return sp.uncovered_by_union(b.route_segments(t), _square(t), "route_id", base=BASE)
+    return sp.uncovered_by_union(b.route_segments(t), _square(t), "route_id", ["area_id"], base=BASE)
 
 
 ZONE_CLIP_SQL = f"""parts AS (SELECT r.route_id, z.zone_id, r.ax, r.ay, r.bx, r.by_,
@@ -290,16 +290,18 @@ def door_leaf(t):
     "join_nearest_cell",
     b.with_sql(
         b.POINTS_SQL,
+        b.holed_sql("points", "label"),
         "cells AS (SELECT DISTINCT CAST(floor(x / 30) AS BIGINT) AS ix, CAST(floor(y / 30) AS BIGINT) AS iy FROM points)",
-        """near AS (SELECT point_id, ix, iy, (ix * 30 - x) * (ix * 30 - x) + (iy * 30 - y) * (iy * 30 - y) AS d2 FROM points JOIN cells
-  ON ix BETWEEN round_even(x / 30.0, 0) - 10 AND round_even(x / 30.0, 0) + 10 AND iy BETWEEN round_even(y / 30.0, 0) - 10 AND round_even(y / 30.0, 0) + 10),
+        f"""near AS (SELECT point_id, ix, iy, (ix * 30 - x) * (ix * 30 - x) + (iy * 30 - y) * (iy * 30 - y) AS d2 FROM points JOIN boxes ON domain_id = label JOIN cells
+  ON ix BETWEEN round_even(x / 30.0, 0) - 10 AND round_even(x / 30.0, 0) + 10 AND iy BETWEEN round_even(y / 30.0, 0) - 10 AND round_even(y / 30.0, 0) + 10
+  WHERE NOT (x > hx0 AND x < hx1 AND y > hy0 AND y < hy1) AND ix * 30 BETWEEN x0 AND x1 AND iy * 30 BETWEEN y0 AND y1 AND NOT {b.through_sql('x', 'y', '(ix * 30)', '(iy * 30)')}),
 best AS (SELECT point_id, min((d2, iy, ix)) AS m FROM near WHERE d2 > 0 GROUP BY point_id)""",
         body="SELECT point_id, m[3] AS ix, m[2] AS iy, round(sqrt(m[1]), 4) AS gap FROM best",
     ),
 )
 def nearest_cell(t):
-    p = b.points(t)
+    p = b.points(t).withColumnRenamed("label", "domain_id")
     cell = lambda c: F.floor(F.col(c) / 30)
     cells = p.select(cell("x").alias("ix"), cell("y").alias("iy")).distinct()
-    snapped = sp.snap_to_grid(p, cells, 30.0)
+    snapped = sp.snap_to_grid(p, cells, 30.0, domains=b.holed_domains(b.points(t), "label"), base=BASE)
     return snapped.select("point_id", "ix", "iy", F.round("gap", 4).alias("gap"))
