@@ -72,7 +72,7 @@ def _border_cells(sides: DataFrame, step: float, eps: float) -> DataFrame:
 
 def clearance(cells: DataFrame, domains: DataFrame, step: float = STEP) -> DataFrame:
     """Distance of every cell to its domain's border, holes included; each cell meets the sides within a growing reach."""
-    named = cells.withColumn("_cell", F.concat_ws("/", F.col("domain_id").cast("string"), "ix", "iy"))
+    named = cut(cells.withColumn("_cell", F.concat_ws("/", F.col("domain_id").cast("string"), "ix", "iy")))
     gaps = nearest_sides(named, domain_sides(domains), "_cell", 2.0 * step)
     return named.join(gaps.withColumnRenamed("gap", "clearance"), "_cell").drop("_cell")
 

@@ -11,17 +11,23 @@ from concourse.plans.registry import query
 from concourse.session import ensure_checkpoint_dir
 from concourse.sources import artifacts as ar
 from concourse.sources import bundles as bu
-from concourse.sources.sinks import write_stable
+from concourse.sources.sinks import write_named, write_stable
+
+
+def _folder(t, purpose: str) -> str:
+    """A new folder that all executors share."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
 
 
 @query(
     "src_bundle_json",
-    """SELECT p_brand || '/F' || p_size AS bundle_id, p_brand || '-' || p_partkey || s AS place_id, p_name AS name_en, upper(p_name) AS name_ar,
+    """SELECT replace(p_brand, '#', '-') || '/F' || p_size AS bundle_id, p_brand || '-' || p_partkey || s AS place_id, p_name AS name_en, upper(p_name) AS name_ar,
   p_type AS category, CAST(p_retailprice AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, p_size <= 40 AS is_public, s = '-a' AS has_alias
 FROM part, (SELECT unnest(['-a', '-b']) AS s)""",
 )
 def bundle_json(t):
-    """Each part becomes a floor document of two rooms, parsed back through the fixed schema."""
+    """Parts of one brand and size are the rooms of a floor; floors, graphs and contents are written as files and read back."""
     key = F.concat(F.col("p_brand"), F.lit("-"), F.col("p_partkey").cast("string"))
 
     def room(suffix, aliases):
@@ -34,18 +40,18 @@ def bundle_json(t):
             aliases.alias("aliases"),
         )
 
-    doc = F.struct(
-        F.lit(1).alias("schemaVersion"),
-        F.array(room("-a", F.array("p_brand")), room("-b", F.array().cast("array<string>"))).alias("rooms"),
+    rooms = F.array(room("-a", F.array("p_brand")), room("-b", F.array().cast("array<string>")))
+    floors = t.part.groupBy(F.regexp_replace("p_brand", "#", "-").alias("b"), F.concat(F.lit("F"), F.col("p_size").cast("string")).alias("f"))
+    floors = floors.agg(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.flatten(F.collect_list(rooms)).alias("rooms"))).alias("doc"))
+    home = F.concat_ws("/", F.lit("data/buildings"), "b", "f")
+    files = F.array(
+        F.struct(F.concat(home, F.lit(".json")).alias("name"), F.col("doc").alias("content")),
+        F.struct(F.concat(home, F.lit(".graph.json")).alias("name"), F.lit("{}").alias("content")),
+        F.struct(F.concat_ws("/", F.lit("content"), "b", F.concat("f", F.lit(".json"))).alias("name"), F.lit("[]").alias("content")),
     )
-    texts = t.part.select(
-        F.concat(F.col("p_brand"), F.lit("/F"), F.col("p_size").cast("string")).alias("bundle_id"),
-        F.to_json(doc).alias("floor_json"),
-        F.lit("{}").alias("graph_json"),
-        F.lit("[]").alias("content_json"),
-    )
-    rooms = bu.tables(bu.parse_documents(texts))["places"]
-    return rooms.select(
+    root = _folder(t, "bundles")
+    write_named(floors.select(F.explode(files).alias("x")).select("x.*"), root)
+    return bu.read_bundles(t.spark, root)["places"].select(
         "bundle_id",
         F.col("id").alias("place_id"),
         F.col("name.en").alias("name_en"),
@@ -77,11 +83,15 @@ def _file_paths(t):
 
 @query(
     "src_discover_files",
-    f"""SELECT page_id, {LINK_SQL.format(i=1)} AS path_building, {LINK_SQL.format(i=2)} AS path_floor FROM pages
+    f"""SELECT DISTINCT {LINK_SQL.format(i=1)} AS path_building, {LINK_SQL.format(i=2)} AS path_floor FROM pages
 WHERE {SUFFIX_SQL} = '.json' AND {LINK_SQL.format(i=1)} <> ''""",
 )
 def discover_files(t):
-    return bu.floor_files(_file_paths(t)).select("page_id", "path_building", "path_floor")
+    """Floor, graph and review files of the pages' links are written, and the floors found among them by name."""
+    name = F.regexp_extract("path", r"(data/buildings/.+)$", 1)
+    root = _folder(t, "floors")
+    write_named(_file_paths(t).select(name.alias("name"), F.lit("{}").alias("content")).distinct(), root)
+    return bu.discover(t.spark, root).select("path_building", "path_floor")
 
 
 @query(
@@ -111,14 +121,20 @@ def asset_text_rules(t):
 
 @query(
     "src_manifest_sha256",
-    """SELECT 'doc/' || doc_id AS name, CASE WHEN lang = 'es' THEN 'added' ELSE 'changed' END AS change FROM documents WHERE lang IN ('es', 'fr')""",
+    """SELECT 'chat/' || conv_id || '.txt' AS name, CASE WHEN count(*) = 2 THEN 'added' ELSE 'changed' END AS change FROM conversations
+WHERE conv_id IS NOT NULL GROUP BY conv_id HAVING count(*) = 2 OR count(*) > 4""",
 )
 def manifest_sha256(t):
-    name = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
-    files = t.documents.select(name.alias("name"), F.encode("text", "utf-8").alias("content"))
-    stale = F.when(F.col("lang") == "fr", F.concat("text", F.lit("."))).otherwise(F.col("text"))
-    manifest = t.documents.filter("lang <> 'es'").select(name.alias("name"), F.sha2(stale, 256).alias("digest"))
-    return rl.manifest_diff(files, manifest)
+    """Transcripts are written as files and their bytes compared with a manifest that misses some and has old digests of others."""
+    turn = F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))
+    kept = t.conversations.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    name = F.concat(F.lit("chat/"), F.col("conv_id").cast("string"), F.lit(".txt"))
+    files = kept.select(name.alias("name"), F.array_join("turns.line", "\n").alias("content"), F.size("turns").alias("n"))
+    root = _folder(t, "transcripts")
+    write_named(files, root)
+    stale = F.when(F.col("n") > 4, F.concat("content", F.lit("."))).otherwise(F.col("content"))
+    manifest = files.filter("n <> 2").select("name", F.sha2(stale, 256).alias("digest"))
+    return rl.manifest_diff(ar.read_artifacts(t.spark, root), manifest)
 
 
 @query(
@@ -184,8 +200,7 @@ def config_map(t):
 )
 def stable_json(t):
     """Written in key order and read back; the folder is the session's shared checkpoint folder."""
-    ensure_checkpoint_dir(t.spark)
-    path = f"{t.spark.sparkContext.getCheckpointDir()}/stable-{uuid.uuid4().hex}"
+    path = _folder(t, "stable")
     rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
     write_stable(rows, path, ["o_orderkey"])
     return t.spark.read.schema(rows.schema).json(path)
