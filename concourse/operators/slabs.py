@@ -60,20 +60,29 @@ def side_slabs(rings: DataFrame, key: Sequence[str], eps: float) -> DataFrame:
     return sides.withColumn("_slab", F.explode(F.sequence(_slab(low, level), _slab(high, level)))).drop(*FRAME)
 
 
-def inside(
-    points: DataFrame, slabs: DataFrame, key: Sequence[str], keep: Sequence[str], x: str, y: str, tol: g.Tolerance = g.OUTLINE, border: bool = True
+def judged(
+    points: DataFrame, slabs: DataFrame, key: Sequence[str], keep: Sequence[str], x: str, y: str, tol: g.Tolerance = g.OUTLINE, **more: Column
 ) -> DataFrame:
-    """The ``points`` (columns ``keep``) that lie in the outline they name; they carry its frame and meet its sides only.
-    ``border``: points on a side count too.  Rows of ``points`` that are equal in ``keep`` are one."""
+    """``keep`` of the points that met a side, with ``odd`` (inside by parity), ``on`` (on a side) and the greatest value of
+    ``more`` over the sides they lie on.  Points carry the frame of the outline they name and meet its sides only; rows that
+    are equal in ``keep`` are one point."""
     met = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("frame_levels"))))
     met = met.withColumn("_slab", _slab(F.col(y), F.col("_level"))).drop(*FRAME).join(slabs, [*key, "_level", "_slab"])
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     cx, cy, dx, dy = (F.col(c) for c in ("cx", "cy", "dx", "dy"))
     ahead = (px - cx) * (dy - cy) - (dx - cx) * (py - cy)
     crossed = ((cy > py) != (dy > py)) & F.when(dy > cy, ahead < 0).otherwise(ahead > 0)
-    judged = met.groupBy(*keep).agg(F.count_if(crossed).alias("_crossed"), F.max(g.on_segment(px, py, cx, cy, dx, dy, tol)).alias("_on"))
-    odd, on = F.col("_crossed") % 2 == 1, F.coalesce("_on", F.lit(False))
-    return judged.filter(odd | on if border else odd & ~on).select(*keep)
+    on = F.coalesce(g.on_segment(px, py, cx, cy, dx, dy, tol), F.lit(False))
+    sums = [(F.count_if(crossed) % 2 == 1).alias("odd"), F.max(on).alias("on")]
+    return met.groupBy(*keep).agg(*sums, *[F.max(F.when(on, v)).alias(name) for name, v in more.items()])
+
+
+def inside(
+    points: DataFrame, slabs: DataFrame, key: Sequence[str], keep: Sequence[str], x: str, y: str, tol: g.Tolerance = g.OUTLINE, border: bool = True
+) -> DataFrame:
+    """The ``points`` (columns ``keep``) that lie in the outline they name; ``border``: points on a side count too."""
+    found = judged(points, slabs, key, keep, x, y, tol)
+    return found.filter(F.col("odd") | F.col("on") if border else F.col("odd") & ~F.col("on")).select(*keep)
 
 
 def contacts(pairs: DataFrame, tol: g.Tolerance = g.ROUTER) -> DataFrame:

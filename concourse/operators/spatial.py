@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from concourse.functions import geometry as g
 from concourse.operators.ordered import running_max
-from concourse.operators.slabs import FRAME, contacts, framed, inside, real_box, side_slabs
+from concourse.operators.slabs import FRAME, contacts, framed, inside, judged, real_box, side_slabs
 from concourse.session import cut
 
 
@@ -250,98 +250,30 @@ def interior_overlap(
     return held.groupBy(key, poly_key).agg(F.sum("inside").alias("inside")).filter(F.col("inside") > tol)
 
 
-def _clip_area(subject, clip) -> float:
-    """Area of a simple ring inside a convex one (successive half-plane cuts)."""
-    turn = sum(
-        (clip[i][0] * clip[(i + 1) % len(clip)][1] - clip[(i + 1) % len(clip)][0] * clip[i][1]) for i in range(len(clip))
-    )
-    sign = 1.0 if turn > 0 else -1.0
-    shape = subject
-    for i, p in enumerate(clip):
-        q = clip[(i + 1) % len(clip)]
-
-        def side(v):
-            return sign * ((q[0] - p[0]) * (v[1] - p[1]) - (q[1] - p[1]) * (v[0] - p[0]))
-
-        kept = []
-        for j, v in enumerate(shape):
-            w = shape[(j + 1) % len(shape)]
-            sv, sw = side(v), side(w)
-            if sv >= 0:
-                kept.append(v)
-            if sv * sw < 0:
-                r = sv / (sv - sw)
-                kept.append((v[0] + (w[0] - v[0]) * r, v[1] + (w[1] - v[1]) * r))
-        shape = kept
-        if not shape:
-            return 0.0
-    return abs(sum(shape[i][0] * shape[(i + 1) % len(shape)][1] - shape[(i + 1) % len(shape)][0] * shape[i][1] for i in range(len(shape)))) / 2
-
-
-def _triangles(ring):
-    """Ear triangles of a simple ring, counter-clockwise or clockwise."""
-    pts = list(ring)
-    area = sum(pts[i][0] * pts[(i + 1) % len(pts)][1] - pts[(i + 1) % len(pts)][0] * pts[i][1] for i in range(len(pts)))
-    if area < 0:
-        pts.reverse()
-
-    def orient(u, v, w):
-        return (v[0] - u[0]) * (w[1] - u[1]) - (v[1] - u[1]) * (w[0] - u[0])
-
-    out = []
-    while len(pts) > 3:
-        for i in range(len(pts)):
-            u, v, w = pts[i - 1], pts[i], pts[(i + 1) % len(pts)]
-            if orient(u, v, w) <= 0:
-                continue
-            if any(
-                orient(u, v, o) >= 0 and orient(v, w, o) >= 0 and orient(w, u, o) >= 0
-                for o in pts
-                if o not in (u, v, w)
-            ):
-                continue
-            out.append((u, v, w))
-            pts.pop(i)
-            break
-        else:
-            flat = next((i for i in range(len(pts)) if orient(pts[i - 1], pts[i], pts[(i + 1) % len(pts)]) == 0), 0)
-            pts.pop(flat)
-    out.append(tuple(pts))
-    return out
-
-
-def ring_overlap_area(a, b) -> float:
-    """Shared area of two simple rings: every ear of one clipped by every ear of the other."""
-    right = _triangles(b)
-    return sum(_clip_area(list(s), list(c)) for s in _triangles(a) for c in right)
-
-
 def overlap_pairs(polygons: DataFrame, key: str, tol: float = 1.0, base: float = 1.0) -> DataFrame:
-    """Polygon pairs (left_id < right_id) sharing at least ``tol`` of area.
+    """Polygon pairs (left_id < right_id) sharing at least ``tol`` of area; rings are simple, and may be concave.
 
-    Box pairs come from the cell join; the clipping runs in Arrow batches over candidate pairs only.
+    The shared region is bounded by the stretches of each outline inside the other, so its area is half the sum of their
+    cross terms, all outlines turned the same way.  Where two outlines run together in one direction the stretch bounds the
+    region from both sides and counts half for each; against each other they bound nothing.
     """
-    import pyarrow as pa
-
-    left = polygons.select(F.col(key).alias("left_id"), F.col("ring").alias("left_ring"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    right = polygons.select(F.col(key).alias("right_id"), F.col("ring").alias("right_ring"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    near = bbox_join(left, right, [F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX], base)
-    near = near.filter("left_id < right_id").select("left_id", "right_id", "left_ring", "right_ring")
-    kind = polygons.schema[key].dataType.simpleString()
-
-    def areas(batches):
-        for batch in batches:
-            rings = [
-                [[(p["x"], p["y"]) for p in ring] for ring in batch.column(name).to_pylist()]
-                for name in ("left_ring", "right_ring")
-            ]
-            shared = [ring_overlap_area(a, b) for a, b in zip(*rings)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("left_id"), batch.column("right_id"), pa.array(shared, pa.float64())],
-                ["left_id", "right_id", "area"],
-            )
-
-    return near.mapInArrow(areas, f"left_id {kind}, right_id {kind}, area double").filter(F.col("area") >= tol)
+    ring = F.when(g.ring_area(F.col("ring")) < 0, F.reverse("ring")).otherwise(F.col("ring"))
+    outlines = framed(polygons.select(F.col(key).alias("other"), ring.alias("ring"), *BOX), ["other"])
+    sides = boundary(outlines.select(F.col("other").alias("own"), "ring"), "own")
+    sides = sides.select(F.struct("own", "side_ord").alias("side"), *[F.col(c).alias(s) for c, s in zip(WALL, SEG)])
+    parts = _stretches(sides, outlines, "side", ["other"], g.ROUTER, base, ()).filter(F.col("side.own") != F.col("other"))
+    ux, uy = F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")
+    at = lambda t: (F.col("ax") + ux * F.col(t), F.col("ay") + uy * F.col(t))
+    parts = parts.withColumns({"turn": g.cross(*at("t0"), *at("t1")), "ux": ux, "uy": uy})
+    keep = ["side", "other", "t0", "turn", "mid_x", "mid_y", "ux", "uy"]
+    along = (F.col("dx") - F.col("cx")) * F.col("ux") + (F.col("dy") - F.col("cy")) * F.col("uy")
+    found = judged(parts.select(*keep, *FRAME), side_slabs(outlines, ["other"], g.ROUTER.eps), ["other"], keep, "mid_x", "mid_y", g.ROUTER, along=along)
+    share = F.when(F.col("on"), F.when(F.col("along") > 0, F.lit(0.5)).otherwise(F.lit(0.0))).otherwise(F.col("odd").cast("double"))
+    own = F.col("side.own")
+    areas = found.groupBy(F.least(own, F.col("other")).alias("left_id"), F.greatest(own, F.col("other")).alias("right_id")).agg(
+        (F.sum(F.col("turn") * share) / 2).alias("area")
+    )
+    return areas.filter(F.col("area") >= tol)
 
 
 def bbox_overlap(crops: DataFrame, paths: DataFrame, base: float = 1.0) -> DataFrame:

@@ -201,17 +201,37 @@ def interior_crossing(t):
     return inside.select("route_id", "zone_id", F.round("inside", 4).alias("inside"))
 
 
+def _ells(t):
+    """The faces without their upper right quarter."""
+    f = _faces(t)
+    mx, my = (F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2
+    x0, y0, x1, y1 = (F.col(c) for c in sp.BOX)
+    corners = [(x0, y0), (x1, y0), (x1, my), (mx, my), (mx, y1), (x0, y1)]
+    return f.withColumn("ring", F.array(*[g.point(x, y) for x, y in corners]))
+
+
+def _shared_sql(a: tuple[str, ...], z: tuple[str, ...]) -> str:
+    return (
+        f"greatest(0, least({a[2]}, {z[2]}) - greatest({a[0]}, {z[0]})) * greatest(0, least({a[3]}, {z[3]}) - greatest({a[1]}, {z[1]}))"
+    )
+
+
+_WHOLE = {n: tuple(f"{n}.{c}" for c in sp.BOX) for n in "az"}
+_CORNER = {n: (f"{n}.mx", f"{n}.my", f"{n}.max_x", f"{n}.max_y") for n in "az"}
+
+
 @query(
     "join_polygon_overlap",
     b.with_sql(
         FACES_SQL,
-        """shared AS (SELECT a.face_id AS left_id, z.face_id AS right_id, greatest(0, least(a.max_x, z.max_x) - greatest(a.min_x, z.min_x)) *
-  greatest(0, least(a.max_y, z.max_y) - greatest(a.min_y, z.min_y)) AS area FROM faces a JOIN faces z ON a.face_id < z.face_id)""",
-        body="SELECT left_id, right_id, CAST(area AS DOUBLE) AS area FROM shared WHERE area >= 1",
+        "ells AS (SELECT *, (min_x + max_x) / 2.0::DOUBLE AS mx, (min_y + max_y) / 2.0::DOUBLE AS my FROM faces)",
+        f"""shared AS (SELECT a.face_id AS left_id, z.face_id AS right_id, {_shared_sql(_WHOLE['a'], _WHOLE['z'])} - {_shared_sql(_CORNER['a'], _WHOLE['z'])}
+  - {_shared_sql(_WHOLE['a'], _CORNER['z'])} + {_shared_sql(_CORNER['a'], _CORNER['z'])} AS area FROM ells a JOIN ells z ON a.face_id < z.face_id)""",
+        body="SELECT left_id, right_id, round(CAST(area AS DOUBLE), 4) AS area FROM shared WHERE area >= 1",
     ),
 )
 def polygon_overlap(t):
-    return sp.overlap_pairs(_faces(t), "face_id", 1.0, base=BASE).withColumn("area", F.round("area", 4))
+    return sp.overlap_pairs(_ells(t), "face_id", 1.0, base=BASE).withColumn("area", F.round("area", 4))
 
 
 @query(

@@ -127,14 +127,6 @@ def test_bbox_join_equals_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_overlap_area_of_concave_rings():
-    ell = [(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)]
-    square = [(1, 1), (5, 1), (5, 5), (1, 5)]
-    assert sp.ring_overlap_area(ell, square) == pytest.approx(5.0)
-    assert sp.ring_overlap_area(ell[::-1], square[::-1]) == pytest.approx(5.0)
-    assert sp.ring_overlap_area(ell, [(9, 9), (10, 9), (10, 10)]) == 0
-
-
 def test_hull_of_skewed_points(spark):
     rng = random.Random(4)
     rows = [("hot", float(rng.randint(0, 40)), float(rng.randint(0, 40))) for _ in range(3000)] + [("line", float(i), 0.0) for i in range(5)]
