@@ -95,15 +95,17 @@ def grid_links(cells: DataFrame, domains: DataFrame, step: float = STEP) -> Data
         (F.col("iy") + F.col("o.dy")).alias("iy"),
     )
     links = asked.join(cells.withColumnsRenamed({"x": "bx", "y": "by_"}), ["domain_id", "ix", "iy"])
-    length = g.norm(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"))
-    links = links.withColumn("length", length).withColumn("_link", F.concat_ws("/", F.col("domain_id").cast("string"), "ix0", "iy0", "ix", "iy"))
-    # A link no longer than an end's clearance cannot leave the domain.
-    open_ = cut(links.filter(F.greatest("c0", "clearance") < F.col("length")).select("_link", "domain_id", "ax", "ay", "bx", "by_"))
-    touched = segment_hits(open_, domain_sides(domains), g.ROUTER, float(step), ["domain_id"]).select("_link").distinct()
-    doubtful = cut(open_.join(touched, "_link", "left_semi"))
+    links = links.withColumn("length", g.norm(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")))
+    # A link no longer than an end's clearance cannot leave the domain; only the others, along the border, get a name.
+    roomy = F.greatest("c0", "clearance") >= F.col("length")
+    name = F.concat_ws("/", F.col("domain_id").cast("string"), "ix0", "iy0", "ix", "iy")
+    close = cut(links.filter(~roomy).withColumn("_link", name))
+    touched = segment_hits(close.select("_link", "domain_id", "ax", "ay", "bx", "by_"), domain_sides(domains), g.ROUTER, float(step), ["domain_id"])
+    doubtful = cut(close.join(touched.select("_link").distinct(), "_link", "left_semi"))
     left = doubtful.select("_link").join(within_domain(doubtful, domains, "_link", g.ROUTER, float(step)), "_link", "left_anti")
     tight = F.greatest(F.least("c0", "clearance"), F.lit(CLEARANCE_FLOOR))
-    return links.join(left, "_link", "left_anti").select(
+    kept = links.filter(roomy).unionByName(close.join(left, "_link", "left_anti").drop("_link"))
+    return kept.select(
         "domain_id",
         "ix0",
         "iy0",
