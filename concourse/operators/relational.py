@@ -136,13 +136,20 @@ def inconsistent_groups(df: DataFrame, key: str, name: str, members: str) -> Dat
     return df.groupBy(key).agg(F.count_distinct(version).alias("versions")).filter("versions > 1")
 
 
-def sequence_gaps(codes: DataFrame, last: int) -> DataFrame:
+NUMBER_BLOCK = 65536
+
+
+def sequence_gaps(codes: DataFrame, last: int | DataFrame) -> DataFrame:
     """Numbers 1..last that are missing, repeated, beyond the range or out of order.
 
-    codes: ord (position) and number; the position rule compares each number with its 1-based place.
+    codes: ord (position) and number; the position rule compares each number with its 1-based place.  ``last`` is a number
+    or one row with a column ``last``; the numbers up to it are made in blocks, by many tasks.
     """
-    spark = codes.sparkSession
-    expected = spark.range(1, last + 1).select(F.col("id").alias("number"))
+    one = last if isinstance(last, DataFrame) else codes.sparkSession.range(1).select(F.lit(last).cast("long").alias("last"))
+    upto = F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / NUMBER_BLOCK))
+    blocks = one.filter("last > 0").select("last", F.explode(upto).alias("block")).repartition("block")
+    first = F.col("block") * NUMBER_BLOCK
+    expected = blocks.select(F.explode(F.sequence(first + 1, F.least(first + NUMBER_BLOCK, F.col("last")))).alias("number"))
     seen = codes.groupBy("number").agg(F.count(F.lit(1)).alias("copies"), F.min("ord").alias("first_ord"))
     joined = expected.withColumn("_want", F.lit(1)).join(seen, "number", "full")
     problem = (

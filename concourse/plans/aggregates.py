@@ -170,7 +170,7 @@ def completeness(t):
     from concourse.operators.ordered import ordinal_chunk, row_numbers
 
     codes = row_numbers(t.labels.select(F.col("doc_id").alias("number")).withColumn("all", F.lit(1)), ["all"], ["number"], ordinal_chunk("number"), "n")
-    return rl.sequence_gaps(codes.select("number", (F.col("n") - 1).alias("ord")), t.documents.count())
+    return rl.sequence_gaps(codes.select("number", (F.col("n") - 1).alias("ord")), t.documents.agg(F.count("*").alias("last")))
 
 
 @query(

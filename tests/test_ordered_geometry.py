@@ -224,3 +224,15 @@ def test_grid_keeps_out_of_holes_and_into_further_parts(spark):
 
     steps = [(d, x, y, x + i, y + j) for d, x, y in want for i, j in ((1, 0), (0, 1), (1, 1), (-1, 1)) if (d, x + i, y + j) in want]
     assert links == {s for s in steps if stays(*s)} and len(links) < len(steps)
+
+
+def test_sequence_gaps(spark):
+    from concourse.operators import relational as rl
+
+    codes = spark.createDataFrame([(0, 1), (1, 2), (2, 4), (3, 4), (4, 200_000)], "ord long, number long")
+    far = [(200_000, "unexpected")]
+    shown = lambda last: sorted(map(tuple, rl.sequence_gaps(codes, last).filter("number < 6 or number > 139999").collect()))
+    assert shown(0) == [(1, "unexpected"), (2, "unexpected"), (4, "unexpected"), *far]
+    assert shown(3) == [(3, "missing"), (4, "unexpected"), *far]
+    assert shown(spark.createDataFrame([(140_000,)], "last long")) == [(3, "missing"), (4, "repeated"), (5, "missing"), (140_000, "missing"), *far]
+    assert rl.sequence_gaps(codes, 140_000).count() == 139_999
