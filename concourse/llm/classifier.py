@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from concourse.llm.kernels import Chunk, chunks
@@ -136,13 +136,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def place(row: Row) -> tuple[int, int, int, int]:
+    """Order of the training rows; no place in the table plays a part."""
+    return (row["doc_id"] * 2654435761) % (1 << 32), row["doc_id"], row["quality"], row["version"] or 0
+
+
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of the training rows: at most ``most_rows`` rows and ``MOST_BYTES`` of text."""
+    """Features and labels of the training rows: at most ``most_rows`` rows and ``MOST_BYTES`` of text.
+
+    The rows are chosen by their sizes alone; features are made and sent only for those.  A text above the bound is no
+    training row.
+    """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "quality").limit(most_rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("version"), "text")
+    sizes = rows.select("doc_id", "quality", "version", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    # Ids that stand for several texts may give more rows than were chosen.
+    known = sizes.orderBy(F.xxhash64("doc_id"), "quality", "version").limit(most_rows).collect()
+    taken, size = [], 0
+    for row in sorted(known, key=place):
+        if row["size"] <= MOST_BYTES:
+            size += row["size"]
+            if size > MOST_BYTES:
+                break
+            taken.append((row["doc_id"], row["quality"], row["version"]))
+    if not taken:
+        return [], np.empty(0, dtype=np.float32)
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, quality int, version long").distinct()
+    rows = rows.join(F.broadcast(wanted), ["doc_id", "quality", "version"]).select("doc_id", "quality", "text", "version")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,20 +175,15 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tu
                 part = batch.slice(chunk.first, chunk.rows)
                 bags = [x[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(chunk.offsets)), pa.array(bags, pa.binary())],
-                    names=["doc_id", "quality", "size", "bag"],
+                    [part.column(0), part.column(1), part.column(3), pa.array(bags, pa.binary())],
+                    names=["doc_id", "quality", "version", "bag"],
                 )
 
-    coded = rows.mapInArrow(encode, "doc_id long, quality int, size long, bag binary")
-    bags, y, size = [], [], 0
-    found = coded.collect()  # at most most_rows rows
-    for row in sorted(found, key=lambda r: (hash((r["doc_id"] * 2654435761) % (1 << 32)), r["doc_id"], r["quality"])):
-        size += row["size"]
-        if size > MOST_BYTES and bags:
-            break
-        bags.append(np.frombuffer(row["bag"], np.float16).reshape(-1, FEATURES))
-        y.append(row["quality"])
-    return bags, np.array(y, dtype=np.float32)
+    # Equal texts under one id are one training row.
+    coded = rows.dropDuplicates(["doc_id", "quality", "version"]).mapInArrow(encode, "doc_id long, quality int, version long, bag binary")
+    found = sorted(coded.collect(), key=place)
+    bags = [np.frombuffer(row["bag"], np.float16).reshape(-1, FEATURES) for row in found]
+    return bags, np.array([row["quality"] for row in found], dtype=np.float32)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -210,3 +210,16 @@ def test_classifier_held_out(spark):
     assert len(held) > 100 and np.mean([g["predicted"] == truth[g["doc_id"]] for g in held]) > 0.9
     none = classifier.classify(table, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert {g["score"] for g in none} == {0.5}
+
+
+def test_training_rows_are_chosen_by_size(spark, monkeypatch):
+    rows = [(i, "word " * (10 + i)) for i in range(0, 90)] + [(90, "long " * 5000), (91, "long " * 5000), (3, "a second text"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(92)], "doc_id long, quality int, toxic int")
+    everything, y = classifier.sample(docs, labels)
+    monkeypatch.setattr(classifier, "MOST_BYTES", 4000)
+    few, z = classifier.sample(docs, labels)
+    assert 0 < len(few) == len(z) < len(everything) == len(y)
+    assert max(len(b) for b in few) <= 8 < max(len(b) for b in everything)
+    monkeypatch.setattr(classifier, "MOST_BYTES", -1)
+    assert classifier.sample(docs, labels)[0] == []
