@@ -129,34 +129,43 @@ def shortest_costs(steps: DataFrame, sources: DataFrame, scope: Sequence[str] =
 def path_steps(tree: DataFrame, requests: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Ordered steps of the chosen paths: requests(route_id, source, target) -> (route_id, ord, from, to, edge).
 
-    All routes walk back together, one join per hop level; the hop count of a node is its ordinal.
+    Tables of 2^k-th predecessors are doubled up to the longest path, then every route is halved from the longest stretch
+    down to single steps: twice as many rounds as that length has binary digits, whatever the number of hops.
     """
     scope = list(scope)
+    group = scope + ["source"]
     tree = cut(tree)
-    here = cut(requests.select("route_id", *scope, "source", F.col("target").alias("node")))
-    parts: list[DataFrame] = []
-    while True:
-        step = here.join(tree, scope + ["source", "node"]).filter(F.col("hops") > 0)
-        step = cut(
-            step.select(
-                "route_id",
-                *scope,
-                "source",
-                F.col("hops").alias("ord"),
-                F.col("pred").alias("from_node"),
-                F.col("node").alias("to_node"),
-                "edge_id",
-                F.col("cost").alias("cost_so_far"),
-            )
+    steps = tree.filter("hops > 0")
+    asked = requests.select("route_id", *group, F.col("target").alias("node"))
+    spans = cut(asked.join(steps.select(*group, "node", "hops"), group + ["node"]).withColumn("left", F.col("hops")))
+    longest = spans.agg(F.max("hops")).first()[0] or 0
+    jumps = [steps.select(*group, "node", "hops", F.col("pred").alias("back"))]
+    while 2 ** len(jumps) < longest:
+        half = 2 ** (len(jumps) - 1)
+        # Only nodes with as many steps before them have a predecessor that far back.
+        far = jumps[-1].filter(F.col("hops") >= 2 * half)
+        onward = jumps[-1].select(*group, F.col("node").alias("back"), F.col("back").alias("_back"))
+        jumps.append(cut(far.join(onward, group + ["back"]).select(*group, "node", "hops", F.col("_back").alias("back"))))
+    for k in range(len(jumps) - 1, -1, -1):
+        size = 2**k
+        # A stretch longer than this one gives its last ``size`` steps and what lies before them.
+        cuts = spans.filter(F.col("left") > size).join(jumps[k].drop("hops"), group + ["node"])
+        parts = F.array(
+            F.struct("node", "hops", F.lit(size).alias("left")),
+            F.struct(F.col("back").alias("node"), (F.col("hops") - size).alias("hops"), (F.col("left") - size).alias("left")),
         )
-        parts.append(step)
-        if step.isEmpty():
-            break
-        here = step.select("route_id", *scope, "source", F.col("from_node").alias("node"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        halves = cuts.select("route_id", *group, F.explode(parts).alias("_p")).select("route_id", *group, "_p.*")
+        kept = spans.filter(F.col("left") <= size).select("route_id", *group, "node", "hops", "left")
+        spans = cut(kept.unionByName(halves))
+    return spans.drop("hops", "left").join(steps, group + ["node"]).select(
+        "route_id",
+        *group,
+        F.col("hops").alias("ord"),
+        F.col("pred").alias("from_node"),
+        F.col("node").alias("to_node"),
+        "edge_id",
+        F.col("cost").alias("cost_so_far"),
+    )
 
 
 def cost_matrix(steps: DataFrame, endpoints: DataFrame) -> DataFrame:

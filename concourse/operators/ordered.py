@@ -131,6 +131,23 @@ def running_sum(
     return scan(df, keys, order, chunk, [local], [step], out)
 
 
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column], totals: dict[str, str] | None = None
+) -> DataFrame:
+    """Inclusive running sums of several values in one scan; ``totals={"new": "name"}`` adds whole sums of some of them."""
+    totals = totals or {}
+    before, whole = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.unboundedFollowing)
+    local: dict[str, Made] = {
+        f"_local_{n}": lambda w, v=v: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)) for n, v in values.items()
+    }
+    step: dict[str, Made] = {f"_offset_{n}": lambda w, n=n: F.sum(f"_last._local_{n}").over(w.rowsBetween(*before)) for n in values}
+    step |= {f"_total_{t}": lambda w, n=n: F.sum(f"_last._local_{n}").over(w.rowsBetween(*whole)) for t, n in totals.items()}
+    zero = F.lit(0)
+    out = {n: F.coalesce(f"_local_{n}", zero) + F.coalesce(f"_offset_{n}", zero) for n in values}
+    out |= {t: F.coalesce(f"_total_{t}", zero) for t in totals}
+    return scan(df, keys, order, chunk, [local], [step], out)
+
+
 def running_max(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: Column, name: str
 ) -> DataFrame:

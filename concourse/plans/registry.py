@@ -19,6 +19,7 @@ MODULES = (
     "ordering",
     "directory",
     "network",
+    "walks",
     "contract_rules",
     "reports",
 )
