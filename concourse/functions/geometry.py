@@ -159,7 +159,7 @@ def sides_contain(sides: Column, px: Column, py: Column, tol: Tolerance = OUTLIN
 
 def clean_ring(ring: Column, eps: float) -> Column:
     """Drop a closing vertex that repeats the first one."""
-    first, last = F.element_at(ring, 1), F.element_at(ring, -1)
+    first, last = F.try_element_at(ring, F.lit(1)), F.try_element_at(ring, F.lit(-1))
     closed = (F.size(ring) > 1) & (dist(first["x"], first["y"], last["x"], last["y"]) < eps)
     return F.when(closed, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
 

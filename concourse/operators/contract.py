@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concourse.functions import geometry as g
+from concourse.operators.spatial import bbox_join
+
 
+#: Rings of more sides than this have them compared as rows; the contacts found are the same.
+SIDES_IN_ROW = 64
 
-def ring_faults(rings: DataFrame, eps: float, min_area: float, tol: g.Tolerance | None = None) -> DataFrame:
-    """Rows whose ``ring`` is no simple area: too few points, unreal numbers, no area, a zero side or a self-contact."""
+
+def ring_faults(
+    rings: DataFrame, eps: float, min_area: float, tol: g.Tolerance | None = None, key: Sequence[str] = ("bundle_id", "ord")
+) -> DataFrame:
+    """Rows whose ``ring`` is no simple area: too few points, unreal numbers, no area, a zero side or a self-contact.
+
+    ``key`` names a ring, whose columns are of plain types; rings under one name are told apart by a hash of their points.
+    """
     tol = tol or g.Tolerance(eps)
     ring = g.clean_ring(F.col("ring"), eps)
     real = F.coalesce(F.forall("ring", lambda p: g.is_finite(p["x"]) & g.is_finite(p["y"])), F.lit(False))
@@ -29,15 +41,46 @@ def ring_faults(rings: DataFrame, eps: float, min_area: float, tol: g.Tolerance
             ),
         )
 
-    tangled = F.exists(indexed, crossing)
-    fault = (
-        F.when(~real, "not finite")
-        .when(n < 3, "too few points")
-        .when(flat, "no area")
-        .when(short, "zero side")
-        .when(tangled, "self-intersection")
-    )
-    return rings.withColumn("ring_fault", fault).filter("ring_fault is not null")
+    def faults(tangled: Column) -> Column:
+        return (
+            F.when(~real, "not finite")
+            .when(n < 3, "too few points")
+            .when(flat, "no area")
+            .when(short, "zero side")
+            .when(tangled, "self-intersection")
+        )
+
+    wide = F.coalesce(real & (n > SIDES_IN_ROW), F.lit(False))
+    plain = rings.filter(~wide).withColumn("ring_fault", faults(F.exists(indexed, crossing)))
+    many = rings.filter(wide).withColumn("_ring", F.to_json(F.struct(*key, F.xxhash64("ring").alias("_points"))))
+    knots = _knots(many.select("_ring", indexed.alias("_sides")), tol).withColumn("_tangled", F.lit(True))
+    many = many.join(knots, "_ring", "left").withColumn("ring_fault", faults(F.col("_tangled"))).drop("_ring", "_tangled")
+    return plain.unionByName(many).filter("ring_fault is not null")
+
+
+def _knots(rings: DataFrame, tol: g.Tolerance) -> DataFrame:
+    """Names (``_ring``) of the rings two of whose sides touch that are no neighbours; a side meets those in its cells only."""
+    n = F.size("_sides")
+    ends = [F.col("_sides.a")[c] for c in "xy"]
+    # Cells are about as wide as a side is long where a ring runs round its box.
+    unit = F.greatest(*[F.array_max(e) - F.array_min(e) for e in ends], F.lit(1e-300)) / n
+    # Figures of a ring are made before its sides are spread, once a ring and not once a side.
+    rows = rings.withColumns({"_n": n, "_unit": unit}).select("_ring", "_n", "_unit", F.explode("_sides").alias("s"))
+
+    def renamed(prefix: str, *more: str) -> DataFrame:
+        parts = {"i": "s.i", "ax": "s.a.x", "ay": "s.a.y", "bx": "s.b.x", "by": "s.b.y", "unit": "_unit"}
+        return rows.select("_ring", *more, *[F.col(path).cast("double" if name != "i" else "int").alias(prefix + name) for name, path in parts.items()])
+
+    def span(p: str) -> list[Column]:
+        c = lambda name: F.col(p + name)
+        low = [F.least(c("ax"), c("bx")) - tol.eps, F.least(c("ay"), c("by")) - tol.eps]
+        high = [F.greatest(c("ax"), c("bx")) + tol.eps, F.greatest(c("ay"), c("by")) + tol.eps]
+        return [v / c("unit") for v in low + high]
+
+    pairs = bbox_join(renamed("p_", "_n"), renamed("q_"), span("p_"), span("q_"), on=["_ring"])
+    apart = (F.col("q_i") >= F.col("p_i") + 2) & ~((F.col("p_i") == 0) & (F.col("q_i") == F.col("_n") - 1))
+    touch = g.segments_touch(*[F.col(p + c) for p in ("p_", "q_") for c in ("ax", "ay", "bx", "by")], tol)
+    return pairs.filter(apart).filter(touch).select("_ring").distinct()
 
 
 # Domains, limits and formats of the contract.
@@ -270,7 +313,7 @@ class Contract:
     def rings(self) -> DataFrame:
         outlined = self.t["places"].filter("ring is not null").select("bundle_id", F.lit("place").alias("entity"), F.col("id").alias("path"), "ring")
         features = self.t["features"].select("bundle_id", F.lit("feature").alias("entity"), F.col("id").alias("path"), "ring")
-        bad = ring_faults(outlined.unionByName(features), TOL.eps, MIN_TWICE_AREA, TOL)
+        bad = ring_faults(outlined.unionByName(features), TOL.eps, MIN_TWICE_AREA, TOL, ("bundle_id", "entity", "path"))
         own = bad.select(F.when(F.col("entity") == "place", "R15").otherwise("R10").alias("rule_id"), "bundle_id", "entity", "path", F.col("ring_fault").alias("message"))
         areas = ring_faults(self.t["areas"], TOL.eps, MIN_TWICE_AREA, TOL)
         areas = areas.select(F.lit("R23").alias("rule_id"), "bundle_id", F.lit("area").alias("entity"), F.col("ord").cast("string").alias("path"), F.col("ring_fault").alias("message"))
