@@ -181,6 +181,22 @@ def deletion_variants(token: Column, depth: int = 2) -> Column:
     return F.array_distinct(F.concat(*groups))
 
 
+def positional_pieces(text: Column, lengths: Column, parts: int, shifts: Column) -> Column:
+    """``ARRAY<STRUCT<length, part, piece>>``: what of ``text`` stands where a text of each of the ``lengths``, cut into ``parts``
+    about equal pieces, has its pieces, moved by each of the ``shifts``; places beyond the text give nothing."""
+
+    def of_length(n: Column) -> Column:
+        def of_part(j: Column) -> Column:
+            start = F.floor(j * n / parts).cast("int")
+            width = F.floor((j + 1) * n / parts).cast("int") - start
+            there = F.filter(shifts, lambda d: (start + d >= 0) & (start + d + width <= F.length(text)))
+            return F.transform(there, lambda d: F.struct(n.alias("length"), j.alias("part"), F.substring(text, start + d + 1, width).alias("piece")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), of_part))
+
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+
+
 def resolve_language(c: Column) -> Column:
     """``ar`` for Arabic locale tags (any case, ``_`` or ``-``), else ``en``; NULL is ``en``."""
     locale = F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit("-"))

@@ -4,7 +4,8 @@ Scores follow one ladder: compact code (0 equal, 15 prefix), whole field (5 equa
 plus the field's weight), and all terms (40 plus the mean of the best term scores and weights).
 
 Matching runs on the vocabulary of distinct tokens first: equality and prefixes are equi-joins on
-exploded leading substrings, typing errors equi-joins on deletion variants.  Places come in only
+exploded leading substrings, typing errors equi-joins on deletion variants, or on pieces and their places
+where terms are long.  Places come in only
 through the rarest term of a query, so a word that a third of all places carries is never joined by itself.
 """
 
@@ -23,6 +24,9 @@ FIELD_EQUAL, FIELD_PREFIX, FIELD_INSIDE = 5.0, 20.0, 30.0
 TERMS_BASE = 40.0
 TOKEN_PREFIX, TOKEN_FUZZY = 3, 10
 FUZZY_MIN, FUZZY_WIDE_MIN = 3, 6
+#: The most edits a term may have, and the length from which terms meet by pieces instead of deletion variants: those
+#: grow with the square of the length.
+WIDEST, PIECED_MIN = 2, 24
 GRAM = 3
 
 
@@ -75,7 +79,16 @@ def fuzzy_pairs(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
         forms = F.when(wide, tx.deletion_variants(F.col(c), 2)).otherwise(tx.deletion_variants(F.col(c), 1))
         return df.select(c, F.explode(forms).alias("form")).filter(F.length("form") >= FUZZY_MIN - 1)
 
-    near = variants(asked, "term").join(variants(offered, "token"), "form").select("term", "token").distinct()
+    def pieces(df: DataFrame, c: str, spread: int) -> DataFrame:
+        moves = F.sequence(F.lit(-spread), F.lit(spread))
+        lengths = F.transform(moves, lambda d: F.length(c) + d)
+        return df.select(c, F.explode(tx.positional_pieces(F.col(c), lengths, 2 * WIDEST + 1, moves)).alias("form"))
+
+    long = F.length("term") >= PIECED_MIN
+    short = variants(asked.filter(~long), "term").join(variants(offered.filter(F.length("token") < PIECED_MIN + WIDEST), "token"), "form")
+    # An edit touches one piece, a swap two that are neighbours: of 2 * WIDEST + 1 pieces one is whole, moved by WIDEST at most.
+    far = pieces(offered.filter(F.length("token") >= PIECED_MIN - WIDEST), "token", WIDEST)
+    near = short.select("term", "token").unionByName(pieces(asked.filter(long), "term", 0).join(far, "form").select("term", "token")).distinct()
     allowed = allowed_edits(F.col("term"))
     gap = F.abs(tx.utf16_length(F.col("term")) - tx.utf16_length(F.col("token")))
     scored = near.filter(gap <= allowed).withColumn("distance", tx.bounded_osa(F.col("term"), F.col("token"), allowed))
