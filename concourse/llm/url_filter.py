@@ -126,15 +126,16 @@ def judge(pages: DataFrame, rules: DataFrame, labelled: DataFrame) -> DataFrame:
         .groupBy("host")
         .agg(F.collect_set(F.struct((-F.length("rule")).alias("shortness"), "rule", "rule_path", "rule_verdict")).alias("rules"))
     )
-    urls = urls.join(known, "host", "left")
+    # The model reads each url where it is scanned; only its score goes through the join by host, so a hot host costs no scoring.
+    p = score(buckets(F.col("host"), F.col("path")), _weights(weights), bias)
+    urls = urls.withColumn("score", p).join(known, "host", "left")
     fits = F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"]))
     urls = urls.withColumn("best", F.array_min(fits))
-    p = score(buckets(F.col("host"), F.col("path")), _weights(weights), bias)
     return urls.select(
         "page_id",
         "host",
         "path",
         F.col("best.rule").alias("rule"),
-        F.coalesce("best.rule_verdict", F.when(p >= 0.5, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        p.alias("score"),
+        F.coalesce("best.rule_verdict", F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        "score",
     )
