@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from concourse.functions import text as tx
 from concourse.operators.ordered import row_numbers, top_k
-from concourse.session import cut, partitions
+from concourse.session import cut, partitions, sized
 
 # Score ladder and typo limits.
 CODE_EQUAL, CODE_PREFIX = 0.0, 15.0
@@ -85,10 +85,12 @@ def fuzzy_pairs(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
         return df.select(c, F.explode(tx.positional_pieces(F.col(c), lengths, 2 * WIDEST + 1, moves)).alias("form"))
 
     long = F.length("term") >= PIECED_MIN
-    short = variants(asked.filter(~long), "term").join(variants(offered.filter(F.length("token") < PIECED_MIN + WIDEST), "token"), "form")
+    # One term has many forms: neither side is small because its terms are few.
+    short = variants(asked.filter(~long), "term").hint("merge")
+    short = short.join(variants(offered.filter(F.length("token") < PIECED_MIN + WIDEST), "token").hint("merge"), "form")
     # An edit touches one piece, a swap two that are neighbours: of 2 * WIDEST + 1 pieces one is whole, moved by WIDEST at most.
-    far = pieces(offered.filter(F.length("token") >= PIECED_MIN - WIDEST), "token", WIDEST)
-    near = short.select("term", "token").unionByName(pieces(asked.filter(long), "term", 0).join(far, "form").select("term", "token")).distinct()
+    far = pieces(offered.filter(F.length("token") >= PIECED_MIN - WIDEST), "token", WIDEST).hint("merge")
+    near = short.select("term", "token").unionByName(pieces(asked.filter(long), "term", 0).hint("merge").join(far, "form").select("term", "token")).distinct()
     allowed = allowed_edits(F.col("term"))
     gap = F.abs(tx.utf16_length(F.col("term")) - tx.utf16_length(F.col("token")))
     scored = near.filter(gap <= allowed).withColumn("distance", tx.bounded_osa(F.col("term"), F.col("token"), allowed))
@@ -223,18 +225,18 @@ class Directory:
     """Searchable form of a place table, materialised once and shared by any number of query batches."""
 
     def __init__(self, places: DataFrame):
-        self.places = places.select("place_id", "ord")
-        self.fields = cut(place_fields(places))
-        self.tokens = cut(place_tokens(self.fields))
+        self.places = sized(places.select("place_id", "ord"))
+        self.fields = sized(place_fields(places))
+        self.tokens = sized(place_tokens(self.fields))
         self.vocabulary = self.tokens.select("token").distinct()
 
 
 def search_scores(queries: DataFrame, directory: Directory) -> DataFrame:
     """Best score of every matching (query_id, place_id)."""
-    prepared = cut(prepare_queries(queries))
+    prepared = sized(prepare_queries(queries))
     fields, tokens = directory.fields, directory.tokens
     terms = query_terms(prepared)
-    matches = cut(token_scores(terms.select("term").distinct(), directory.vocabulary))
+    matches = sized(token_scores(terms.select("term").distinct(), directory.vocabulary))
     scores = (
         all_terms(terms, tokens, matches)
         .unionByName(field_scores(prepared, fields, tokens, matches))

@@ -8,7 +8,7 @@ from concourse.functions import text as tx
 from concourse.operators import search as se
 from concourse.plans import bindings as b
 from concourse.plans.registry import query
-from concourse.session import cut
+from concourse.session import sized
 
 # Query texts: shouted names, one dropped letter, two swapped letters, word endings, brand codes, mixed and blank.
 QUERIES_SQL = """names AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part),
@@ -119,9 +119,9 @@ def search_sql(body: str) -> str:
 
 
 def _parts(t):
-    prepared = cut(se.prepare_queries(queries(t)))
-    fields = cut(se.place_fields(places(t)))
-    return prepared, fields, cut(se.place_tokens(fields)), se.query_terms(prepared)
+    prepared = sized(se.prepare_queries(queries(t)))
+    fields = sized(se.place_fields(places(t)))
+    return prepared, fields, sized(se.place_tokens(fields)), se.query_terms(prepared)
 
 
 def _scores(terms, toks):
@@ -158,7 +158,7 @@ def token_score(t):
 @query("txt_field_score", search_sql("SELECT query_id, place_id, score FROM by_field"))
 def field_score(t):
     prepared, fields, toks, terms = _parts(t)
-    return se.field_scores(prepared, fields, toks, cut(_scores(terms, toks)))
+    return se.field_scores(prepared, fields, toks, sized(_scores(terms, toks)))
 
 
 @query("txt_compact_code", search_sql("SELECT query_id, place_id, score FROM by_code"))
@@ -170,7 +170,7 @@ def compact_code(t):
 @query("txt_all_terms", search_sql("SELECT query_id, place_id, round(score, 6) AS score FROM by_terms"))
 def all_terms(t):
     _, _, toks, terms = _parts(t)
-    return se.all_terms(terms, toks, cut(_scores(terms, toks))).withColumn("score", F.round("score", 6))
+    return se.all_terms(terms, toks, sized(_scores(terms, toks))).withColumn("score", F.round("score", 6))
 
 
 @query(
