@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from concourse.llm import classifier, decontaminate, line_dedup, quality_rules
@@ -223,3 +225,13 @@ def test_training_rows_are_chosen_by_size(spark, monkeypatch):
     assert max(len(b) for b in few) <= 8 < max(len(b) for b in everything)
     monkeypatch.setattr(classifier, "MOST_BYTES", -1)
     assert classifier.sample(docs, labels)[0] == []
+
+
+def test_memory_of_counts_follows_the_chunk_and_not_the_batch():
+    texts = pa.array([" ".join(f"w{i * j % 977}" for j in range(400)) for i in range(6000)])
+    tracemalloc.start()
+    counted = sum(int(quality_rules.count_measures(chunk)["n_words"].sum()) for chunk in chunks(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted == 6000 * 400
+    assert peak < 80 << 20
