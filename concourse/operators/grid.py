@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from concourse.functions import geometry as g
 from concourse.operators.slabs import FRAME, framed, inside, side_slabs
-from concourse.operators.spatial import boundary, nearest_sides, segment_hits, snap_to_grid, within_domain
-from concourse.session import cut
+from concourse.operators.spatial import SEG, WALL, boundary, boxes_touch, few_sides, nearest_sides, segment_hits, snap_to_grid, within_domain
+from concourse.session import cut, partitions, sized
 
 # Grid step, clearance penalty and door offsets.
 STEP = 3.0
@@ -43,6 +43,8 @@ def grid_cells(domains: DataFrame, step: float = STEP) -> DataFrame:
     x = F.col("cx") + (F.col("iy") * size - F.col("cy")) * F.try_divide(F.col("dx") - F.col("cx"), F.col("dy") - F.col("cy"))
     along = Window.partitionBy("domain_id", "iy").orderBy("x")
     spans = crossed.select("domain_id", "iy", x.alias("x"))
+    # Few bytes of crossings become many cells: their rows stay dealt to all slices instead of being put together by size.
+    spans = spans.repartition(partitions(spans), "domain_id", "iy")
     spans = spans.withColumns({"nth": F.row_number().over(along), "to": F.lead("x").over(along)}).filter("nth % 2 = 1 and to is not null")
     left, right = F.ceil(row(F.col("x") - eps)).cast("long"), F.floor(row(F.col("to") + eps)).cast("long")
     filled = spans.filter(left <= right).select("domain_id", F.explode(F.sequence(left, right)).alias("ix"), "iy").distinct()
@@ -71,10 +73,20 @@ def _border_cells(sides: DataFrame, step: float, eps: float) -> DataFrame:
 
 
 def clearance(cells: DataFrame, domains: DataFrame, step: float = STEP) -> DataFrame:
-    """Distance of every cell to its domain's border, holes included; each cell meets the sides within a growing reach."""
-    named = cut(cells.withColumn("_cell", F.concat_ws("/", F.col("domain_id").cast("string"), "ix", "iy")))
-    gaps = nearest_sides(named, domain_sides(domains), "_cell", 2.0 * step)
-    return named.join(gaps.withColumnRenamed("gap", "clearance"), "_cell").drop("_cell")
+    """Distance of every cell to its domain's border, holes included; each cell meets the few sides of its domain, or of many
+    those within a growing reach."""
+    sides = domain_sides(domains)
+    few, many = few_sides(sides)
+    gap = g.point_segment_distance(F.col("x").cast("double"), F.col("y").cast("double"), *[F.col(c) for c in WALL])
+    real = F.col("x") * 0 + F.col("y") * 0 == 0
+    # The sides of a cell follow each other, so they fold into one row before the cells are dealt by their keys.
+    near = cells.filter(real).join(few, "domain_id").groupBy(*cells.columns).agg(F.min(gap).alias("clearance"))
+    if many.isEmpty():
+        return near.select(*cells.columns, "clearance")
+    named = cut(cells.join(many, "domain_id", "left_semi").withColumn("_cell", F.concat_ws("/", F.col("domain_id").cast("string"), "ix", "iy")))
+    gaps = nearest_sides(named, sides, "_cell", 2.0 * step)
+    far = named.join(gaps.withColumnRenamed("gap", "clearance"), "_cell").select(*cells.columns, "clearance")
+    return near.select(*far.columns).unionByName(far)
 
 
 def grid_links(cells: DataFrame, domains: DataFrame, step: float = STEP) -> DataFrame:
@@ -99,12 +111,20 @@ def grid_links(cells: DataFrame, domains: DataFrame, step: float = STEP) -> Data
     # A link no longer than an end's clearance cannot leave the domain; only the others, along the border, get a name.
     roomy = F.greatest("c0", "clearance") >= F.col("length")
     name = F.concat_ws("/", F.col("domain_id").cast("string"), "ix0", "iy0", "ix", "iy")
-    close = cut(links.filter(~roomy).withColumn("_link", name))
-    touched = segment_hits(close.select("_link", "domain_id", "ax", "ay", "bx", "by_"), domain_sides(domains), g.ROUTER, float(step), ["domain_id"])
-    doubtful = cut(close.join(touched.select("_link").distinct(), "_link", "left_semi"))
-    left = doubtful.select("_link").join(within_domain(doubtful, domains, "_link", g.ROUTER, float(step)), "_link", "left_anti")
+    close = links.filter(~roomy).select("domain_id", "ix0", "iy0", "ix", "iy", *SEG)
+    sides = domain_sides(domains)
+    few, many = few_sides(sides)
+    near = close.join(few, "domain_id")
+    met = near.filter(boxes_touch(g.ROUTER.eps)).filter(g.segments_touch(*[F.col(c).cast("double") for c in SEG + WALL], g.ROUTER))
+    doubtful = met.select(*close.columns).distinct().withColumn("_link", name)
+    if not many.isEmpty():
+        along = cut(close.join(many, "domain_id", "left_semi").withColumn("_link", name))
+        touched = segment_hits(along, sides, g.ROUTER, float(step), ["domain_id"]).select("_link").distinct()
+        doubtful = doubtful.unionByName(along.join(touched, "_link", "left_semi"))
+    doubtful = cut(doubtful)
+    left = doubtful.join(within_domain(doubtful, domains, "_link", g.ROUTER, float(step)), "_link", "left_anti")
     tight = F.greatest(F.least("c0", "clearance"), F.lit(CLEARANCE_FLOOR))
-    kept = links.filter(roomy).unionByName(close.join(left, "_link", "left_anti").drop("_link"))
+    kept = links.join(sized(left.select("domain_id", "ix0", "iy0", "ix", "iy")), ["domain_id", "ix0", "iy0", "ix", "iy"], "left_anti")
     return kept.select(
         "domain_id",
         "ix0",

@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from concourse.functions import geometry as g
 from concourse.operators import grid as gd
@@ -137,3 +138,17 @@ def test_endpoints_fall_back_and_report_the_missing(spark):
     assert (got[1]["door_distance"], got[1]["y"]) == (2.0, 18.0) and got[2]["x"] == 2.0
     assert (got[3]["door_distance"], got[3]["x"], got[3]["y"]) == (0.0, 31.0, 32.0)
     assert got[4]["x"] is None and got[5]["ix"] is None
+
+
+def test_cells_meet_the_few_sides_of_their_domain_at_once(spark, monkeypatch):
+    monkeypatch.setattr(gd, "nearest_sides", lambda *_: pytest.fail("a reach was grown for a domain of four sides"))
+    ring = [(0.0, 0.0), (300.0, 0.0), (300.0, 300.0), (0.0, 300.0)]
+    points = [{"x": x, "y": y} for x, y in ring]
+    rows = [(1, points, 0.0, 0.0, 300.0, 300.0)]
+    schema = "domain_id int, ring array<struct<x:double,y:double>>, min_x double, min_y double, max_x double, max_y double"
+    domains = spark.createDataFrame(rows, schema)
+    cells = gd.grid_cells(domains, 3.0)
+    assert cells.select(F.spark_partition_id()).distinct().count() > 1
+    found = gd.clearance(cells, domains, 3.0).collect()
+    assert len(found) == 99 * 99
+    assert all(abs(r.clearance - min(r.x, r.y, 300 - r.x, 300 - r.y)) < 1e-9 for r in found)
