@@ -62,7 +62,10 @@ def field_weight(kind: Column, lang: Column) -> Column:
 
 
 def place_tokens(fields: DataFrame) -> DataFrame:
-    return fields.select("place_id", "kind", F.explode(tx.tokens(F.col("value"))).alias("token")).distinct()
+    """Distinct (place_id, kind, token).  A few compressed bytes hold very many places: fields are dealt to all slices by their
+    place before they become tokens, so no task keeps the tokens of a whole file."""
+    spread = fields.select("place_id", "kind", "value").repartition(partitions(fields), "place_id")
+    return spread.select("place_id", "kind", F.explode(F.array_distinct(tx.tokens(F.col("value")))).alias("token")).distinct()
 
 
 def allowed_edits(term: Column) -> Column:

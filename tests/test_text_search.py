@@ -176,3 +176,11 @@ def test_rows_with_few_and_many_longer_letters(spark):
     for text, row in zip(texts, got, strict=True):
         flat = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M")).lower()
         assert row[0] == " ".join(re.sub(r"[^\w]|_", " ", flat).split())
+
+
+def test_tokens_of_few_bytes_are_dealt_to_all_slices(spark):
+    rows = [(i, "en", f"ring {i} ring") for i in range(200)] + [(7, "en", "ring seven")]
+    fields = spark.createDataFrame(rows, "place_id int, kind string, value string").coalesce(1)
+    tokens = se.place_tokens(fields)
+    assert tokens.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(map(tuple, tokens.collect())) == sorted({(i, k, t) for i, k, v in rows for t in v.split()})
