@@ -31,16 +31,6 @@ def ring_faults(
     flat = ~F.coalesce(F.abs(g.ring_area(ring)) * 2 >= min_area, F.lit(False))
     indexed = F.transform(sides, lambda s, i: F.struct(i.alias("i"), s["a"].alias("a"), s["b"].alias("b")))
 
-    def crossing(s: Column) -> Column:
-        later = F.slice(indexed, s["i"] + 3, F.greatest(n - s["i"] - 2, F.lit(0)))
-        return F.exists(
-            later,
-            lambda o: ~((s["i"] == 0) & (o["i"] == n - 1))
-            & g.segments_touch(
-                s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], o["a"]["x"], o["a"]["y"], o["b"]["x"], o["b"]["y"], tol
-            ),
-        )
-
     def faults(tangled: Column) -> Column:
         return (
             F.when(~real, "not finite")
@@ -51,13 +41,44 @@ def ring_faults(
         )
 
     wide = F.coalesce(real & (n > SIDES_IN_ROW), F.lit(False))
-    plain = rings.filter(~wide).withColumn("ring_fault", faults(F.exists(indexed, crossing)))
+    plain = _judged(rings.filter(~wide), ring, eps, min_area, tol)
     many = rings.filter(wide).withColumn("_ring", F.to_json(F.struct(*key, F.xxhash64("ring").alias("_points"))))
     knots = _knots(many.select("_ring", indexed.alias("_sides")), tol).withColumn("_tangled", F.lit(True))
     many = many.join(knots, "_ring", "left").withColumn("ring_fault", faults(F.col("_tangled"))).drop("_ring", "_tangled")
     return plain.unionByName(many).filter("ring_fault is not null")
 
 
+def _judged(rings: DataFrame, ring: Column, eps: float, min_area: float, tol: g.Tolerance) -> DataFrame:
+    """The faults of rings whose sides are compared within their row.
+
+    The cleaned ring and its sides are columns of their own, made once a ring and not once a side; a filter on the fault
+    would be pushed down through them and make them again, so outer rows are dropped instead.
+    """
+    real = F.coalesce(F.forall("ring", lambda p: g.is_finite(p["x"]) & g.is_finite(p["y"])), F.lit(False))
+    n = F.size("_clean")
+    made = rings.withColumn("_clean", ring)
+    made = made.withColumn("_sides", F.transform(g.ring_sides(F.col("_clean")), lambda s, i: F.struct(i.alias("i"), s["a"].alias("a"), s["b"].alias("b"))))
+
+    def crossing(s: Column) -> Column:
+        later = F.slice("_sides", s["i"] + 3, F.greatest(n - s["i"] - 2, F.lit(0)))
+        return F.exists(
+            later,
+            lambda o: ~((s["i"] == 0) & (o["i"] == n - 1))
+            & g.segments_touch(
+                s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], o["a"]["x"], o["a"]["y"], o["b"]["x"], o["b"]["y"], tol
+            ),
+        )
+
+    fault = (
+        F.when(~real, "not finite")
+        .when(n < 3, "too few points")
+        .when(~F.coalesce(F.abs(g.ring_area(F.col("_clean"))) * 2 >= min_area, F.lit(False)), "no area")
+        .when(F.exists("_sides", lambda s: g.dist(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) < eps), "zero side")
+        .when(F.exists("_sides", crossing), "self-intersection")
+    )
+    return made.withColumn("ring_fault", F.explode_outer(F.array(fault))).drop("_clean", "_sides")
+
+
 def _knots(rings: DataFrame, tol: g.Tolerance) -> DataFrame:
     """Names (``_ring``) of the rings two of whose sides touch that are no neighbours; a side meets those in its cells only."""
     n = F.size("_sides")

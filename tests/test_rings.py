@@ -48,3 +48,11 @@ def test_ring_of_many_sides(spark, knot):
         ring[7000], ring[7002] = ring[7002], ring[7000]
     got = faults(spark, [("b", 0, ring), ("b", 1, circle(4))])
     assert got == ([("b", 0, "self-intersection")] if knot else [])
+
+
+def test_the_sides_of_a_ring_are_made_once(spark):
+    bow = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 3.0))]
+    found = contract.ring_faults(spark.createDataFrame([("b", 1, bow)], RING), 1e-9, 1e-12)
+    assert [r["ring_fault"] for r in found.collect()] == ["self-intersection"]
+    # Eighteen when each side of a ring made them all again.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("arrays_zip(") <= 12
