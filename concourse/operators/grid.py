@@ -7,12 +7,14 @@ one hand.  Rings of fewer than three points are no border.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concourse.functions import geometry as g
-from concourse.operators.slabs import FRAME, framed, inside, side_slabs
-from concourse.operators.spatial import SEG, WALL, boundary, boxes_touch, few_sides, nearest_sides, segment_hits, snap_to_grid, within_domain
+from concourse.operators.slabs import inside
+from concourse.operators.spatial import NEAR_DOMAIN, SEG, WALL, boundary, boxes_touch, few_sides, indexed, nearest_sides, segment_hits, snap_to_grid, within_domain
 from concourse.session import cut, partitions, sized
 
 # Grid step, clearance penalty and door offsets.
@@ -136,26 +138,27 @@ def grid_links(cells: DataFrame, domains: DataFrame, step: float = STEP) -> Data
     )
 
 
-def endpoint_candidates(doors: DataFrame) -> DataFrame:
-    """Approach points on both sides of each door along its normal: door_id, offset, x, y.
+def endpoint_candidates(doors: DataFrame, distances: Sequence[int] = DOOR_OFFSETS, keep: Sequence[str] = ()) -> DataFrame:
+    """Approach points on both sides of each door along its normal: door_id, offset, x, y and the columns ``keep``.
 
     A room without a door segment has its fallback point (``fx``, ``fy``: a given point or the label) at no distance.
     """
     length = g.dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by_"))
     nx = F.try_divide(-(F.col("by_") - F.col("ay")), length)
     ny = F.try_divide(F.col("bx") - F.col("ax"), length)
-    offsets = F.array(*[F.lit(float(v * s)) for v in DOOR_OFFSETS for s in (1, -1)])
+    offsets = F.array(*[F.lit(float(v * s)) for v in distances for s in (1, -1)])
     spread = doors.filter(length > 0).withColumn("offset", F.explode(offsets))
     approaches = spread.select(
         "door_id",
         "offset",
         ((F.col("ax") + F.col("bx")) / 2 + nx * F.col("offset")).alias("x"),
         ((F.col("ay") + F.col("by_")) / 2 + ny * F.col("offset")).alias("y"),
+        *keep,
     )
     if "fx" not in doors.columns:
         return approaches
     bare = doors.filter(~F.coalesce(length > 0, F.lit(False)) & F.col("fx").isNotNull() & F.col("fy").isNotNull())
-    return approaches.union(bare.select("door_id", F.lit(0.0), F.col("fx").cast("double"), F.col("fy").cast("double")))
+    return approaches.union(bare.select("door_id", F.lit(0.0), F.col("fx").cast("double"), F.col("fy").cast("double"), *keep))
 
 
 def choose_endpoints(doors: DataFrame, domains: DataFrame, vertices: DataFrame, step: float, base: float = 1.0) -> DataFrame:
@@ -163,17 +166,24 @@ def choose_endpoints(doors: DataFrame, domains: DataFrame, vertices: DataFrame,
     least by (door distance, path distance, point, vertex).
 
     doors: door_id, domain_id, segment and fallback point; vertices: ix, iy, path_distance.  A door without an option is a
-    row with ``found`` false and no point.
+    row with ``found`` false and no point.  The door distance decides first, so only doors without an option at the least
+    distance (or at their fallback point) go on to the others.
     """
+    doors, vertices = cut(doors), sized(vertices)
+    index = indexed(domains, NEAR_DOMAIN.eps)
+    paths = vertices.filter("path_distance is not null")
+    point, of = ["point_id", "domain_id", "x", "y"], ["door_id", "offset"]
+    rank = F.struct(F.abs("offset").alias("door_distance"), "path_distance", F.col("x"), F.col("y"), F.col("iy"), F.col("ix"))
     name = F.concat_ws("@", F.col("door_id").cast("string"), F.col("offset").cast("string"))
-    of = doors.select("door_id", "domain_id")
-    candidates = endpoint_candidates(doors).withColumn("point_id", name).join(of, "door_id")
-    outlines = framed(domains, ["domain_id"], several=True)
-    frames = outlines.select("domain_id", *FRAME).distinct()
-    sides = side_slabs(outlines, ["domain_id"], g.OUTLINE.eps)
-    covered = cut(inside(candidates.join(frames, "domain_id"), sides, ["domain_id"], candidates.columns, "x", "y"))
-    snapped = snap_to_grid(covered.select("point_id", "domain_id", "x", "y"), vertices.select("ix", "iy"), step, domains=domains, base=base)
-    options = covered.join(snapped.select("point_id", "ix", "iy"), "point_id").join(vertices.filter("path_distance is not null"), ["ix", "iy"])
-    rank = F.struct(F.abs("offset").alias("door_distance"), "path_distance", "x", "y", "iy", "ix")
-    best = options.groupBy("door_id").agg(F.min(rank).alias("b"))
-    return of.select("door_id").join(best, "door_id", "left").select("door_id", F.col("b").isNotNull().alias("found"), "b.*")
+    found, waiting = None, doors
+    for distances in (DOOR_OFFSETS[:1], DOOR_OFFSETS[1:]):
+        candidates = endpoint_candidates(waiting, distances, ["domain_id"]).withColumn("point_id", name).join(index.frames, "domain_id")
+        covered = inside(candidates, index.slabs, ["domain_id"], [*point, *of], "x", "y")
+        snapped = snap_to_grid(covered, vertices.select("ix", "iy"), step, domains=index, base=base, carry=["x", "y", *of], held=True)
+        best = cut(snapped.join(paths, ["ix", "iy"]).groupBy("door_id").agg(F.min(rank).alias("b")))
+        found = best if found is None else found.unionByName(best)
+        # The fallback points are settled with the first distance.
+        waiting = cut(waiting.join(best, "door_id", "left_anti").drop("fx", "fy"))
+        if waiting.isEmpty():
+            break
+    return doors.select("door_id").join(found, "door_id", "left").select("door_id", F.col("b").isNotNull().alias("found"), "b.*")
